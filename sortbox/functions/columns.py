@@ -155,7 +155,7 @@ def infer_correct_decision(action_type: str | Column) -> Column:
 def review_snippet(snippet: str | Column) -> Column:
     """First 100 characters, then HTML-entity unescape; NULL/'' -> 'N/A'."""
     s = F.substring(col(snippet), 1, 100)
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " ")]:
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", "\u00a0")]:
         s = F.replace(s, F.lit(ent), F.lit(ch))
     s = F.replace(s, F.lit("&amp;"), F.lit("&"))
     return F.when(blank_to_null(col(snippet)).isNull(), F.lit("N/A")).otherwise(s)
