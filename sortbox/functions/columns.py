@@ -116,7 +116,8 @@ def clean_label_name(name: str | Column) -> Column:
     whitespace runs become '-'; every '-' separated word capitalised; if
     longer than 30 characters cut to 30 and drop the trailing partial word."""
     n = col(name)
-    kept = F.regexp_replace(n, r"(?U)[^\w\s-]", "")
+    # Python's Unicode \w is letters, digits and '_' (Java's (?U)\w also keeps marks).
+    kept = F.regexp_replace(n, r"(?U)[^\p{L}\p{N}_\s-]", "")
     stripped = F.regexp_replace(kept, r"(?U)^\s+|\s+$", "")
     dashed = F.regexp_replace(stripped, r"(?U)\s+", "-")
     words = F.filter(F.split(dashed, "-"), lambda w: w != "")
