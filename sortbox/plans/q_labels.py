@@ -396,3 +396,94 @@ def centroid_match_q(spark, sf_dir):
         ).alias("m"),
     )
     return scored.select("message_id", F.col("m.label").alias("label"), r6("m.cosine").alias("cosine"))
+
+
+_DL = sql_domain_to_label("string_split(e.from_address, '@')[2]")
+_FBL = f"""CASE
+  WHEN {sql_contains_any(SQL_TEXT.format(e='e.'), LB.FALLBACK_RECEIPT[1])} THEN 'Bot/Receipts'
+  WHEN {sql_contains_any(SQL_TEXT.format(e='e.'), LB.FALLBACK_AUTOMATED[1])} THEN 'Bot/Automated'
+  WHEN {sql_contains_any(SQL_TEXT.format(e='e.'), LB.FALLBACK_PROMOTIONAL[1])} THEN 'Bot/Promotional'
+  WHEN coalesce(f.is_newsletter, false) THEN 'Bot/Newsletters'
+  ELSE 'Bot/Personal' END"""
+SUGGESTIONS_SQL = f"""
+cnt AS (SELECT from_address, count(*) AS n FROM emails GROUP BY 1),
+base AS (
+  SELECT e.message_id, {SQL_LEARNED_FIRST.format(e='e.')} AS learned,
+    CASE WHEN f.subject_embedding IS NOT NULL AND len(f.subject_embedding) > 0 AND n.nearest_label IS NOT NULL
+         THEN n.nearest_label END AS cent,
+    CASE WHEN c.n >= 3 AND contains(e.from_address, '@') AND {_DL} IS NOT NULL THEN 'Bot/' || {_DL} END AS send,
+    {_FBL} AS fb
+  FROM emails e
+  LEFT JOIN email_features f ON f.message_id = e.message_id
+  LEFT JOIN nearest n ON n.message_id = e.message_id
+  LEFT JOIN cnt c ON c.from_address = e.from_address
+),
+kept AS (
+  SELECT message_id, learned, cent, send_k AS send,
+         CASE WHEN fb IS DISTINCT FROM cent AND fb IS DISTINCT FROM send_k THEN fb END AS fb
+  FROM (SELECT *, CASE WHEN cent IS NULL OR send <> cent THEN send END AS send_k FROM base)
+),
+suggestions AS (
+  SELECT message_id,
+    CASE WHEN learned IS NOT NULL THEN [{{'k': 1, 'i': 0, 'label': learned}}]
+    ELSE list_sort(list_filter([
+        CASE WHEN cent IS NOT NULL THEN {{'k': 2, 'i': 0, 'label': cent}} END,
+        CASE WHEN send IS NOT NULL THEN {{'k': 3, 'i': 1, 'label': send}} END,
+        CASE WHEN fb IS NOT NULL THEN {{'k': CASE WHEN fb = 'Bot/Personal' THEN 5 ELSE 4 END, 'i': 2, 'label': fb}} END
+      ], lambda x: x IS NOT NULL)) END AS s
+  FROM kept
+)"""
+_GEN_TABLES = ("emails", "feature_embeddings", "sender_label_mappings")
+_GEN_EXTRA = [FEATURES_CTE, SAMPLE_SQL, CENTROID_SQL, NEAREST_SQL, SUGGESTIONS_SQL]
+
+
+def _generated(spark, sf_dir) -> DataFrame:
+    em = B.emails(spark, sf_dir)
+    return LB.generate_labels(em, stored_features(spark, sf_dir), B.sender_label_mappings(spark))
+
+
+@register(
+    "generate_labels",
+    O.with_tables(
+        "SELECT message_id, list_transform(s, lambda x: x.label) AS labels, "
+        "list_transform(s, lambda x: CAST(x.k AS INTEGER)) AS specificities FROM suggestions",
+        *_GEN_TABLES,
+        extra=_GEN_EXTRA,
+    ),
+)
+def generate_labels_q(spark, sf_dir):
+    g = _generated(spark, sf_dir)
+    return g.select(
+        "message_id",
+        F.transform("suggestions", lambda s: s["label"]).alias("labels"),
+        F.transform("suggestions", lambda s: s["specificity"]).alias("specificities"),
+    )
+
+
+@register(
+    "rank_suggestions",
+    O.with_tables(
+        "SELECT message_id, list_transform(s, lambda x: CAST(x.k AS INTEGER)) AS specificities FROM suggestions",
+        *_GEN_TABLES,
+        extra=_GEN_EXTRA,
+    ),
+)
+def rank_suggestions_q(spark, sf_dir):
+    g = _generated(spark, sf_dir)
+    return g.select("message_id", F.transform("suggestions", lambda s: s["specificity"]).alias("specificities"))
+
+
+@register(
+    "primary_label",
+    O.with_tables(
+        "SELECT message_id, coalesce(s[1].label, 'Bot/Uncategorized') AS primary_label, "
+        "list_transform(s[1:2], lambda x: x.label) AS max_labels FROM suggestions",
+        *_GEN_TABLES,
+        extra=_GEN_EXTRA,
+    ),
+)
+def primary_label_q(spark, sf_dir):
+    g = _generated(spark, sf_dir)
+    return g.select(
+        "message_id", LB.primary_label(F.col("suggestions")).alias("primary_label"), LB.max_labels(F.col("suggestions"), 2).alias("max_labels")
+    )
