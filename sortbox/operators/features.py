@@ -132,18 +132,28 @@ def previous_email(
     )
 
 
-def historical_features(emails: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
-    """Snapshot-mode history features for every mail in ``emails``.
+def historical_features(emails: DataFrame, bucket_seconds: int = 86400, targets: DataFrame | None = None) -> DataFrame:
+    """Snapshot-mode history features for every mail in ``emails`` (or only
+    for ``targets``, a subset of it, with ``emails`` as the history).
 
     Counts and rates cover all mail of the sender in the table (including the
     mail itself and later mail); days-since-last uses strictly earlier mail.
     """
+    from .history import asof_max_before
+
     st = sender_stats(emails).select(
         "from_address", F.col("total_emails").alias("sender_email_count"), F.col("open_rate").alias("sender_open_rate")
     )
     dom = domain_stats(emails).select(F.col("domain").alias("_dom"), "domain_open_rate")
-    prev = previous_email(emails, bucket_seconds=bucket_seconds)
-    base = emails.select("message_id", "from_address", "date", C.sender_domain("from_address").alias("_dom"))
+    if targets is None:
+        prev = previous_email(emails, bucket_seconds=bucket_seconds)
+        rows = emails
+    else:
+        rows = targets
+        prev = asof_max_before(emails, targets, "from_address", "date", "message_id", bucket_seconds).withColumnRenamed(
+            "prev_ts", "prev_date"
+        )
+    base = rows.select("message_id", "from_address", "date", C.sender_domain("from_address").alias("_dom"))
     out = (
         base.join(st, "from_address", "left")
         .join(dom, "_dom", "left")

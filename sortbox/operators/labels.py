@@ -332,18 +332,24 @@ def generate_labels(
     centroids: DataFrame | None = None,
     semantic: DataFrame | None = None,
     threshold: int = SPECIFICITY_THRESHOLD,
+    sender_counts: DataFrame | None = None,
 ) -> DataFrame:
     """message_id + ``suggestions`` for each mail in ``emails``.
 
     ``features`` holds message_id, is_newsletter, subject_embedding;
     ``semantic`` (optional) holds message_id, sem_label, sem_confidence;
-    ``centroids`` defaults to the label centroids of ``mappings``.
+    ``centroids`` defaults to the label centroids of ``mappings``;
+    ``sender_counts`` (message_id, sender_count) overrides the per-sender
+    mail counts of ``emails`` (the triage run passes its visible counts).
     """
-    counts = emails.groupBy("from_address").agg(F.count(F.lit(1)).alias("_sender_count"))
     base = emails.select("message_id", "from_address", "subject", "snippet").join(
         features.select("message_id", "is_newsletter", "subject_embedding"), "message_id", "left"
     )
-    base = base.join(counts, "from_address", "left")
+    if sender_counts is None:
+        counts = emails.groupBy("from_address").agg(F.count(F.lit(1)).alias("_sender_count"))
+        base = base.join(counts, "from_address", "left")
+    else:
+        base = base.join(sender_counts.select("message_id", F.col("sender_count").alias("_sender_count")), "message_id", "left")
     base = with_learned_label(base, mappings, "first", "_learned")
     has_emb = F.col("subject_embedding").isNotNull() & (F.size("subject_embedding") > 0)
     if centroids is None:
