@@ -10,6 +10,7 @@ from ..functions import columns as C
 from ..operators import decisions as D
 from ..operators import features as FE
 from ..sources import bridge as B
+from ..sources.materialize import materialized
 from .catalog import SQL_DOC_SCORE, SQL_SENDER_DOMAIN, doc_score, r6, register
 
 # ---------------------------------------------------------------------------
@@ -275,7 +276,7 @@ email_features AS (
 )"""
 
 
-def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = B.emails(spark, sf_dir)
     feats = FE.email_features(em, B.feature_embeddings(spark, sf_dir))
     dates = em.select("message_id", "date").filter(F.col("date") < F.lit(FEATURE_CUTOFF).cast("timestamp_ntz"))
@@ -294,3 +295,8 @@ def historical_features_query(spark, sf_dir):
         r6("sender_days_since_last").alias("sender_days_since_last"),
         r6("domain_open_rate").alias("domain_open_rate"),
     )
+
+
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored feature table (written once per application)."""
+    return materialized(spark, f"stored_features|{sf_dir}", lambda: _build_stored_features(spark, sf_dir))

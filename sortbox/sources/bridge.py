@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .materialize import materialized
 from .tables import read_table
 
 # Fixed values of the bridge (they must equal the SQL oracle's).
@@ -60,7 +61,7 @@ def fixed_score(id_col: Column) -> Column:
     return (id_col * 37 % 101).cast("double") / 100
 
 
-def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     quality = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     d = docs.join(quality, "doc_id", "left")
@@ -139,7 +140,7 @@ def _action_labels(eid: Column) -> Column:
     )
 
 
-def email_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_email_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Action log.  ``action_data`` is typed; ``action_json`` is the raw
     JSON text as an audit log would hold it (score may be a string)."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
@@ -183,7 +184,7 @@ def email_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feedback_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_feedback_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
     n_docs = read_table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
     eid = F.col("event_id")
@@ -217,7 +218,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feature_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_feature_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject_embedding = embedding of vec_id = doc_id; body_embedding =
     embedding of vec_id = doc_id + 1 (both NULL when absent)."""
     emb = embeddings(spark, sf_dir).select("vec_id", "embedding")
@@ -227,7 +228,7 @@ def feature_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(subj, "doc_id", "left").join(body, "doc_id", "left").drop("doc_id")
 
 
-def semantic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_semantic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "label")
     ids = email_doc_ids(spark, sf_dir)
     return emb.join(ids, emb.vec_id == ids.doc_id, "inner").select(
@@ -238,3 +239,24 @@ def semantic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("bridge").alias("model"),
         F.lit(1.0).alias("confidence"),
     )
+
+
+# Stored forms of the derived tables (written once per application).
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, f"emails|{sf_dir}", lambda: _build_emails(spark, sf_dir))
+
+
+def email_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, f"email_actions|{sf_dir}", lambda: _build_email_actions(spark, sf_dir))
+
+
+def feedback_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, f"feedback_reviews|{sf_dir}", lambda: _build_feedback_reviews(spark, sf_dir))
+
+
+def feature_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, f"feature_embeddings|{sf_dir}", lambda: _build_feature_embeddings(spark, sf_dir))
+
+
+def semantic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, f"semantic_labels|{sf_dir}", lambda: _build_semantic_labels(spark, sf_dir))

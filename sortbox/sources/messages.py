@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mime as M
 from . import bridge as B
+from .materialize import materialized
 
 CORRUPT_BEFORE = "2024-01-21 00:00:00"
 
@@ -23,7 +24,7 @@ def _b64url(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"[\r\n]", ""), "+/", "-_")
 
 
-def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(raw_id, json) per bridged mail.  Shapes exercised: quoted display
     names, RFC 2047 encoded names (id % 11 = 0), bare addresses, a missing
     Subject header, a duplicated subject header whose last value wins
@@ -179,3 +180,8 @@ def select_messages(
     if max_total:
         out = out.limit(max_total)
     return out.drop("_ts")
+
+
+def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw message table (stored form, written once per application)."""
+    return materialized(spark, f"raw_messages|{sf_dir}", lambda: _build_raw_messages(spark, sf_dir))
