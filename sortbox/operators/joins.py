@@ -17,11 +17,16 @@ def emails_with_features(emails: DataFrame, features: DataFrame, min_sender_coun
     return j.filter(F.col("sender_email_count") >= min_sender_count)
 
 
-def emails_without_features(emails: DataFrame, features: DataFrame, limit: int | None = None) -> DataFrame:
-    out = emails.join(features.select("message_id"), "message_id", "left_anti").orderBy(
-        F.col("date").desc(), F.col("message_id")
-    )
-    return out.limit(limit) if limit else out
+def emails_without_features(
+    emails: DataFrame, features: DataFrame, limit: int | None = None, ordered: bool = True
+) -> DataFrame:
+    """Mail without a feature row, newest first.  ``ordered=False`` skips
+    the global sort when the caller only needs the set (the feature build);
+    with a limit the order is always applied (top-n, no full sort)."""
+    out = emails.join(features.select("message_id"), "message_id", "left_anti")
+    if limit:
+        return out.orderBy(F.col("date").desc(), F.col("message_id")).limit(limit)
+    return out.orderBy(F.col("date").desc(), F.col("message_id")) if ordered else out
 
 
 def features_missing_embeddings(features: DataFrame, limit: int | None = None, default_cap: int = 10_000) -> DataFrame:

@@ -89,7 +89,9 @@ def stratified_split(
         .otherwise(F.lit("cut")).alias("_state"),
         (F.col("_k") - F.col("_before")).alias("_take"),
     )
-    j = h.join(F.broadcast(per), [label, "_b"])  # one row per (class, bucket): bounded by classes x buckets
+    # One row per (class, bucket): small for two classes, but it grows with
+    # the number of classes, so AQE decides whether to broadcast it.
+    j = h.join(per, [label, "_b"])
     w = Window.partitionBy(label, "_b").orderBy("_h", key)
     ranked = j.withColumn("_r", F.when(F.col("_state") == "cut", F.row_number().over(w)))
     is_test = (F.col("_state") == "all") | ((F.col("_state") == "cut") & (F.col("_r") <= F.col("_take")))

@@ -46,7 +46,7 @@ def build_features(
         emb = embed(src.select("message_id", "subject", "body_plain", "snippet"))
         table = ST.upsert_features(feature_store, emb, ["subject_embedding", "body_embedding"], FEATURE_COLUMNS, now)
         return {"new": emb, "table": table}
-    todo = J.emails_without_features(emails, feature_store, limit)
+    todo = J.emails_without_features(emails, feature_store, limit, ordered=False)
     hist = FE.historical_features(emails, targets=todo.select("message_id", "from_address", "date"))
     meta = FE.metadata_features(todo)
     new = meta.join(hist, "message_id")

@@ -250,23 +250,46 @@ def infer_correct_decision_q(spark, sf_dir):
 @register(
     "confidence_label",
     O.with_tables(
-        """SELECT message_id,
+        f"""SELECT message_id,
   list_concat([c], CASE WHEN s > 0.3 AND s < 0.7 THEN ['Bot/LowConfidence'] ELSE CAST([] AS VARCHAR[]) END,
               CASE WHEN s <= 0.3 THEN ['Bot/AutoArchived'] ELSE CAST([] AS VARCHAR[]) END) AS labels
-FROM (SELECT message_id, CAST(CAST(substr(message_id, 2) AS BIGINT) * 37 % 101 AS DOUBLE) / 100 AS s,
-             CASE WHEN doc_id % 2 = 0 THEN 'Bot/Receipts' ELSE 'Bot/Personal' END AS c FROM emails)""",
-        "emails",
+FROM (SELECT e.message_id, CAST(CAST(substr(e.message_id, 2) AS BIGINT) * 37 % 101 AS DOUBLE) / 100 AS s,
+             coalesce({SQL_LEARNED_LAST.format(e='e.')}, {sql_rule_category('e.')}) AS c FROM emails e)""",
+        *_MAP,
     ),
 )
 def confidence_label_q(spark, sf_dir):
+    """Category label + LowConfidence (uncertain score) + AutoArchived."""
     from ..operators import decisions as D
     from .catalog import doc_score
 
-    em = B.emails(spark, sf_dir).select("message_id")
-    doc = F.substring("message_id", 2, 1 << 30).cast("bigint")
+    em = B.emails(spark, sf_dir)
+    em = em.withColumn("is_newsletter", C.is_newsletter("labels", "subject", "body_plain"))
+    cat = LB.categorize(em, B.sender_label_mappings(spark))
     action, conf = D.decide_columns(doc_score(F.col("message_id")))
-    base = F.when(doc % 2 == 0, F.lit("Bot/Receipts")).otherwise(F.lit("Bot/Personal"))
-    return em.select("message_id", LB.action_labels(LB.confidence_labels(base, conf), action).alias("labels"))
+    return cat.select("message_id", LB.action_labels(LB.confidence_labels(F.col("category"), conf), action).alias("labels"))
+
+
+@register(
+    "action_label",
+    O.with_tables(
+        f"""SELECT message_id,
+  list_concat([c], CASE WHEN s <= 0.3 THEN ['Bot/AutoArchived'] ELSE CAST([] AS VARCHAR[]) END) AS labels
+FROM (SELECT e.message_id, CAST(CAST(substr(e.message_id, 2) AS BIGINT) * 37 % 101 AS DOUBLE) / 100 AS s,
+             coalesce({SQL_LEARNED_LAST.format(e='e.')}, {sql_rule_category('e.')}) AS c FROM emails e)""",
+        *_MAP,
+    ),
+)
+def action_label_q(spark, sf_dir):
+    """Category label + AutoArchived when the decision is archive."""
+    from ..operators import decisions as D
+    from .catalog import doc_score
+
+    em = B.emails(spark, sf_dir)
+    em = em.withColumn("is_newsletter", C.is_newsletter("labels", "subject", "body_plain"))
+    cat = LB.categorize(em, B.sender_label_mappings(spark))
+    action, _ = D.decide_columns(doc_score(F.col("message_id")))
+    return cat.select("message_id", LB.action_labels(F.array(F.col("category")), action).alias("labels"))
 
 
 _EMB = ("emails", "feature_embeddings", "sender_label_mappings")
@@ -487,3 +510,16 @@ def primary_label_q(spark, sf_dir):
     return g.select(
         "message_id", LB.primary_label(F.col("suggestions")).alias("primary_label"), LB.max_labels(F.col("suggestions"), 2).alias("max_labels")
     )
+
+
+@register(
+    "max_labels",
+    O.with_tables(
+        "SELECT message_id, list_transform(s[1:2], lambda x: x.label) AS max_labels FROM suggestions",
+        *_GEN_TABLES,
+        extra=_GEN_EXTRA,
+    ),
+)
+def max_labels_q(spark, sf_dir):
+    g = _generated(spark, sf_dir)
+    return g.select("message_id", LB.max_labels(F.col("suggestions"), 2).alias("max_labels"))

@@ -149,7 +149,7 @@ def triage(
     centroids = LB.label_centroids(committed, feature_store, mappings)
     sugg = LB.generate_labels(
         incoming, feats, mappings, centroids=centroids, semantic=semantic,
-        sender_counts=hist.select("message_id", F.col("sender_email_count").alias("sender_count")),
+        sender_counts=feats.select("message_id", F.col("sender_email_count").alias("sender_count")),
     )
     dec = decided.join(sugg, "message_id").select(
         "message_id", "score", "action", "confidence",

@@ -85,7 +85,7 @@ def _build_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("snippet").alias("snippet"),
         payload.alias("payload"),
     )
-    return em.select(doc.alias("raw_id"), F.to_json(msg).alias("json"))
+    return em.select(doc.alias("raw_id"), F.col("date").alias("received_at"), F.to_json(msg).alias("json"))
 
 
 def normalize_messages(raw: DataFrame, ingest_ts: Column, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
@@ -165,23 +165,30 @@ def select_messages(
     the message's internal date), newest first, capped at ``max_total``
     (a falsy cap means no cap)."""
     v = F.try_parse_json(F.col(json_col))
-    ms = F.try_variant_get(v, "$.internalDate", "bigint")
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    ts = F.timestamp_add("MILLISECOND", ms, epoch)
+    if "received_at" in raw.columns:
+        # Stored alongside the message: the date filter reaches the parquet
+        # scan (row-group skipping) before any JSON is parsed.
+        ts = F.col("received_at")
+    else:
+        ms = F.try_variant_get(v, "$.internalDate", "bigint")
+        ts = F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     out = raw.withColumn("_ts", ts)
-    labs = F.coalesce(F.try_variant_get(v, "$.labelIds", "array<string>"), F.array().cast("array<string>"))
-    for lab in label_ids or []:
-        out = out.filter(F.array_contains(labs, lab))
     if after:
         out = out.filter(F.col("_ts") >= F.lit(dt.datetime.combine(after, dt.time())).cast("timestamp_ntz"))
     if before:
         out = out.filter(F.col("_ts") < F.lit(dt.datetime.combine(before, dt.time())).cast("timestamp_ntz"))
-    out = out.orderBy(F.col("_ts").desc(), F.col(raw.columns[0]))
+    labs = F.coalesce(F.try_variant_get(v, "$.labelIds", "array<string>"), F.array().cast("array<string>"))
+    for lab in label_ids or []:
+        out = out.filter(F.array_contains(labs, lab))
     if max_total:
-        out = out.limit(max_total)
+        # Only a capped listing needs the newest-first order.
+        out = out.orderBy(F.col("_ts").desc(), F.col(raw.columns[0])).limit(max_total)
     return out.drop("_ts")
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw message table (stored form, written once per application)."""
-    return materialized(spark, f"raw_messages|{sf_dir}", lambda: _build_raw_messages(spark, sf_dir))
+    """The raw message table (stored form, written once per application,
+    sorted by receive time so row groups carry tight min/max statistics)."""
+    return materialized(
+        spark, f"raw_messages|{sf_dir}", lambda: _build_raw_messages(spark, sf_dir).sortWithinPartitions("received_at")
+    )
