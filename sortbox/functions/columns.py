@@ -18,6 +18,20 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ntz_lit(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a naive datetime (or date), built from
+    its text so that no session or process time zone is involved."""
+    import datetime as _dt
+
+    if isinstance(value, _dt.datetime):
+        text = value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    elif isinstance(value, _dt.date):
+        text = value.strftime("%Y-%m-%d 00:00:00")
+    else:
+        text = str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def blank_to_null(c: str | Column) -> Column:
     """Python truthiness for strings: '' and NULL are both "missing"."""
     c = col(c)

@@ -12,13 +12,15 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 from ..functions import columns as C
 
 FALSE_POSITIVE_COMMENT = "User moved back to inbox after bot archived"
 
 
 def _since(as_of: dt.datetime, days: int) -> Column:
-    return F.lit(as_of - dt.timedelta(days=days)).cast("timestamp_ntz")
+    return ntz_lit(as_of - dt.timedelta(days=days))
 
 
 def json_score(action_json: str | Column = "action_json") -> Column:
@@ -98,7 +100,7 @@ def collect_feedback(
     )
     new_feedback = outcome.filter("false_positive").select(
         "message_id",
-        F.lit(as_of).cast("timestamp_ntz").alias("review_date"),
+        ntz_lit(as_of).alias("review_date"),
         F.lit(False).alias("decision_correct"),
         F.lit(None).cast("boolean").alias("label_correct"),
         F.lit("keep").alias("correct_decision"),
@@ -190,7 +192,7 @@ def apply_corrections(
         "remove", "add",
         F.when(has_label, F.element_at(split_labels(F.col("correct_label")), 1)).alias("primary_label"),
     )
-    stamp = F.lit(as_of).cast("timestamp_ntz")
+    stamp = ntz_lit(as_of)
     moves = plan.filter("moved_to_inbox").select(
         "review_id", "message_id", F.lit("move_to_inbox").alias("action_type"),
         F.lit(None).cast("array<string>").alias("removed"), F.lit(None).cast("array<string>").alias("added"),

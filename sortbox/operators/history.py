@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 EPOCH = "1970-01-01 00:00:00"
 
 
 def epoch_us(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), ts)
+    return F.timestamp_diff("MICROSECOND", ntz_lit(EPOCH), ts)
 
 
 def time_bucket(ts: Column, seconds: int) -> Column:

@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 from ..functions import columns as C
 
 # Built-in categories of the rule-based categoriser, in order.
@@ -69,8 +71,8 @@ def unread_emails(emails: DataFrame, limit: int | None = None) -> DataFrame:
 
 def emails_in_range(emails: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
     """start <= date <= end, both inclusive."""
-    lo = F.lit(start).cast("timestamp_ntz")
-    hi = F.lit(end).cast("timestamp_ntz")
+    lo = ntz_lit(start)
+    hi = ntz_lit(end)
     return _newest_first(emails.filter((F.col("date") >= lo) & (F.col("date") <= hi)))
 
 

@@ -14,6 +14,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 EMAIL_COLUMNS = [
     "message_id", "thread_id", "from_address", "from_name", "to_address", "subject", "date", "snippet",
     "body_plain", "body_html", "labels", "was_read", "was_archived", "is_important", "is_starred",
@@ -30,7 +32,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def _ts(value: dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+    return ntz_lit(value)
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:

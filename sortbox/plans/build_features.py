@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 from ..operators import features as FE
 from ..operators import joins as J
 from ..operators import store as ST
@@ -56,7 +58,7 @@ def build_features(
         new = new.withColumn("subject_embedding", F.lit(None).cast("array<double>")).withColumn(
             "body_embedding", F.lit(None).cast("array<double>")
         )
-    new = new.withColumn("computed_at", F.lit(now).cast("timestamp_ntz"))
+    new = new.withColumn("computed_at", ntz_lit(now))
     supplied = [c for c in new.columns if c not in ("message_id", "computed_at")]
     table = ST.upsert_features(feature_store.select(*FEATURE_COLUMNS), new, supplied, FEATURE_COLUMNS, now)
     return {"new": new, "table": table}

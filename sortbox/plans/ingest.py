@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 from ..operators import store as ST
 from ..sources import messages as MS
 
@@ -33,7 +35,7 @@ def ingest_history(
     quarantined), upserted.  Returns table, quarantine and summary."""
     start = (as_of - dt.timedelta(days=months * 30)).date()
     sel = MS.select_messages(raw, after=start, max_total=max_emails)
-    good, bad = MS.normalize_messages(sel, F.lit(as_of).cast("timestamp_ntz"))
+    good, bad = MS.normalize_messages(sel, ntz_lit(as_of))
     table = ST.upsert_emails(existing, good, as_of)
     return {"table": table, "quarantine": bad, "summary": _summary(sel, good, bad)}
 
@@ -42,7 +44,7 @@ def ingest_recent(raw: DataFrame, existing: DataFrame, as_of: dt.datetime, days:
     """Mail of the last ``days`` days without failure isolation."""
     start = (as_of - dt.timedelta(days=days)).date()
     sel = MS.select_messages(raw, after=start)
-    good, bad = MS.normalize_messages(sel, F.lit(as_of).cast("timestamp_ntz"))
+    good, bad = MS.normalize_messages(sel, ntz_lit(as_of))
     # No isolation: any unparseable message fails the job.
     guard = bad.select(F.raise_error(F.lit("unparseable message in recent export")).alias("_e"))
     checked = good.unionByName(guard.select(*[F.lit(None).cast(t).alias(c) for c, t in good.dtypes]), allowMissingColumns=False)
@@ -55,6 +57,6 @@ def refresh_messages(raw: DataFrame, existing: DataFrame, ids: DataFrame, as_of:
     v = F.try_parse_json(F.col("json"))
     keyed = raw.withColumn("message_id", F.try_variant_get(v, "$.id", "string"))
     sel = keyed.join(ids.select("message_id").distinct(), "message_id", "left_semi").drop("message_id")
-    good, bad = MS.normalize_messages(sel, F.lit(as_of).cast("timestamp_ntz"))
+    good, bad = MS.normalize_messages(sel, ntz_lit(as_of))
     table = ST.upsert_emails(existing, good, as_of)
     return {"table": table, "updated": good.agg(F.count(F.lit(1)).alias("updated")), "quarantine": bad}

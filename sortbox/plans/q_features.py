@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 from .. import oracles as O
 from ..functions import columns as C
 from ..operators import decisions as D
@@ -279,7 +281,7 @@ email_features AS (
 def _build_stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = B.emails(spark, sf_dir)
     feats = FE.email_features(em, B.feature_embeddings(spark, sf_dir))
-    dates = em.select("message_id", "date").filter(F.col("date") < F.lit(FEATURE_CUTOFF).cast("timestamp_ntz"))
+    dates = em.select("message_id", "date").filter(F.col("date") < ntz_lit(FEATURE_CUTOFF))
     return feats.join(dates, "message_id").select(
         *feats.columns, F.expr("timestampadd(HOUR, 2, date)").alias("computed_at")
     )

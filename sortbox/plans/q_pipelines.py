@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 from .. import oracles as O
 from ..sources import bridge as B
 from ..sources import messages as MS
@@ -88,7 +90,7 @@ def _triage_run(spark, sf_dir) -> dict[str, DataFrame]:
     em = B.emails(spark, sf_dir)
     committed = em.filter(F.col("date") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
     raw = MS.select_messages(MS.raw_messages(spark, sf_dir), after=dt.date(2024, 1, 22))
-    incoming, _ = MS.normalize_messages(raw, F.lit(NOW).cast("timestamp_ntz"))
+    incoming, _ = MS.normalize_messages(raw, ntz_lit(NOW))
     store = stored_features(spark, sf_dir)
     return TR.triage(
         committed, incoming, store, B.sender_label_mappings(spark),

@@ -8,6 +8,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 from .. import oracles as O
 from ..functions import columns as C
 from ..functions import mime as M
@@ -41,7 +43,7 @@ def _raw(spark, sf_dir) -> DataFrame:
 
 
 def _normalized(spark, sf_dir) -> DataFrame:
-    return MS.normalize_messages(_raw(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"))[0]
+    return MS.normalize_messages(_raw(spark, sf_dir), ntz_lit(NOW))[0]
 
 
 def _raw_parsed(spark, sf_dir) -> DataFrame:
@@ -73,7 +75,7 @@ def normalize_messages_q(spark, sf_dir):
     O.with_tables("SELECT doc_id AS raw_id FROM emails WHERE doc_id % 991 = 0 AND date < TIMESTAMP '2024-01-21 00:00:00'", "emails"),
 )
 def normalize_quarantine_q(spark, sf_dir):
-    _, bad = MS.normalize_messages(_raw(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"))
+    _, bad = MS.normalize_messages(_raw(spark, sf_dir), ntz_lit(NOW))
     return bad.select("raw_id")
 
 
@@ -107,7 +109,7 @@ def parse_address_q(spark, sf_dir):
 @register("parse_mail_date", O.with_tables("SELECT doc_id AS raw_id, date FROM emails", "emails"))
 def parse_mail_date_q(spark, sf_dir):
     p = _raw_parsed(spark, sf_dir)
-    return p.select("raw_id", M.parse_mail_date(M.header_lookup(F.col("headers"), "date"), F.lit(NOW).cast("timestamp_ntz")).alias("date"))
+    return p.select("raw_id", M.parse_mail_date(M.header_lookup(F.col("headers"), "date"), ntz_lit(NOW)).alias("date"))
 
 
 @register(

@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 from .. import oracles as O
 from ..operators import history as H
 from ..operators import store as ST
@@ -159,7 +161,7 @@ def stream_triage_q(spark, sf_dir):
     em = B.emails(spark, sf_dir)
     committed = em.filter(F.col("date") < F.lit("2024-01-22 00:00:00").cast("timestamp_ntz"))
     raw = MS.select_messages(MS.raw_messages(spark, sf_dir), after=dt.date(2024, 1, 22))
-    incoming, _ = MS.normalize_messages(raw, F.lit(now).cast("timestamp_ntz"))
+    incoming, _ = MS.normalize_messages(raw, ntz_lit(now))
     path = SJ.stage_files(incoming, f"{base}/incoming", "date", 4)
     stream = SJ.file_stream(spark, path, incoming.schema, 2)
     dec = SJ.stream_triage(

@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 from ..functions import columns as C
 from ..operators import decisions as D
 from ..operators import features as FE
@@ -161,7 +163,7 @@ def triage(
         "message_id",
         F.col("action").alias("action_type"),
         F.lit("bot").alias("source"),
-        F.lit(as_of).cast("timestamp_ntz").alias("timestamp"),
+        ntz_lit(as_of).alias("timestamp"),
         F.struct(
             F.col("score").alias("score"), F.col("confidence").alias("confidence"), F.col("labels").alias("labels"),
             F.lit(None).cast("string").alias("reason"), F.lit(None).cast("array<string>").alias("removed"),

@@ -13,6 +13,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_lit
+
 from ..functions import mime as M
 from . import bridge as B
 from .materialize import materialized
@@ -78,7 +80,7 @@ def _build_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     msg = F.struct(
         # A few old messages arrive without an id (they must be quarantined).
-        F.when((doc % 991 != 0) | (F.col("date") >= F.lit(CORRUPT_BEFORE).cast("timestamp_ntz")), F.col("message_id")).alias("id"),
+        F.when((doc % 991 != 0) | (F.col("date") >= ntz_lit(CORRUPT_BEFORE)), F.col("message_id")).alias("id"),
         F.timestamp_diff("MILLISECOND", epoch, F.col("date")).cast("string").alias("internalDate"),
         F.col("thread_id").alias("threadId"),
         F.col("labels").alias("labelIds"),
@@ -174,9 +176,9 @@ def select_messages(
         ts = F.timestamp_add("MILLISECOND", ms, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     out = raw.withColumn("_ts", ts)
     if after:
-        out = out.filter(F.col("_ts") >= F.lit(dt.datetime.combine(after, dt.time())).cast("timestamp_ntz"))
+        out = out.filter(F.col("_ts") >= ntz_lit(dt.datetime.combine(after, dt.time())))
     if before:
-        out = out.filter(F.col("_ts") < F.lit(dt.datetime.combine(before, dt.time())).cast("timestamp_ntz"))
+        out = out.filter(F.col("_ts") < ntz_lit(dt.datetime.combine(before, dt.time())))
     labs = F.coalesce(F.try_variant_get(v, "$.labelIds", "array<string>"), F.array().cast("array<string>"))
     for lab in label_ids or []:
         out = out.filter(F.array_contains(labs, lab))

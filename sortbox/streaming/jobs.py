@@ -24,6 +24,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..functions.columns import ntz_lit
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -66,8 +68,16 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
 
 def with_event_time(stream: DataFrame, ts: str = "date") -> DataFrame:
     """Watermarks need a TIMESTAMP column; mail dates are naive wall clock,
-    read here as UTC."""
-    return stream.withColumn("event_time", F.col(ts).cast("timestamp"))
+    read here as UTC (through epoch microseconds, independent of the
+    session time zone)."""
+    from ..operators.history import epoch_us
+
+    return stream.withColumn("event_time", F.timestamp_micros(epoch_us(F.col(ts))))
+
+
+def _to_ntz(ts_col: F.Column) -> F.Column:
+    """TIMESTAMP -> naive wall clock in UTC (inverse of ``with_event_time``)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts_col), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def stream_sender_stats(mail: DataFrame) -> DataFrame:
@@ -79,7 +89,7 @@ def stream_sender_stats(mail: DataFrame) -> DataFrame:
 def daily_volume(mail: DataFrame, watermark: str = "1 day") -> DataFrame:
     m = with_event_time(mail).withWatermark("event_time", watermark)
     return m.groupBy(F.window("event_time", "1 day")).agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("window.start").cast("timestamp_ntz").alias("day"), "n"
+        _to_ntz(F.col("window.start")).alias("day"), "n"
     )
 
 
@@ -139,7 +149,7 @@ def stream_triage(
         r = TR.triage(prior, batch, feature_store, mappings, scorer, as_of, embeddings=embeddings)
         r["decisions"].withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{dec_dir}/epoch={epoch}")
         logged_rows = batch.select(*ST.EMAIL_COLUMNS).withColumn("opened_at", F.lit(None).cast("timestamp_ntz")).withColumn(
-            "collected_at", F.lit(as_of).cast("timestamp_ntz")
+            "collected_at", ntz_lit(as_of)
         )
         logged_rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{log_dir}/epoch={epoch}")
 
