@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .. import oracles as O
 from ..functions import columns as C
 from ..operators import decisions as D
-from ..operators import features as FE
 from ..sources import bridge as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

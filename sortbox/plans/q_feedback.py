@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import oracles as O
