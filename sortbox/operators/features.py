@@ -104,7 +104,7 @@ def previous_email(
     emails: DataFrame,
     key: str = "from_address",
     ts: str = "date",
-    bucket_seconds: int = 86400,
+    bucket_seconds: int = 3600,
     by: list[str] | None = None,
 ) -> DataFrame:
     """For every mail: the latest ``ts`` of the same ``key`` strictly earlier.
@@ -132,7 +132,7 @@ def previous_email(
     )
 
 
-def historical_features(emails: DataFrame, bucket_seconds: int = 86400, targets: DataFrame | None = None) -> DataFrame:
+def historical_features(emails: DataFrame, bucket_seconds: int = 3600, targets: DataFrame | None = None) -> DataFrame:
     """Snapshot-mode history features for every mail in ``emails`` (or only
     for ``targets``, a subset of it, with ``emails`` as the history).
 
@@ -168,7 +168,7 @@ def historical_features(emails: DataFrame, bucket_seconds: int = 86400, targets:
     )
 
 
-def email_features(emails: DataFrame, embeddings: DataFrame | None = None, bucket_seconds: int = 86400) -> DataFrame:
+def email_features(emails: DataFrame, embeddings: DataFrame | None = None, bucket_seconds: int = 3600) -> DataFrame:
     """Full feature row per mail (metadata + historical [+ embeddings])."""
     meta = metadata_features(emails)
     hist = historical_features(emails, bucket_seconds=bucket_seconds)

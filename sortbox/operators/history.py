@@ -53,7 +53,7 @@ def asof_max_before(
     key: str,
     ts: str,
     probe_id: str,
-    bucket_seconds: int = 86400,
+    bucket_seconds: int = 3600,
 ) -> DataFrame:
     """For each probe row: the latest contributor ``ts`` of the same ``key``
     strictly before the probe's ``ts``.  Returns (probe_id, prev_ts)."""

@@ -27,7 +27,7 @@ from ..operators import labels as LB
 from ..operators import store as ST
 from ..session import ensure_checkpoint_dir
 
-BUCKET_SECONDS = 86400
+BUCKET_SECONDS = 3600  # hour buckets: a hot sender spreads over many (sender, hour) tasks
 
 
 def _visible_counts(events: DataFrame, base: DataFrame, key: str, bucket_seconds: int) -> DataFrame:
