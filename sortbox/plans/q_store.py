@@ -47,9 +47,9 @@ def _normalized(spark, sf_dir) -> DataFrame:
 
 
 def _raw_parsed(spark, sf_dir) -> DataFrame:
-    v = F.try_parse_json(F.col("json"))
-    h = F.coalesce(F.try_variant_get(v, "$.payload.headers", M.HEADER_TYPE), F.array().cast(M.HEADER_TYPE))
-    return _raw(spark, sf_dir).select("raw_id", h.alias("headers"), M.mime_parts(F.try_variant_get(v, "$.payload", "variant")).alias("parts"))
+    parsed = _raw(spark, sf_dir).select("raw_id", F.from_json(F.col("json"), M.message_schema()).alias("m"))
+    h = F.coalesce(F.col("m.payload.headers"), F.array().cast(M.HEADER_TYPE))
+    return parsed.select("raw_id", h.alias("headers"), M.mime_parts_typed(F.col("m.payload")).alias("parts"))
 
 
 @register(

@@ -96,16 +96,18 @@ def normalize_messages(raw: DataFrame, ingest_ts: Column, json_col: str = "json"
     Rows without an id or thread id (or unparseable JSON) go to the
     quarantine frame instead of failing the whole job.
     """
-    v = F.try_parse_json(F.col(json_col))
-    headers = F.try_variant_get(v, "$.payload.headers", M.HEADER_TYPE)
-    base = raw.select(
-        "*",
-        F.try_variant_get(v, "$.id", "string").alias("_id"),
-        F.try_variant_get(v, "$.threadId", "string").alias("_thread"),
-        F.coalesce(F.try_variant_get(v, "$.snippet", "string"), F.lit("")).alias("_snippet"),
-        F.coalesce(F.try_variant_get(v, "$.labelIds", "array<string>"), F.array().cast("array<string>")).alias("_labels"),
-        F.coalesce(headers, F.array().cast(M.HEADER_TYPE)).alias("_headers"),
-        M.mime_parts(F.try_variant_get(v, "$.payload", "variant")).alias("_parts"),
+    # Typed parse (bounded MIME depth): every field is read once; malformed
+    # JSON yields NULLs and lands in the quarantine.
+    parsed = raw.select("*", F.from_json(F.col(json_col), M.message_schema(), {"mode": "PERMISSIVE"}).alias("_m"))
+    m = F.col("_m")
+    base = parsed.select(
+        *raw.columns,
+        m["id"].alias("_id"),
+        m["threadId"].alias("_thread"),
+        F.coalesce(m["snippet"], F.lit("")).alias("_snippet"),
+        F.coalesce(m["labelIds"], F.array().cast("array<string>")).alias("_labels"),
+        F.coalesce(m["payload"]["headers"], F.array().cast(M.HEADER_TYPE)).alias("_headers"),
+        M.mime_parts_typed(m["payload"]).alias("_parts"),
     )
     bad = base.filter(F.col("_id").isNull() | F.col("_thread").isNull()).select(*raw.columns)
     good = base.filter(F.col("_id").isNotNull() & F.col("_thread").isNotNull())
