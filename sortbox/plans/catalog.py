@@ -21,11 +21,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; Spark's count_if is BIGINT.  Cast
+    every count_if(...) call so both engines report the same type."""
+    out, i = [], 0
+    token = "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, m = 1, j + len(token)
+        while depth and m < len(sql):
+            depth += {"(": 1, ")": -1}.get(sql[m], 0)
+            m += 1
+        out.append(sql[i:j])
+        out.append(f"CAST({sql[j:m]} AS BIGINT)")
+        i = m
+
+
 def register(key: str, sql: str | None = None):
     def deco(fn):
         QUERIES[key] = fn
         if sql is not None:
-            ORACLES[key] = sql
+            ORACLES[key] = _bigint_count_if(sql)
         return fn
 
     return deco

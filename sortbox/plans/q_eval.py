@@ -220,9 +220,9 @@ per AS (
 ),
 per2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM per)
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, support, round(f1, 6) AS f1 FROM per2
-UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), sum(support), round(avg(f1), 6) FROM per2
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), CAST(sum(support) AS BIGINT), round(avg(f1), 6) FROM per2
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-  sum(support), round(sum(f1 * support) / sum(support), 6) FROM per2""",
+  CAST(sum(support) AS BIGINT), round(sum(f1 * support) / sum(support), 6) FROM per2""",
     ),
 )
 def classification_report_q(spark, sf_dir):

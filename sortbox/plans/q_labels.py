@@ -168,7 +168,7 @@ _FB_SQL = f"""CASE
 @register(
     "fallback_category",
     O.with_tables(
-        f"SELECT message_id, f.label AS label, CAST(f.specificity AS INTEGER) AS specificity, f.confidence AS confidence "
+        f"SELECT message_id, f.label AS label, CAST(f.specificity AS INTEGER) AS specificity, CAST(f.confidence AS DOUBLE) AS confidence "
         f"FROM (SELECT message_id, {_FB_SQL} AS f FROM emails)",
         "emails",
     ),
