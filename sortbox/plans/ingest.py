@@ -45,11 +45,15 @@ def ingest_recent(raw: DataFrame, existing: DataFrame, as_of: dt.datetime, days:
     start = (as_of - dt.timedelta(days=days)).date()
     sel = MS.select_messages(raw, after=start)
     good, bad = MS.normalize_messages(sel, ntz_lit(as_of))
-    # No isolation: any unparseable message fails the job.
-    guard = bad.select(F.raise_error(F.lit("unparseable message in recent export")).alias("_e"))
-    checked = good.unionByName(guard.select(*[F.lit(None).cast(t).alias(c) for c, t in good.dtypes]), allowMissingColumns=False)
+    # No isolation: any unparseable message fails the job.  The check is a
+    # filter predicate (never pruned, unlike a projected column); the
+    # bad-row count is one scalar subquery.
+    n_bad = bad.select(F.count(F.lit(1))).scalar()
+    checked = good.filter(
+        F.when(n_bad > 0, F.raise_error(F.lit("unparseable message in recent export")).isNull()).otherwise(F.lit(True))
+    )
     table = ST.upsert_emails(existing, checked, as_of)
-    return {"table": table, "summary": _summary(sel, good, bad)}
+    return {"table": table, "summary": _summary(sel, checked, bad)}
 
 
 def refresh_messages(raw: DataFrame, existing: DataFrame, ids: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:

@@ -55,3 +55,20 @@ def test_every_oracle_has_a_query():
     assert set(o) <= set(q)
     for k, sql in o.items():
         assert sql.strip().upper().startswith(("SELECT", "WITH")), k
+
+
+def test_ingest_recent_fails_on_bad_rows(spark):
+    import pytest
+
+    raw = MS.raw_messages(spark, SF)
+    existing = B.emails(spark, SF).limit(0)
+    assert MS.normalize_messages(raw, F.lit(None).cast("timestamp_ntz"))[1].count() > 0
+    # the window covers the old id-less rows -> the whole job fails
+    r = IG.ingest_recent(raw, existing, dt.datetime(2024, 2, 1), days=60)
+    with pytest.raises(Exception):
+        r["table"].count()
+    with pytest.raises(Exception):
+        r["summary"].collect()
+    # a clean window succeeds
+    ok = IG.ingest_recent(raw, existing, dt.datetime(2024, 2, 1), days=7)["summary"].first()
+    assert ok.failed == 0 and ok.saved == ok.selected
