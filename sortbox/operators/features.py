@@ -132,35 +132,48 @@ def previous_email(
     )
 
 
-def historical_features(emails: DataFrame, bucket_seconds: int = 3600, targets: DataFrame | None = None) -> DataFrame:
+def historical_features(
+    emails: DataFrame, bucket_seconds: int = 3600, targets: DataFrame | None = None, by: list[str] | None = None
+) -> DataFrame:
     """Snapshot-mode history features for every mail in ``emails`` (or only
     for ``targets``, a subset of it, with ``emails`` as the history).
 
     Counts and rates cover all mail of the sender in the table (including the
     mail itself and later mail); days-since-last uses strictly earlier mail.
+    ``by`` adds partition columns (e.g. a mailbox id): statistics are then
+    kept per (mailbox, sender), so many mailboxes run as one job.
     """
     from .history import asof_max_before
 
-    st = sender_stats(emails).select(
-        "from_address", F.col("total_emails").alias("sender_email_count"), F.col("open_rate").alias("sender_open_rate")
+    keys = by or []
+    st = sender_stats(emails, keys).select(
+        *keys, "from_address", F.col("total_emails").alias("sender_email_count"), F.col("open_rate").alias("sender_open_rate")
     )
-    dom = domain_stats(emails).select(F.col("domain").alias("_dom"), "domain_open_rate")
+    dom = domain_stats(emails, keys).select(*keys, F.col("domain").alias("_dom"), "domain_open_rate")
+    # (mailbox, message) identity: message ids are only unique per mailbox.
+    pid = F.to_json(F.struct(*keys, "message_id")) if keys else F.col("message_id")
     if targets is None:
-        prev = previous_email(emails, bucket_seconds=bucket_seconds)
+        prev = previous_email(emails, bucket_seconds=bucket_seconds, by=keys)
+        prev = prev.select(pid.alias("_pid"), "prev_date")
         rows = emails
     else:
         rows = targets
-        prev = asof_max_before(emails, targets, "from_address", "date", "message_id", bucket_seconds).withColumnRenamed(
-            "prev_ts", "prev_date"
-        )
-    base = rows.select("message_id", "from_address", "date", C.sender_domain("from_address").alias("_dom"))
+        sk = F.to_json(F.struct(*keys, "from_address")) if keys else F.col("from_address")
+        prev = asof_max_before(
+            emails.withColumn("_sk", sk), targets.withColumn("_sk", sk).withColumn("_pid", pid), "_sk", "date", "_pid",
+            bucket_seconds,
+        ).withColumnRenamed("prev_ts", "prev_date")
+    base = rows.select(
+        "message_id", *keys, "from_address", "date", C.sender_domain("from_address").alias("_dom"), pid.alias("_pid")
+    )
     out = (
-        base.join(st, "from_address", "left")
-        .join(dom, "_dom", "left")
-        .join(prev, "message_id", "left")
+        base.join(st, keys + ["from_address"], "left")
+        .join(dom, keys + ["_dom"], "left")
+        .join(prev, "_pid", "left")
     )
     return out.select(
         "message_id",
+        *keys,
         F.coalesce("sender_email_count", F.lit(0)).cast("bigint").alias("sender_email_count"),
         F.coalesce("sender_open_rate", F.lit(0.0)).alias("sender_open_rate"),
         C.days_between(F.col("date"), F.col("prev_date")).alias("sender_days_since_last"),

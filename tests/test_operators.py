@@ -190,3 +190,22 @@ def test_upsert_sender_mapping(spark):
                                 "sender_address string, sender_domain string, label string, seq int")
     out = {(r.sender_address, r.sender_domain): (r.label, r.mapping_id) for r in ST.upsert_sender_mapping(m, upd).collect()}
     assert out[("a@x", None)] == ("L3", 1) and out[(None, "x")] == ("L5", 2) and out[(None, "y")][0] == "L4"
+
+
+def test_historical_features_per_mailbox(spark):
+    rows = [("a", "s@x.com", T0, True, False), ("b", "s@x.com", T0 + dt.timedelta(hours=5), False, True),
+            ("c", "t@y.org", T0 + dt.timedelta(days=1), True, False)]
+    one = _mail(spark, rows)
+    two = one.withColumn("mailbox", F.lit("m1")).unionByName(
+        _mail(spark, rows + [("d", "s@x.com", T0 + dt.timedelta(days=2), True, False)]).withColumn("mailbox", F.lit("m2"))
+    )
+    single = {r.message_id: r for r in FE.historical_features(one).collect()}
+    multi = {(r.mailbox, r.message_id): r for r in FE.historical_features(two, by=["mailbox"]).collect()}
+    for mid, r in single.items():
+        m = multi[("m1", mid)]
+        assert (m.sender_email_count, m.sender_open_rate, m.sender_days_since_last, m.domain_open_rate) == (
+            r.sender_email_count, r.sender_open_rate, r.sender_days_since_last, r.domain_open_rate)
+    assert multi[("m2", "a")].sender_email_count == 3 and multi[("m1", "a")].sender_email_count == 2
+    targ = two.filter(F.col("message_id") == "d")
+    t = FE.historical_features(two, targets=targ, by=["mailbox"]).first()
+    assert t.sender_days_since_last == pytest.approx(2 - 5 / 24)
