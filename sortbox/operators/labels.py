@@ -278,9 +278,11 @@ def nearest_label(
     ).scalar()
     # The subquery is projected as its own column first: subqueries may not
     # sit inside a lambda.
-    features = features.select("message_id", emb_col).withColumn("_cs", packed)
+    # The mail's norm is computed once per row, not once per centroid inside
+    # the lambda.
+    features = features.select("message_id", emb_col, norm(F.col(emb_col)).alias("_en")).withColumn("_cs", packed)
     e = F.col(emb_col)
-    en = norm(e)
+    en = F.col("_en")
     sims = F.transform(
         F.filter(F.col("_cs"), lambda c: c["cn"] > 0),
         lambda c: F.struct(c["label"].alias("label"), (dot(e, c["centroid"]) / (en * c["cn"])).alias("sim")),
