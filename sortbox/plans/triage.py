@@ -44,61 +44,79 @@ def _visible_counts(events: DataFrame, base: DataFrame, key: str, bucket_seconds
     )
 
 
-def sequential_history(committed: DataFrame, incoming: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def sequential_history(
+    committed: DataFrame, incoming: DataFrame, bucket_seconds: int = BUCKET_SECONDS, by: list[str] | None = None
+) -> DataFrame:
     """History features of ``incoming`` as the sequential run sees them.
 
-    Returns message_id, sender_email_count, sender_open_rate,
-    sender_days_since_last, domain_open_rate.
+    Returns (``by`` columns,) message_id, sender_email_count,
+    sender_open_rate, sender_days_since_last, domain_open_rate.  With
+    ``by`` (e.g. a mailbox id) every statistic is kept per mailbox.
     """
-    inc = incoming.select("message_id", "from_address", "date", F.col("was_read").cast("int").alias("rd"))
+    keys = by or []
+
+    def scoped(c: Column) -> Column:
+        return F.to_json(F.struct(*[F.col(k) for k in keys], c.alias("k"))) if keys else c
+
+    pid = F.to_json(F.struct(*keys, "message_id")) if keys else F.col("message_id")
+    inc = incoming.select(*keys, "message_id", "from_address", "date", F.col("was_read").cast("int").alias("rd"))
     old = committed.select(
-        "message_id", F.col("from_address").alias("o_from"), F.col("was_read").cast("int").alias("o_rd")
+        *keys, "message_id", F.col("from_address").alias("o_from"), F.col("was_read").cast("int").alias("o_rd")
     )
-    x = inc.join(old, "message_id", "left").withColumn("existed", F.col("o_from").isNotNull())
+    x = inc.join(old, keys + ["message_id"], "left").withColumn("existed", F.col("o_from").isNotNull()).withColumn("_pid", pid)
 
     def events(key_new: Column, key_old: Column, keep_new: Column, keep_old: Column) -> DataFrame:
         e3 = x.filter(keep_new).select(
-            key_new.alias("_key"), "message_id", "date",
+            key_new.alias("_key"), F.col("_pid").alias("message_id"), "date",
             F.when(F.col("existed"), F.lit(0)).otherwise(F.lit(2)).alias("phase"),
             F.lit(1).alias("dn"), F.col("rd").alias("dr"), F.lit(False).alias("is_probe"),
         )
         e2 = x.filter(F.col("existed") & keep_old).select(
-            key_old.alias("_key"), "message_id", "date", F.lit(0).alias("phase"),
+            key_old.alias("_key"), F.col("_pid").alias("message_id"), "date", F.lit(0).alias("phase"),
             F.lit(-1).alias("dn"), (-F.col("o_rd")).alias("dr"), F.lit(False).alias("is_probe"),
         )
         return e3.unionByName(e2)
 
+    def probes(key: Column) -> DataFrame:
+        return x.select(
+            key.alias("_key"), F.col("_pid").alias("message_id"), "date", F.lit(1).alias("phase"),
+            F.lit(0).alias("dn"), F.lit(0).alias("dr"), F.lit(True).alias("is_probe"),
+        )
+
     # sender counts
-    s_events = events(F.col("from_address"), F.col("o_from"), F.lit(True), F.lit(True))
-    s_probes = x.select(
-        F.col("from_address").alias("_key"), "message_id", "date", F.lit(1).alias("phase"),
-        F.lit(0).alias("dn"), F.lit(0).alias("dr"), F.lit(True).alias("is_probe"),
-    )
-    s_base = committed.groupBy(F.col("from_address").alias("_key")).agg(
+    s_events = events(scoped(F.col("from_address")), scoped(F.col("o_from")), F.lit(True), F.lit(True))
+    s_base = committed.groupBy(scoped(F.col("from_address")).alias("_key")).agg(
         F.count(F.lit(1)).alias("base_n"), F.count_if("was_read").alias("base_r")
     )
-    s = _visible_counts(s_events.unionByName(s_probes), s_base, "_key", bucket_seconds)
+    s = _visible_counts(s_events.unionByName(probes(scoped(F.col("from_address")))), s_base, "_key", bucket_seconds)
 
     # domain counts ('@domain' suffix match, ASCII case-insensitive)
-    dom_new = F.lower(F.substring_index("from_address", "@", -1))
-    dom_old = F.lower(F.substring_index("o_from", "@", -1))
+    dom_new = scoped(F.lower(F.substring_index("from_address", "@", -1)))
+    dom_old = scoped(F.lower(F.substring_index("o_from", "@", -1)))
     d_events = events(dom_new, dom_old, F.col("from_address").contains("@"), F.col("o_from").contains("@"))
-    d_probes = x.select(
-        C.sender_domain("from_address").alias("_key"), "message_id", "date", F.lit(1).alias("phase"),
-        F.lit(0).alias("dn"), F.lit(0).alias("dr"), F.lit(True).alias("is_probe"),
-    )
     d_base = (
         committed.filter(F.col("from_address").contains("@"))
-        .groupBy(F.lower(F.substring_index("from_address", "@", -1)).alias("_key"))
+        .groupBy(scoped(F.lower(F.substring_index("from_address", "@", -1))).alias("_key"))
         .agg(F.count(F.lit(1)).alias("base_n"), F.count_if("was_read").alias("base_r"))
     )
+    d_probes = probes(scoped(C.sender_domain("from_address")))
     d = _visible_counts(d_events.unionByName(d_probes), d_base, "_key", bucket_seconds).select(
         "message_id", F.col("n").alias("dn_"), F.col("r").alias("dr_")
     )
 
-    prev = H.asof_max_before(committed, incoming, "from_address", "date", "message_id", bucket_seconds)
-    out = inc.join(s, "message_id").join(d, "message_id").join(prev, "message_id", "left")
+    sk = scoped(F.col("from_address"))
+    prev = H.asof_max_before(
+        committed.withColumn("_sk", sk), incoming.withColumn("_sk", sk).withColumn("_pid", pid), "_sk", "date", "_pid",
+        bucket_seconds,
+    ).withColumnRenamed("_pid", "message_id")
+    out = (
+        x.select(*keys, "message_id", "date", F.col("_pid"))
+        .join(s.withColumnRenamed("message_id", "_pid"), "_pid")
+        .join(d.withColumnRenamed("message_id", "_pid"), "_pid")
+        .join(prev.withColumnRenamed("message_id", "_pid"), "_pid", "left")
+    )
     return out.select(
+        *keys,
         "message_id",
         F.col("n").cast("bigint").alias("sender_email_count"),
         F.when(F.col("n") > 0, F.col("r") / F.col("n")).otherwise(F.lit(0.0)).alias("sender_open_rate"),

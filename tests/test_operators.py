@@ -209,3 +209,19 @@ def test_historical_features_per_mailbox(spark):
     targ = two.filter(F.col("message_id") == "d")
     t = FE.historical_features(two, targets=targ, by=["mailbox"]).first()
     assert t.sender_days_since_last == pytest.approx(2 - 5 / 24)
+
+
+def test_sequential_history_per_mailbox(spark):
+    cols = "mailbox string, message_id string, from_address string, date timestamp_ntz, was_read boolean, was_archived boolean"
+    committed = spark.createDataFrame(
+        [("m1", "old1", "s@x.com", T0, True, False), ("m2", "old1", "s@x.com", T0, False, False),
+         ("m2", "old2", "s@x.com", T0, True, False)], cols
+    )
+    incoming = spark.createDataFrame(
+        [("m1", "new", "s@x.com", T0 + dt.timedelta(days=1), True, False),
+         ("m2", "new", "s@x.com", T0 + dt.timedelta(days=1), True, False)], cols
+    )
+    h = {(r.mailbox, r.message_id): r for r in TR.sequential_history(committed, incoming, 3600, by=["mailbox"]).collect()}
+    assert h[("m1", "new")].sender_email_count == 1 and h[("m1", "new")].sender_open_rate == 1.0
+    assert h[("m2", "new")].sender_email_count == 2 and h[("m2", "new")].sender_open_rate == 0.5
+    assert h[("m2", "new")].sender_days_since_last == pytest.approx(1.0)
