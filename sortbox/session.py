@@ -25,6 +25,25 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster (applied by the deployment, not by library
+# code).  Shuffle partitions start high and AQE coalesces them to the
+# advisory size; skewed sort-merge join partitions are split; scans read
+# 256 MB splits; the broadcast threshold stays at a size the driver and
+# executors can hold; Arrow batches bound the Python workers' memory.
+CLUSTER_CONF = {
+    **BASE_CONF,
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "sortbox") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
