@@ -57,15 +57,23 @@ def asof_max_before(
 ) -> DataFrame:
     """For each probe row: the latest contributor ``ts`` of the same ``key``
     strictly before the probe's ``ts``.  Returns (probe_id, prev_ts)."""
-    c = contributors.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(True).alias("_is_c"), F.lit(None).cast("string").alias("_pid"))
-    p = probes.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(False).alias("_is_c"), F.col(probe_id).cast("string").alias("_pid"))
-    u = c.unionByName(p).withColumn("_b", time_bucket(F.col("_t"), bucket_seconds))
+    c = contributors.select(
+        F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(True).alias("_is_c"), F.lit(None).cast("string").alias("_pid")
+    ).withColumn("_b", time_bucket(F.col("_t"), bucket_seconds))
+    p = probes.select(
+        F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(False).alias("_is_c"), F.col(probe_id).cast("string").alias("_pid")
+    ).withColumn("_b", time_bucket(F.col("_t"), bucket_seconds))
+    probe_buckets = p.select("_k", "_b").distinct()
+    # Only contributors in (key, bucket)s that hold probes are sorted; the
+    # rest of the history enters through the per-bucket maxima below.
+    near = c.join(probe_buckets, ["_k", "_b"], "left_semi")
+    u = near.unionByName(p)
     w_in = Window.partitionBy("_k", "_b").orderBy(epoch_us(F.col("_t"))).rangeBetween(Window.unboundedPreceding, -1)
     within = u.withColumn("_prev_in", F.max(F.when(F.col("_is_c"), F.col("_t"))).over(w_in)).filter(~F.col("_is_c"))
-    # One row per (key, bucket) holding contributors or probes; the latest
-    # contributor of all earlier buckets is carried forward.
-    per_bucket = c.withColumn("_b", time_bucket(F.col("_t"), bucket_seconds)).groupBy("_k", "_b").agg(F.max("_t").alias("_m"))
-    probe_buckets = within.select("_k", "_b").distinct()
+    # One row per (key, bucket) holding contributors or probes (a partial
+    # aggregate, no sort of the history); the latest contributor of all
+    # earlier buckets is carried forward.
+    per_bucket = c.groupBy("_k", "_b").agg(F.max("_t").alias("_m"))
     all_b = per_bucket.join(probe_buckets, ["_k", "_b"], "full")
     w_all = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     filled = all_b.select("_k", "_b", F.max("_m").over(w_all).alias("_prev_out"))
