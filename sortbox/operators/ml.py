@@ -92,10 +92,13 @@ def stratified_split(
     # One row per (class, bucket): small for two classes, but it grows with
     # the number of classes, so AQE decides whether to broadcast it.
     j = h.join(per, [label, "_b"])
+    # Only the cut-off bucket of each class is ranked (about 1/buckets of
+    # the rows); every other row is decided by its bucket alone.
     w = Window.partitionBy(label, "_b").orderBy("_h", key)
-    ranked = j.withColumn("_r", F.when(F.col("_state") == "cut", F.row_number().over(w)))
-    is_test = (F.col("_state") == "all") | ((F.col("_state") == "cut") & (F.col("_r") <= F.col("_take")))
-    return ranked.withColumn("is_test", is_test).drop("_h", "_b", "_state", "_take", "_r")
+    cut = j.filter(F.col("_state") == "cut").withColumn("_r", F.row_number().over(w))
+    cut = cut.withColumn("is_test", F.col("_r") <= F.col("_take")).drop("_r")
+    rest = j.filter(F.col("_state") != "cut").withColumn("is_test", F.col("_state") == "all")
+    return rest.unionByName(cut).drop("_h", "_b", "_state", "_take")
 
 
 def feature_columns(df: DataFrame) -> list[str]:
