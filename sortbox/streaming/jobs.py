@@ -35,30 +35,23 @@ from ..plans import triage as TR
 
 
 def stage_files(df: DataFrame, path: str, order_col: str, files: int) -> str:
-    """Write ``df`` as ``files`` consecutive ``order_col`` ranges, one range
-    after the other, so that the file source (which replays files in
-    modification-time order) sees the data in order.  Test scaffolding:
-    ``files`` is small and each range is written by a distributed job."""
-    import time
-
-    from ..operators.history import epoch_us
-
-    qs = [i / files for i in range(1, files)]
-    if dict(df.dtypes)[order_col] in ("timestamp", "timestamp_ntz"):
-        key = epoch_us(F.col(order_col)).cast("double")
-    else:
-        key = F.col(order_col).cast("double")
-    keyed = df.withColumn("_k", key)
-    bounds = sorted(set(keyed.approxQuantile("_k", qs, 0.001))) if qs else []
-    edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        part = keyed
-        if lo is not None:
-            part = part.filter(F.col("_k") >= lo)
-        if hi is not None:
-            part = part.filter(F.col("_k") < hi)
-        part.drop("_k").coalesce(1).sortWithinPartitions(order_col).write.mode("append").parquet(path)
-        time.sleep(0.05)  # distinct modification times
+    """Write ``df`` as ``files`` consecutive ``order_col`` ranges in one
+    range-partitioned job, then stamp the files' modification times in range
+    order, so that the file source (which replays files in modification-time
+    order) sees the data in order.  Test scaffolding for the stream keys."""
+    df.repartitionByRange(files, order_col).sortWithinPartitions(order_col).write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # part-00000 holds the lowest range; only file metadata is touched here
+    parts = sorted(
+        (st.getPath() for st in fs.listStatus(hpath) if st.getPath().getName().startswith("part-")),
+        key=lambda p: p.getName(),
+    )
+    base = int(fs.getFileStatus(hpath).getModificationTime())
+    for i, p in enumerate(parts):
+        fs.setTimes(p, base + 1000 * (i + 1), -1)
     return path
 
 
