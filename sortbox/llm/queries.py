@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortbox.llm import language_id, packing, quality
+from sortbox.llm import language_id, packing, quality, sharding
 from sortbox.llm.tables import read
 
 
@@ -16,6 +16,10 @@ def op7_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFr
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -57,9 +61,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM ruled JOIN hosts USING (host) CROSS JOIN strength
 """
 
+# crc32 bit by bit: the table has the eight shifts of each byte, the fold goes over the text's bytes.
+OP9_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT b, b AS c, 0 AS k FROM (SELECT unnest(range(0, 256)) AS b)
+  UNION ALL
+  SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8
+), texts AS (
+  SELECT DISTINCT coalesce(text, '') AS text FROM documents
+), checks AS (
+  SELECT text, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+                   lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+  FROM texts, crc_table
+), base AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(d.text, ''))) + 16 AS BIGINT) AS size, crc AS text_crc32, md5(coalesce(d.text, '')) AS key
+  FROM documents d JOIN checks ON checks.text = coalesce(d.text, '')
+), total AS (
+  SELECT sum(size) AS t FROM base
+), classed AS (
+  SELECT base.*, t, CASE WHEN size * 160 > t THEN 0 WHEN size * 640 > t THEN 1 WHEN size * 2560 > t THEN 2 WHEN size * 10240 > t THEN 3 ELSE 4 END AS tier
+  FROM base, total
+), placed AS (
+  SELECT *, CAST(coalesce(sum(size) OVER (ORDER BY tier, key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS DOUBLE) AS middle,
+         row_number() OVER (ORDER BY tier, key, doc_id) - 1 AS rank FROM classed
+), shards AS (
+  SELECT unnest(range(0, 40)) AS s
+), done_0 AS (
+  SELECT CAST(NULL AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS size, CAST(NULL AS BIGINT) AS shard WHERE false
+)""" + "".join(
+    # One class after the other: what the shards hold, the room left, and where the room's ends lie.
+    f""", sums_{t} AS (
+  SELECT coalesce(sum(size) FILTER (WHERE tier < {t}), 0) AS begin, sum(size) FILTER (WHERE tier = {t}) AS own FROM classed
+), room_{t} AS (
+  SELECT s, greatest(0, begin + own - 40 * coalesce((SELECT sum(size) FROM done_{t} d WHERE d.shard = s), 0)) AS room FROM shards, sums_{t}
+), ends_{t} AS (
+  SELECT list(e ORDER BY s) FILTER (WHERE s < 39) AS ends, max(e) AS whole
+  FROM (SELECT s, CAST(sum(room) OVER (ORDER BY s) AS DOUBLE) AS e FROM room_{t})
+), done_{t + 1} AS (
+  SELECT * FROM done_{t} UNION ALL
+  SELECT rank, size, len(list_filter(ends, lambda e: e <= (middle - begin) * (whole / own))) FROM placed, sums_{t}, ends_{t} WHERE tier = {t}
+)"""
+    for t in range(5)
+) + r"""
+SELECT doc_id, placed.size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY rank) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM placed JOIN done_5 USING (rank)
+"""
+
 QUERIES = {
     "op6_host_quality_rules": op6_host_quality_rules,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
+    "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
     "op10_hierarchical_packing": op10_hierarchical_packing,
 }
-ORACLES = {"op6_host_quality_rules": OP6_SQL}
+ORACLES = {"op6_host_quality_rules": OP6_SQL, "op9_sampled_splitter_shards": OP9_SQL}
