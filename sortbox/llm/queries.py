@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortbox.llm import language_id, packing, quality, sharding
+from sortbox.llm import language_id, near_dup, packing, quality, sharding
 from sortbox.llm.tables import read
 
 
@@ -16,6 +16,10 @@ def op7_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFr
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -113,6 +117,7 @@ FROM placed JOIN done_5 USING (rank)
 QUERIES = {
     "op6_host_quality_rules": op6_host_quality_rules,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
     "op10_hierarchical_packing": op10_hierarchical_packing,
 }
