@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sortbox.llm import language_id, near_dup, packing, quality, sharding
+from sortbox.llm import language_id, near_dup, packing, quality, sharding, substring_dedup
 from sortbox.llm.tables import read
 
 
+def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
@@ -28,6 +34,26 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), place AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM place
+), owners AS (
+  SELECT h, min(doc_id) AS owner FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN owners USING (h) WHERE owner < doc_id
+), each_word AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM words
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM each_word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH words AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
@@ -115,10 +141,11 @@ FROM placed JOIN done_5 USING (rank)
 """
 
 QUERIES = {
+    "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
     "op6_host_quality_rules": op6_host_quality_rules,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
     "op10_hierarchical_packing": op10_hierarchical_packing,
 }
-ORACLES = {"op6_host_quality_rules": OP6_SQL, "op9_sampled_splitter_shards": OP9_SQL}
+ORACLES = {"op4_suffix_tree_dedup": OP4_SQL, "op6_host_quality_rules": OP6_SQL, "op9_sampled_splitter_shards": OP9_SQL}
