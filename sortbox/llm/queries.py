@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortbox.llm import language_id, near_dup, packing, quality, sharding, substring_dedup
+from sortbox.llm import language_id, near_dup, packing, quality, sharding, substring_dedup, toxicity
 from sortbox.llm.tables import read
 
 
+def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs.withColumn("held_out", toxicity.held_out()), model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
@@ -141,6 +148,7 @@ FROM placed JOIN done_5 USING (rank)
 """
 
 QUERIES = {
+    "op3_recurrent_toxicity": op3_recurrent_toxicity,
     "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
     "op6_host_quality_rules": op6_host_quality_rules,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
