@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortbox.llm import language_id, near_dup, packing, quality, sharding, substring_dedup, toxicity
+from sortbox.llm import decontamination, language_id, near_dup, packing, quality, sharding, substring_dedup, toxicity
 from sortbox.llm.tables import read
 
 
+def op1_latent_semantic_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it leaks."""
+    docs = decontamination.with_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
+    return docs.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -148,6 +154,7 @@ FROM placed JOIN done_5 USING (rank)
 """
 
 QUERIES = {
+    "op1_latent_semantic_decontamination": op1_latent_semantic_decontamination,
     "op3_recurrent_toxicity": op3_recurrent_toxicity,
     "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
     "op6_host_quality_rules": op6_host_quality_rules,
