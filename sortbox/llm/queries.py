@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortbox.llm import decontamination, language_id, near_dup, packing, quality, sharding, substring_dedup, toxicity
+from sortbox.llm import decontamination, html_extraction, language_id, near_dup, packing, quality, sharding, substring_dedup, toxicity
 from sortbox.llm.tables import read
 
 
@@ -15,6 +15,10 @@ def op1_latent_semantic_decontamination(spark: SparkSession, sf_dir: str) -> Dat
     return docs.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+def op2_boosted_dom_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -155,6 +159,7 @@ FROM placed JOIN done_5 USING (rank)
 
 QUERIES = {
     "op1_latent_semantic_decontamination": op1_latent_semantic_decontamination,
+    "op2_boosted_dom_extraction": op2_boosted_dom_extraction,
     "op3_recurrent_toxicity": op3_recurrent_toxicity,
     "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
     "op6_host_quality_rules": op6_host_quality_rules,
