@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortbox.llm import decontamination, html_extraction, language_id, near_dup, packing, quality, sharding, substring_dedup, toxicity
+from sortbox.llm import decontamination, html_extraction, language_id, licenses, near_dup, packing, quality, sharding, substring_dedup, toxicity
 from sortbox.llm.tables import read
 
 
@@ -31,6 +31,18 @@ def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """The documents as files: a tree for each source, every eighth document a licence file."""
+    name = F.when(F.col("doc_id") % 8 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.lit("file-"), F.col("doc_id"), F.lit(".txt")))
+    folder = F.concat_ws("/", F.col("source"), F.expr("concat('a', doc_id div 4096)"), F.expr("concat('b', doc_id div 256 % 16)"))
+    deeper = F.when(F.col("doc_id") % 8 == 0, folder).otherwise(F.concat(folder, F.expr("concat('/c', doc_id % 4)")))
+    return docs.withColumn("path", F.concat_ws("/", deeper, name))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(document_paths(read(spark, sf_dir, "documents")), ["doc_id"])
+
+
 def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
@@ -157,15 +169,76 @@ SELECT doc_id, placed.size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS sh
 FROM placed JOIN done_5 USING (rank)
 """
 
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(rows))
+
+
+OP5_SQL = r"""
+WITH templates AS (
+  SELECT * FROM (VALUES __TEMPLATES__) v(template, license, text)
+), t_words AS (
+  SELECT template, license, word, count(*) AS n FROM (
+    SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.][0-9]+)*')) AS word FROM templates) GROUP BY ALL
+), files AS (
+  SELECT doc_id, text, concat(source, '/a', doc_id // 4096, '/b', doc_id // 256 % 16, CASE WHEN doc_id % 8 = 0 THEN '' ELSE concat('/c', doc_id % 4) END) AS folder,
+         CASE WHEN doc_id % 8 = 0 THEN concat('LICENSE-', doc_id) ELSE concat('file-', doc_id, '.txt') END AS name FROM documents
+), total AS (
+  SELECT count(*) AS files FROM files
+), df AS (
+  SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.][0-9]+)*'))) AS word FROM files) GROUP BY word
+), vocabulary AS (
+  SELECT word, coalesce(df, 0) AS df, ln((1.0 + files) / (1.0 + coalesce(df, 0))) AS w, coalesce(df, 0) <= greatest(10, 0.2 * files) AS cue
+  FROM (SELECT DISTINCT word FROM t_words) LEFT JOIN df USING (word), total
+), t_norms AS (
+  SELECT template, sqrt(sum((n * w) ** 2)) AS t_norm FROM t_words JOIN vocabulary USING (word) GROUP BY template
+), segments AS (
+  SELECT doc_id, segment, row_number() OVER () AS seg FROM (
+    SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ 	]+', '' || chr(10), 'g'), chr(10))) AS segment FROM files)
+), s_words AS (
+  SELECT doc_id, seg, word, count(*) AS n FROM (
+    SELECT doc_id, seg, unnest(regexp_extract_all(lower(segment), '[a-z0-9]+(?:[.][0-9]+)*')) AS word FROM segments) GROUP BY ALL
+), compared AS (
+  SELECT DISTINCT seg FROM s_words JOIN vocabulary USING (word) WHERE cue
+), weighed AS (
+  SELECT doc_id, seg, word, s_words.n * coalesce(w, ln(1.0 + files)) AS s_w
+  FROM s_words SEMI JOIN compared USING (seg) LEFT JOIN vocabulary USING (word), total
+), s_norms AS (
+  SELECT seg, sqrt(sum(s_w ** 2)) AS s_norm FROM weighed GROUP BY seg
+), dots AS (
+  SELECT doc_id, seg, template, license, sum(s_w * t.n * w) AS dot
+  FROM weighed JOIN t_words t USING (word) JOIN vocabulary USING (word) GROUP BY ALL
+), scored AS (
+  SELECT doc_id, license, round(dot / (s_norm * t_norm), 6) AS cosine FROM dots JOIN s_norms USING (seg) JOIN t_norms USING (template)
+  WHERE s_norm * t_norm > 0
+), own AS (
+  SELECT doc_id, license, cosine FROM scored WHERE cosine >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1
+), given AS (
+  SELECT folder, license, cosine, concat(folder, '/', name) AS from_path FROM own JOIN files USING (doc_id) WHERE doc_id % 8 = 0
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, license, concat(folder, '/', name)) = 1
+), up AS (
+  SELECT DISTINCT f.folder, g.license, g.cosine, g.from_path, length(g.folder) AS depth
+  FROM files f JOIN given g ON f.folder = g.folder OR starts_with(f.folder, g.folder || '/')
+), nearest AS (
+  SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY folder ORDER BY depth DESC) = 1
+)
+SELECT f.doc_id, concat(f.folder, '/', f.name) AS path, coalesce(own.license, nearest.license) AS license,
+       CASE WHEN own.license IS NOT NULL THEN 'own' WHEN nearest.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+       coalesce(own.cosine, nearest.cosine) AS cosine,
+       CASE WHEN own.license IS NOT NULL THEN concat(f.folder, '/', f.name) ELSE nearest.from_path END AS from_path
+FROM files f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN nearest ON nearest.folder = f.folder
+""".replace("__TEMPLATES__", _values(licenses.TEMPLATES))
+
 QUERIES = {
     "op1_latent_semantic_decontamination": op1_latent_semantic_decontamination,
     "op2_boosted_dom_extraction": op2_boosted_dom_extraction,
     "op3_recurrent_toxicity": op3_recurrent_toxicity,
     "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_host_quality_rules": op6_host_quality_rules,
     "op7_hyperdimensional_language_id": op7_hyperdimensional_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
     "op10_hierarchical_packing": op10_hierarchical_packing,
 }
-ORACLES = {"op4_suffix_tree_dedup": OP4_SQL, "op6_host_quality_rules": OP6_SQL, "op9_sampled_splitter_shards": OP9_SQL}
+ORACLES = {"op4_suffix_tree_dedup": OP4_SQL, "op5_license_scan": OP5_SQL, "op6_host_quality_rules": OP6_SQL, "op9_sampled_splitter_shards": OP9_SQL}
