@@ -43,6 +43,7 @@ PASSAGE = 32
 STRIDE = 16
 RANK = 256
 POWER_STEPS = 3
+ROW_BLOCK = 1024
 COSINE = 0.35
 COPY = 0.8
 PARAPHRASE = 0.55
@@ -128,44 +129,47 @@ def _matrix(texts: list[str | None], idf: np.ndarray) -> list[tuple[np.ndarray,
 def latent_space(items: DataFrame, idf: np.ndarray, text: str = "text", rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the items and the right singular vectors of their passages, largest first.
 
-    A step multiplies a block of vectors by the transposed matrix and the matrix; every task adds up
-    its own rows, tasks are added up in groups of 256 buckets.  At most ``BUCKETS`` x ``rank``
+    A step multiplies a block of vectors by the matrix and its transpose; every task adds up its own
+    rows, tasks are added up in groups of ``ROW_BLOCK`` buckets.  At most ``BUCKETS`` x ``rank``
     numbers reach the driver, where they are made orthogonal.
     """
     rows = items.select(F.col(text).alias("text"))
 
-    def step(q: np.ndarray | None, used: np.ndarray | None = None) -> dict[int, np.ndarray]:
-        wide = q.shape[1] if q is not None else 1
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [at for at, _ in _matrix(batch.column(0).to_pylist(), idf)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.empty(0, np.int64), *at])))], ["b"])
+
+    used = np.array(sorted(r["b"] for r in rows.mapInArrow(buckets, "b bigint").distinct().collect()), np.int64)
+    if not len(used):
+        return used, np.empty((0, 0), np.float32)
+
+    def step(q: np.ndarray) -> np.ndarray:
+        wide, n_blocks = q.shape[1], -(-len(used) // ROW_BLOCK)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
+            total = np.zeros((n_blocks * ROW_BLOCK, wide), np.float32)
             for batch in batches:
                 for at, w in _matrix(batch.column(0).to_pylist(), idf):
-                    # Without vectors yet: which buckets and how many passages there are.
-                    y = w @ q[np.searchsorted(used, at)] if q is not None else np.ones(1)
-                    for k in np.unique(at >> 8).tolist():
-                        mine = at >> 8 == k
-                        block = total.setdefault(k, np.zeros((256, wide)))
-                        block[at[mine] & 255] += w[mine, None] * y
-            blocks = [v.astype("<f8").tobytes() for v in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(blocks, pa.binary())], ["k", "v"])
+                    i = np.searchsorted(used, at)
+                    total[i] += w[:, None] * (w @ q[i])
+            parts = total.reshape(n_blocks, -1)
+            some = np.flatnonzero(parts.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[k].astype("<f4").tobytes() for k in some], pa.binary())], ["k", "v"])
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
-            v = sum(np.frombuffer(x, "<f8") for x in group["v"])
-            return pd.DataFrame({"k": [group["k"].iloc[0]], "v": [v.astype("<f8").tobytes()]})
+            v = sum(np.frombuffer(x, "<f4") for x in group["v"])
+            return pd.DataFrame({"k": [group["k"].iloc[0]], "v": [v.astype("<f4").tobytes()]})
 
-        parts = rows.mapInArrow(run, "k bigint, v binary").groupBy("k").applyInPandas(add, "k bigint, v binary").collect()
-        return {r["k"]: np.frombuffer(r["v"], "<f8").reshape(256, wide) for r in parts}
+        out = np.zeros((n_blocks, ROW_BLOCK * wide))
+        for r in rows.mapInArrow(run, "k bigint, v binary").groupBy("k").applyInPandas(add, "k bigint, v binary").collect():
+            out[r["k"]] = np.frombuffer(r["v"], "<f4")
+        return out.reshape(-1, wide)[: len(used)]
 
-    first = step(None)
-    if not first:
-        return np.empty(0, np.int64), np.empty((0, 0), np.float32)
-    used = np.concatenate([k * 256 + np.flatnonzero(first[k][:, 0]) for k in sorted(first)])
     wide = min(rank, len(used))
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(used), wide)))[0].astype(np.float32)
     for i in range(POWER_STEPS):
-        z = step(q, used)
-        full = np.concatenate([z[k] for k in sorted(z)])[np.concatenate([np.arange(256) + 256 * k for k in sorted(z)]).searchsorted(used)]
+        full = step(q)
         if i < POWER_STEPS - 1:
             q = np.linalg.qr(full)[0].astype(np.float32)
     values, turn = np.linalg.eigh((m := q.T @ full) + m.T)
