@@ -29,19 +29,22 @@ def emails_without_features(
     return out.orderBy(F.col("date").desc(), F.col("message_id")) if ordered else out
 
 
-def features_missing_embeddings(features: DataFrame, limit: int | None = None, default_cap: int = 10_000) -> DataFrame:
-    cap = limit if limit else default_cap
-    return features.filter(F.col("subject_embedding").isNull()).orderBy("message_id").limit(cap)
+def features_missing_embeddings(features: DataFrame, limit: int | None = None) -> DataFrame:
+    """Feature rows without an embedding: all of them, or the first
+    ``limit`` by message_id."""
+    out = features.filter(F.col("subject_embedding").isNull())
+    return out.orderBy("message_id").limit(limit) if limit else out
 
 
 def label_candidates(
-    emails: DataFrame, features: DataFrame, semantic_labels: DataFrame | None, limit: int = 500
+    emails: DataFrame, features: DataFrame, semantic_labels: DataFrame | None, limit: int | None = None
 ) -> DataFrame:
-    """Mail with features and without a semantic label yet, newest first."""
+    """Mail with features and without a semantic label yet: all of it, or
+    the newest ``limit``."""
     c = emails.join(features.select("message_id"), "message_id", "left_semi")
     if semantic_labels is not None:
         c = c.join(semantic_labels.select("message_id"), "message_id", "left_anti")
-    return c.orderBy(F.col("date").desc(), F.col("message_id")).limit(limit)
+    return c.orderBy(F.col("date").desc(), F.col("message_id")).limit(limit) if limit else c
 
 
 def semantic_training_set(semantic_labels: DataFrame, features: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import ntz_lit
 
@@ -43,14 +44,23 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return packed.groupBy(key).agg(F.max_by("_r", "_o").alias("_r")).select("_r.*")
 
 
+def latest_mail(incoming: DataFrame, seq: str | None = None) -> DataFrame:
+    """One row per message_id.  A re-delivered message is stored once: the
+    row with the highest ``seq`` (order of delivery) wins; without ``seq``
+    the latest date, then a hash of the row, so that the choice does not
+    depend on how the rows are partitioned."""
+    if seq:
+        return latest_per_key(incoming, "message_id", [seq])
+    keyed = incoming.withColumn("_row", F.xxhash64(*incoming.columns))
+    return latest_per_key(keyed, "message_id", ["date", "_row"] if "date" in incoming.columns else ["_row"]).drop("_row")
+
+
 def upsert_emails(existing: DataFrame, incoming: DataFrame, now: dt.datetime, seq: str | None = None) -> DataFrame:
     """Insert or fully overwrite mail by message_id.  On update the stored
     ``collected_at`` and ``opened_at`` are kept; on insert ``collected_at``
-    = ``now`` and ``opened_at`` is NULL.  With duplicates in ``incoming``
-    the row with the highest ``seq`` wins."""
-    inc = incoming.select(*EMAIL_COLUMNS, *([seq] if seq else []))
-    if seq:
-        inc = latest_per_key(inc, "message_id", [seq]).drop(seq)
+    = ``now`` and ``opened_at`` is NULL.  Repeated ids in ``incoming`` are
+    stored once (see ``latest_mail``)."""
+    inc = latest_mail(incoming.select(*EMAIL_COLUMNS, *([seq] if seq else [])), seq).select(*EMAIL_COLUMNS)
     old = existing.select("message_id", F.col("collected_at").alias("_c"), F.col("opened_at").alias("_o"))
     upd = inc.join(old, "message_id", "left").select(
         *EMAIL_COLUMNS,
@@ -61,36 +71,48 @@ def upsert_emails(existing: DataFrame, incoming: DataFrame, now: dt.datetime, se
     return kept.unionByName(upd)
 
 
-def append_action(
-    actions: DataFrame, new: DataFrame, now: dt.datetime | None = None
-) -> DataFrame:
-    """Append audit rows; ``source`` defaults to 'user', ``timestamp`` to
-    ``now`` and ``action_data`` to an empty record."""
-    cols = set(new.columns)
-    out = new.select(
-        "message_id",
-        "action_type",
-        (F.coalesce(F.col("source"), F.lit("user")) if "source" in cols else F.lit("user")).alias("source"),
-        (F.col("timestamp") if "timestamp" in cols else _ts(now or dt.datetime(1970, 1, 1))).alias("timestamp"),
-    )
-    return actions.select("message_id", "action_type", "source", "timestamp").unionByName(out)
+def row_id(*values: Column) -> Column:
+    """Positive id derived from the row's own values: the same on every
+    evaluation of the plan, also when a task runs again."""
+    return F.xxhash64(*values).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+
+
+def _appended(table: DataFrame, new: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """``new`` with the columns of ``table``: supplied values (NULL counts as
+    not supplied), else the column's default, else NULL."""
+    given = dict(new.dtypes)
+    cols = []
+    for field in table.schema.fields:
+        default = defaults.get(field.name, F.lit(None)).cast(field.dataType)
+        value = F.coalesce(F.col(field.name).cast(field.dataType), default) if field.name in given else default
+        cols.append(value.alias(field.name))
+    return table.unionByName(new.select(*cols))
+
+
+def append_action(actions: DataFrame, new: DataFrame, now: dt.datetime | None = None) -> DataFrame:
+    """Append audit rows, keeping every column of the log.  ``source``
+    defaults to 'user', ``timestamp`` to ``now`` (then required),
+    ``action_data`` to an empty record and ``action_id`` to an id derived
+    from the row."""
+    if "timestamp" not in new.columns and now is None:
+        raise ValueError("actions without a timestamp need now")
+    stamp = F.col("timestamp") if "timestamp" in new.columns else _ts(now)
+    source = F.coalesce(F.col("source"), F.lit("user")) if "source" in new.columns else F.lit("user")
+    defaults = {"source": F.lit("user"), "timestamp": stamp if now is None else _ts(now)}
+    defaults["action_id"] = row_id(F.col("message_id"), F.col("action_type"), source, stamp)
+    data = dict((f.name, f.dataType) for f in actions.schema.fields).get("action_data")
+    if isinstance(data, T.StructType):
+        defaults["action_data"] = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in data.fields])
+    if "action_json" in actions.columns:
+        defaults["action_json"] = F.to_json("action_data") if "action_data" in new.columns else F.lit("{}")
+    return _appended(actions, new, defaults)
 
 
 def append_feedback(feedback: DataFrame, new: DataFrame) -> DataFrame:
-    """Append review rows (unsupplied flags NULL, used_in_training false)."""
-    cols = [
-        ("decision_correct", "boolean"), ("label_correct", "boolean"), ("correct_decision", "string"),
-        ("correct_label", "string"), ("user_comment", "string"),
-    ]
-    present = set(new.columns)
-    out = new.select(
-        "message_id",
-        "review_date",
-        *[(F.col(c) if c in present else F.lit(None).cast(t)).alias(c) for c, t in cols],
-        F.lit(False).alias("used_in_training"),
-    )
-    base = feedback.select("message_id", "review_date", *[c for c, _ in cols], "used_in_training")
-    return base.unionByName(out)
+    """Append review rows, keeping every column (unsupplied flags NULL,
+    used_in_training false, ``review_id`` derived from the row)."""
+    defaults = {"review_id": row_id(F.col("message_id"), F.col("review_date"))}
+    return _appended(feedback, new.drop("used_in_training"), defaults | {"used_in_training": F.lit(False)})
 
 
 def upsert_sender_mapping(mappings: DataFrame, updates: DataFrame, source: str = "feedback") -> DataFrame:
@@ -115,10 +137,9 @@ def upsert_sender_mapping(mappings: DataFrame, updates: DataFrame, source: str =
     )
     kept = old.join(upd.select("_key"), "_key", "left_anti")
     changed = old.select("_key", "mapping_id", F.col("sender_domain").alias("_old_domain")).join(upd, "_key", "right")
-    # New keys get ids above the current maximum (unique, not dense).
-    max_id = mappings.select(F.coalesce(F.max("mapping_id"), F.lit(0))).scalar()
+    # New keys get an id derived from the key (stable when a task runs again).
     changed = changed.select(
-        F.coalesce(F.col("mapping_id"), max_id + 1 + F.monotonically_increasing_id()).alias("mapping_id"),
+        F.coalesce(F.col("mapping_id"), row_id(F.col("_key"))).alias("mapping_id"),
         "sender_address",
         F.coalesce(F.col("_old_domain"), F.col("sender_domain")).alias("sender_domain"),
         "label",
@@ -132,20 +153,23 @@ def upsert_features(
 ) -> DataFrame:
     """Insert or update feature rows by message_id.  An update touches only
     the supplied columns that the table knows (an explicit NULL overwrites);
-    ``computed_at`` is refreshed on every touched row."""
+    ``computed_at`` is refreshed on every touched row.  Repeated ids in
+    ``updates`` count once (see ``latest_mail``).
+
+    Untouched rows pass an anti join and a union; only touched rows are
+    joined with their update, so embeddings of the rest are not sorted for
+    an outer join."""
     cols = [c for c in known if c != "message_id"]
     use = [c for c in supplied if c in cols]
-    u = updates.select("message_id", *[F.col(c).alias(f"_u_{c}") for c in use], F.lit(True).alias("_upd"))
-    j = features.join(u, "message_id", "full")
+    u = latest_mail(updates.select("message_id", *use))
+    kept = features.select("message_id", *cols).join(u.select("message_id"), "message_id", "left_anti")
+    old = features.select("message_id", *[F.col(c).alias(f"_o_{c}") for c in cols if c not in use and c != "computed_at"])
     out = []
     for c in cols:
-        if c == "computed_at":
-            out.append(F.when(F.col("_upd"), _ts(now)).otherwise(F.col("computed_at")).alias(c))
-        elif c in use:
-            out.append(F.when(F.col("_upd"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return j.select("message_id", *out)
+        kind = features.schema[c].dataType
+        value = _ts(now) if c == "computed_at" else F.col(c) if c in use else F.col(f"_o_{c}")
+        out.append(value.cast(kind).alias(c))
+    return kept.unionByName(u.join(old, "message_id", "left").select("message_id", *out))
 
 
 def delete_features(features: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,8 +182,11 @@ def delete_features(features: DataFrame, ids: DataFrame) -> tuple[DataFrame, Dat
 
 
 def append_semantic_labels(labels: DataFrame, new: DataFrame, model: str, source: str = "llm") -> DataFrame:
-    out = new.select("message_id", "label", F.lit(source).alias("source"), F.lit(model).alias("model"))
-    return labels.select("message_id", "label", "source", "model").unionByName(out)
+    """Append labels, keeping every column of the table (``semantic_id``
+    derived from the row, ``confidence`` NULL unless supplied)."""
+    new = new.drop("source", "model")
+    defaults = {"source": F.lit(source), "model": F.lit(model)}
+    return _appended(labels, new, defaults | {"semantic_id": row_id(F.col("message_id"), F.col("label"), F.lit(source), F.lit(model))})
 
 
 CHILD_TABLES = ["email_labels", "email_actions", "feedback_reviews", "semantic_labels", "email_features"]

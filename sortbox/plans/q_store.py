@@ -232,11 +232,17 @@ _AS_OF = dt.datetime(2024, 1, 31)
 @register(
     "append_action",
     O.with_tables(
-        """SELECT source, action_type, count(*) AS n FROM (
-  SELECT source, action_type FROM email_actions
-  UNION ALL SELECT 'correction', 'move_to_inbox' FROM plan WHERE mv AND NOT already_applied
-  UNION ALL SELECT 'correction', 'label_correction' FROM plan WHERE fix AND NOT already_applied)
-GROUP BY source, action_type""",
+        """SELECT action_id, message_id, action_type, source, timestamp, score, confidence, action_labels AS labels,
+  CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR[]) AS removed, CAST(NULL AS VARCHAR[]) AS added, action_json
+FROM email_actions
+UNION ALL
+SELECT NULL, message_id, 'move_to_inbox', 'correction', TIMESTAMP '2024-01-31 00:00:00', NULL, NULL, NULL, 'feedback_correction', NULL, NULL,
+  '{"reason":"feedback_correction"}' FROM plan WHERE mv AND NOT already_applied
+UNION ALL
+SELECT NULL, message_id, 'label_correction', 'correction', TIMESTAMP '2024-01-31 00:00:00', NULL, NULL, NULL, 'feedback_correction', remove, add,
+  '{"reason":"feedback_correction","removed":[' || array_to_string(list_transform(remove, lambda x: '"' || x || '"'), ',')
+  || '],"added":[' || array_to_string(list_transform(add, lambda x: '"' || x || '"'), ',') || ']}'
+FROM plan WHERE fix AND NOT already_applied""",
         "emails",
         "email_actions",
         "feedback_reviews",
@@ -247,18 +253,20 @@ def append_action_q(spark, sf_dir):
     e, a, f = B.emails(spark, sf_dir), B.email_actions(spark, sf_dir), B.feedback_reviews(spark, sf_dir)
     new = FB.apply_corrections(f, e, a, _AS_OF)["actions"]
     log = ST.append_action(a, new)
-    return log.groupBy("source", "action_type").agg(F.count(F.lit(1)).alias("n"))
+    # Ids of appended rows are hashes of the row (SQL cannot compute them).
+    known = F.when(F.col("action_id") < (1 << 62), F.col("action_id"))
+    return log.select(known.alias("action_id"), "message_id", "action_type", "source", "timestamp", "action_data.*", "action_json")
 
 
 @register(
     "append_feedback",
     O.with_tables(
-        """SELECT decision_correct, used_in_training, count(*) AS n FROM (
-  SELECT decision_correct, used_in_training FROM feedback_reviews
-  UNION ALL SELECT false, false FROM email_actions b JOIN emails e ON e.message_id = b.message_id
-  WHERE b.source = 'bot' AND b.timestamp >= TIMESTAMP '2024-01-24 00:00:00' AND b.action_type = 'archive'
-    AND list_contains(e.labels, 'INBOX'))
-GROUP BY decision_correct, used_in_training""",
+        """SELECT review_id, message_id, review_date, decision_correct, label_correct, correct_decision, correct_label, user_comment,
+  used_in_training FROM feedback_reviews
+UNION ALL SELECT NULL, b.message_id, TIMESTAMP '2024-01-31 00:00:00', false, NULL, 'keep', NULL, '__COMMENT__', false
+FROM email_actions b JOIN emails e ON e.message_id = b.message_id
+WHERE b.source = 'bot' AND b.timestamp >= TIMESTAMP '2024-01-24 00:00:00' AND b.action_type = 'archive'
+  AND list_contains(e.labels, 'INBOX')""".replace("__COMMENT__", FB.FALSE_POSITIVE_COMMENT),
         "emails",
         "email_actions",
         "feedback_reviews",
@@ -268,7 +276,7 @@ def append_feedback_q(spark, sf_dir):
     e, a, f = B.emails(spark, sf_dir), B.email_actions(spark, sf_dir), B.feedback_reviews(spark, sf_dir)
     new = FB.collect_feedback(a, e, _AS_OF, 7)[1]
     out = ST.append_feedback(f, new)
-    return out.groupBy("decision_correct", "used_in_training").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("review_id", F.when(F.col("review_id") < (1 << 62), F.col("review_id")))
 
 
 @register(
@@ -352,15 +360,13 @@ def delete_features_remaining_q(spark, sf_dir):
 @register(
     "append_semantic_labels",
     O.with_tables(
-        """SELECT label, source, count(*) AS n FROM (
-  SELECT label, source FROM semantic_labels
-  UNION ALL
-  SELECT array_to_string(list_transform(string_split(replace(
+        """SELECT semantic_id, message_id, label, source, model, CAST(confidence AS DOUBLE) AS confidence FROM semantic_labels
+UNION ALL
+SELECT NULL, message_id, array_to_string(list_transform(string_split(replace(
            regexp_replace(trim(CASE WHEN contains(from_address, '@') THEN lower(string_split(from_address, '@')[-1]) ELSE 'unknown' END),
-           '^["'']+|["'']+$', '', 'g'), '_', '-'), '-'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '-'), 'llm'
-  FROM (SELECT * FROM emails WHERE message_id IN (SELECT message_id FROM email_features)
-        AND message_id NOT IN (SELECT message_id FROM semantic_labels) ORDER BY date DESC, message_id LIMIT 500))
-GROUP BY label, source""",
+           '^["'']+|["'']+$', '', 'g'), '_', '-'), '-'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '-'), 'llm', 'stand-in', NULL
+  FROM emails WHERE message_id IN (SELECT message_id FROM email_features)
+    AND message_id NOT IN (SELECT message_id FROM semantic_labels)""",
         "emails",
         "feature_embeddings",
         "semantic_labels",
@@ -377,7 +383,7 @@ def append_semantic_labels_q(spark, sf_dir):
     cand = J.label_candidates(em, stored_features(spark, sf_dir), sem)
     new = cand.select("message_id", C.normalize_semantic_label(C.sender_domain("from_address")).alias("label"))
     out = ST.append_semantic_labels(sem, new, model="stand-in")
-    return out.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("semantic_id", F.when(F.col("semantic_id") < (1 << 62), F.col("semantic_id")))
 
 
 @register(

@@ -47,7 +47,7 @@ def emails_without_features_q(spark, sf_dir):
 @register(
     "features_missing_embeddings",
     O.with_tables(
-        "SELECT message_id FROM email_features WHERE subject_embedding IS NULL ORDER BY message_id LIMIT 10000",
+        "SELECT message_id FROM email_features WHERE subject_embedding IS NULL ",
         *_FEAT,
         extra=[FEATURES_CTE],
     ),
@@ -60,7 +60,7 @@ def features_missing_embeddings_q(spark, sf_dir):
     "label_candidates",
     O.with_tables(
         "SELECT e.message_id, e.date FROM emails e WHERE e.message_id IN (SELECT message_id FROM email_features) "
-        "AND e.message_id NOT IN (SELECT message_id FROM semantic_labels) ORDER BY e.date DESC, e.message_id LIMIT 500",
+        "AND e.message_id NOT IN (SELECT message_id FROM semantic_labels)",
         *_FEAT,
         "semantic_labels",
         extra=[FEATURES_CTE],
