@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference application's behaviour.
 # ---------------------------------------------------------------------------
-SYSTEM_LABELS = ["INBOX", "UNREAD", "IMPORTANT", "STARRED", "SENT", "DRAFT", "SPAM", "TRASH"]
+SYSTEM_LABELS = ["INBOX", "UNREAD", "IMPORTANT", "STARRED", "SENT", "DRAFT", "TRASH", "SPAM"]
 NEWSLETTER_LABEL_MARKERS = ["listunsubscribe", "listid", "mailinglist"]
 NEWSLETTER_PATTERNS = ["unsubscribe", "newsletter", "mailing.?list", "subscription", "opt.?out"]
 TEXT_MAX_CHARS = 2048  # 512 tokens x 4 characters
@@ -85,10 +89,13 @@ def text_length(c: str | Column) -> Column:
     return F.coalesce(F.length(col(c)), F.lit(0)).cast("bigint")
 
 
-def prepare_text(c: str | Column, max_chars: int = TEXT_MAX_CHARS) -> Column:
-    """Collapse whitespace runs, trim, cut to ``max_chars`` characters."""
+def prepare_text(c: str | Column, max_chars: int | None = None) -> Column:
+    """Collapse whitespace runs and trim.  ``max_chars`` cuts the text for an
+    encoder with a bounded input (the application's encoder:
+    ``TEXT_MAX_CHARS``); by default the whole text stays."""
     collapsed = F.regexp_replace(col(c), r"(?U)\s+", " ")
-    return F.substring(F.regexp_replace(collapsed, r"^ | $", ""), 1, max_chars)
+    out = F.regexp_replace(collapsed, r"^ | $", "")
+    return F.substring(out, 1, max_chars) if max_chars else out
 
 
 def body_source(body_plain: str | Column, snippet: str | Column) -> Column:
@@ -167,10 +174,15 @@ def infer_correct_decision(action_type: str | Column) -> Column:
     return F.when(col(action_type) == "archive", F.lit("keep")).otherwise(F.lit("archive"))
 
 
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    """Named and numeric character references; NULL stays NULL."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def review_snippet(snippet: str | Column) -> Column:
-    """First 100 characters, then HTML-entity unescape; NULL/'' -> 'N/A'."""
-    s = F.substring(col(snippet), 1, 100)
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", "\u00a0")]:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    s = F.replace(s, F.lit("&amp;"), F.lit("&"))
+    """First 100 characters, then HTML-entity unescape; NULL/'' -> 'N/A'.
+    Only texts with a reference go to Python."""
+    cut = F.substring(col(snippet), 1, 100)
+    s = F.coalesce(_unescape(F.when(cut.contains("&"), cut)), cut)
     return F.when(blank_to_null(col(snippet)).isNull(), F.lit("N/A")).otherwise(s)

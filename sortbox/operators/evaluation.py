@@ -24,7 +24,13 @@ from pyspark.sql import functions as F
 DEFAULT_SWEEP = [i / 10 for i in range(1, 10)]
 FINE_SWEEP = [i / 100 for i in range(1, 100)]
 ARCHIVE_THRESHOLDS = [0.2, 0.25, 0.3, 0.35]
-RANGE_BUCKETS = 64
+MIN_RANGE_BUCKETS, MAX_RANGE_BUCKETS = 64, 1024
+
+
+def _nan_low(c: Column) -> Column:
+    """A NaN score is no positive prediction at any threshold (Spark orders
+    NaN above every number)."""
+    return F.when(F.isnan(c), F.lit(float("-inf"))).otherwise(c)
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -37,7 +43,7 @@ def _f1(p: Column, r: Column) -> Column:
 
 
 def confusion_counts(scored: DataFrame, threshold: float, y: str = "y", score: str = "score") -> DataFrame:
-    pred = F.col(score) >= F.lit(threshold)
+    pred = _nan_low(F.col(score)) >= F.lit(threshold)
     pos = F.col(y) == 1
     return scored.agg(
         F.count_if(pred & pos).alias("tp"),
@@ -60,11 +66,14 @@ def threshold_metrics(scored: DataFrame, threshold: float, y: str = "y", score:
 
 
 def running_totals(
-    df: DataFrame, order_col: str, value_cols: list[str], descending: bool = False, buckets: int = RANGE_BUCKETS
+    df: DataFrame, order_col: str, value_cols: list[str], descending: bool = False, buckets: int | None = None
 ) -> DataFrame:
     """Adds ``cum_<v>`` = sum of ``v`` over all rows up to and including
     this one in ``order_col`` order (``order_col`` must be unique), plus
     ``_pid`` (the range bucket)."""
+    if buckets is None:  # as many ranges as shuffle tasks, within bounds
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(max(tasks, MIN_RANGE_BUCKETS), MAX_RANGE_BUCKETS)
     qs = [i / buckets for i in range(1, buckets)]
     bounds = df.select(F.percentile_approx(order_col, qs, 10000).alias("b")).scalar()
     oc = F.col(order_col)
@@ -104,12 +113,13 @@ def auc(scored: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 def evaluate(scored: DataFrame, threshold: float = 0.5, y: str = "y", score: str = "score") -> DataFrame:
     """auc, precision, recall, f1, confusion counts, false_positive_rate,
     positive_rate and n_samples at one threshold (one row)."""
+    s = _nan_low(F.col(score))
     base = _rates(
         scored.agg(
-            F.count_if((F.col(score) >= threshold) & (F.col(y) == 1)).alias("tp"),
-            F.count_if((F.col(score) >= threshold) & (F.col(y) != 1)).alias("fp"),
-            F.count_if((F.col(score) < threshold) & (F.col(y) != 1)).alias("tn"),
-            F.count_if((F.col(score) < threshold) & (F.col(y) == 1)).alias("fn"),
+            F.count_if((s >= threshold) & (F.col(y) == 1)).alias("tp"),
+            F.count_if((s >= threshold) & (F.col(y) != 1)).alias("fp"),
+            F.count_if((s < threshold) & (F.col(y) != 1)).alias("tn"),
+            F.count_if((s < threshold) & (F.col(y) == 1)).alias("fn"),
             F.count(F.lit(1)).alias("n_samples"),
             F.avg(F.col(y).cast("double")).alias("positive_rate"),
         )
@@ -137,7 +147,7 @@ def threshold_sweep(
     """``evaluate`` at every threshold in one pass over the data."""
     ts = sorted(thresholds or DEFAULT_SWEEP)
     arr = F.array(*[F.lit(float(t)) for t in ts])
-    sc = F.col(score)
+    sc = _nan_low(F.col(score))
     # bucket b = number of thresholds <= score, so score >= t_j <=> b > j.
     # One pass: a histogram over at most len(ts)+1 buckets (partial agg) ...
     hist = scored.select(F.size(F.filter(arr, lambda t: t <= sc)).alias("b"), (F.col(y) == 1).alias("pos")).groupBy("b").agg(
@@ -262,8 +272,9 @@ def roc_curve(scored: DataFrame, y: str = "y", score: str = "score") -> DataFram
     corner = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     pts = c.filter(first | last | corner).select(
         F.col("score").alias("threshold"),
-        (F.col("fps") / N).alias("fpr"),
-        (F.col("tps") / P).alias("tpr"),
+        # NULL when a class is absent
+        F.try_divide("fps", N).alias("fpr"),
+        F.try_divide("tps", P).alias("tpr"),
     )
     spark = scored.sparkSession
     origin = spark.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
@@ -299,7 +310,7 @@ def score_summary(scored: DataFrame, y: str = "y", score: str = "score") -> Data
         F.count_if(((s >= 0.5) & (F.col(y) == 1)) | ((s < 0.5) & (F.col(y) != 1))).alias("correct"),
     ).select(
         "n", "mean_score", "min_score", "max_score", "high_keep", "high_archive", "low_confidence",
-        (F.col("correct") / F.col("n")).alias("accuracy"),
+        F.try_divide("correct", "n").alias("accuracy"),
     )
 
 

@@ -19,7 +19,9 @@ from pyspark.ml.feature import HashingTF, Normalizer, StringIndexer, Tokenizer,
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import columns as C
 from . import evaluation as EV
 
 METADATA_FEATURES = ["is_newsletter", "day_of_week", "hour_of_day", "subject_length", "body_length"]
@@ -62,6 +64,39 @@ def training_matrix(
     return out.drop("subject_embedding", "body_embedding")
 
 
+def inference_matrix(features: DataFrame, emb_dims: int | None = None) -> DataFrame:
+    """message_id and the model features of *every* feature row.
+
+    As at scoring time in the application: missing numbers as in
+    ``training_matrix``, a missing embedding as zeros (``emb_dims`` is the
+    width the model was trained with; None for a model without embeddings).
+    A shorter embedding is padded with zeros, a longer one cut to the width.
+    """
+    cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in METADATA_FEATURES]
+    for c in HISTORICAL_FEATURES:
+        fill = NO_PREVIOUS_DAYS if c == "sender_days_since_last" else 0.0
+        cols.append(F.coalesce(F.col(c).cast("double"), F.lit(fill)).alias(c))
+    if not emb_dims:
+        return features.select("message_id", *cols)
+    zeros = F.array_repeat(F.lit(0.0), emb_dims)
+    emb = combine_embeddings(F.col("subject_embedding"), F.col("body_embedding"))
+    emb = F.slice(F.concat(F.coalesce(emb, F.array().cast("array<double>")), zeros), 1, emb_dims)
+    return features.select("message_id", *cols, emb.alias("emb"))
+
+
+def embedding_width(matrix: DataFrame) -> int | None:
+    """Width of the training matrix' embeddings (None without any)."""
+    if "emb" not in matrix.columns:
+        return None
+    row = matrix.select(F.size("emb").alias("n")).first()
+    return row["n"] if row else None
+
+
+def score_emails(model: PipelineModel, features: DataFrame, emb_dims: int | None) -> DataFrame:
+    """message_id and ``score`` of every feature row."""
+    return score_rows(model, inference_matrix(features, emb_dims)).select("message_id", "score")
+
+
 def stratified_split(
     df: DataFrame, label: str = "y", test_fraction: float = 0.2, seed: int = SPLIT_SEED, key: str = "message_id",
     buckets: int = SPLIT_BUCKETS,
@@ -145,8 +180,9 @@ def score_rows(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumn("score", vector_to_array(F.col("probability"))[1]).drop("rawPrediction", "probability", "prediction", "features")
 
 
-def score_column_model(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: score_rows(model, df)
+def model_scorer(model: PipelineModel, emb_dims: int | None) -> Callable[[DataFrame], DataFrame]:
+    """A scorer for the triage job: features -> (message_id, score)."""
+    return lambda features: score_emails(model, features, emb_dims)
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel, names: list[str], top_n: int = 20) -> DataFrame:
@@ -170,17 +206,18 @@ def train_semantic_classifier(
     than ``min_samples`` rows are dropped.  Returns (model, test
     predictions, one-row metrics)."""
     support = training.groupBy("label").agg(F.count(F.lit(1)).alias("_nc")).filter(F.col("_nc") >= min_samples)
-    kept = training.join(support, "label")  # one row per class: small
-    n = kept.count()
-    if n < 10:
-        raise ValueError(f"Not enough training data. Need at least 10 samples, got {n}")
-    k = support.count()
-    data = kept.withColumn("weight", F.lit(float(n)) / (F.lit(float(k)) * F.col("_nc"))).withColumn(
-        "features", array_to_vector("subject_embedding")
-    )
-    split = stratified_split(data, "label", test_fraction, seed)
+    kept = training.join(support.select("label"), "label", "left_semi")
+    split = stratified_split(kept, "label", test_fraction, seed)
+    # One aggregate gives every number the fit needs; weights come from the
+    # training rows only.
+    counts = split.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_test")).alias("train"))
+    n, k, n_train = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum("train")).first()
+    if (n or 0) < 10:
+        raise ValueError(f"a semantic classifier is fitted on 10 labelled mails or more; there are {n or 0}")
+    weight = F.lit(float(n_train)) / (F.lit(float(k)) * F.col("train"))
+    split = split.join(counts.select("label", "train"), "label").withColumn("weight", F.coalesce(weight, F.lit(0.0))).drop("train")
+    split = split.withColumn("features", array_to_vector("subject_embedding"))
     indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc")
-    n_train = split.filter(~F.col("is_test")).count()
     lr = LogisticRegression(
         featuresCol="features", labelCol="label_idx", weightCol="weight", family="multinomial", maxIter=max_iter,
         regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False,
@@ -237,9 +274,13 @@ def embed_text(
     encoder_factory: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None,
     dims: int = 384,
     batch_size: int = 32,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Encode non-empty texts; empty or NULL text -> NULL.
 
+    Texts are cleaned up first (white space, ends); ``max_chars`` cuts them
+    for an encoder with a bounded input, by default the whole text counts.
+
     With ``encoder_factory`` the texts go through ``mapInPandas`` in Arrow
     batches; the factory runs once per Python worker (the loaded model is
     cached there).  Without it, a JVM-side hashing encoder (token counts
@@ -250,12 +291,15 @@ def embed_text(
         tok = Tokenizer(inputCol="_t", outputCol="_tok")
         tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dims)
         nm = Normalizer(inputCol="_tf", outputCol="_n", p=2.0)
-        x = df.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+        x = df.withColumn("_t", C.prepare_text(F.coalesce(F.col(text_col), F.lit("")), max_chars))
         x = nm.transform(tf.transform(tok.transform(x)))
         return x.withColumn(out_col, F.when(F.trim(F.col("_t")) != "", vector_to_array("_n"))).drop("_t", "_tok", "_tf", "_n")
 
     key = f"{id(encoder_factory)}"
-    schema = df.schema.add(out_col, "array<double>")
+    kept = df.columns
+    df = df.withColumn("_t", C.prepare_text(F.coalesce(F.col(text_col), F.lit("")), max_chars))
+    text_col = "_t"
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _ENCODERS.get(key)
@@ -276,7 +320,16 @@ def embed_text(
             pdf[out_col] = vecs
             yield pdf
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, schema).select(*kept, out_col)
+
+
+def embed_mail(df: DataFrame, encoder_factory=None, dims: int = 384, max_chars: int | None = None) -> DataFrame:
+    """(message_id, subject_embedding, body_embedding): the cleaned-up
+    subject, and the cleaned-up plain body or else the snippet."""
+    src = df.select("message_id", "subject", C.body_source("body_plain", "snippet").alias("_body"))
+    out = embed_text(src, "subject", "subject_embedding", encoder_factory, dims, max_chars=max_chars)
+    out = embed_text(out, "_body", "body_embedding", encoder_factory, dims, max_chars=max_chars)
+    return out.select("message_id", "subject_embedding", "body_embedding")
 
 
 # ---------------------------------------------------------------------------

@@ -263,8 +263,9 @@ _HIST_SQL = (
     "FROM (" + _HIST_RAW_SQL + ")"
 )
 
-# The stored feature table: features built for the mail before the last
-# build cutoff (newer mail is the backlog), with the bridged embeddings.
+# The feature table over all mail, with the bridged embeddings; and the table
+# as it was at the last build, which has the mail before the cutoff only
+# (newer mail is the backlog that the build, store and triage keys work on).
 FEATURE_CUTOFF = "2024-01-21 00:00:00"
 FEATURES_CTE = f"""
 email_features AS (
@@ -274,14 +275,14 @@ email_features AS (
   JOIN ({_META_SQL}) m ON m.message_id = e.message_id
   JOIN ({_HIST_RAW_SQL}) h ON h.message_id = e.message_id
   LEFT JOIN feature_embeddings fe ON fe.message_id = e.message_id
-  WHERE e.date < TIMESTAMP '{FEATURE_CUTOFF}'
 )"""
+BUILT_CTE = FEATURES_CTE.rstrip(")").rstrip() + f"\n  WHERE e.date < TIMESTAMP '{FEATURE_CUTOFF}'\n)"
 
 
 def _build_stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = B.emails(spark, sf_dir)
     feats = FE.email_features(em, B.feature_embeddings(spark, sf_dir))
-    dates = em.select("message_id", "date").filter(F.col("date") < ntz_lit(FEATURE_CUTOFF))
+    dates = em.select("message_id", "date")
     return feats.join(dates, "message_id").select(
         *feats.columns, F.expr("timestampadd(HOUR, 2, date)").alias("computed_at")
     )
@@ -300,5 +301,11 @@ def historical_features_query(spark, sf_dir):
 
 
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored feature table (written once per application)."""
+    """The feature table over all mail (written once per application)."""
     return materialized(spark, f"stored_features|{sf_dir}", lambda: _build_stored_features(spark, sf_dir))
+
+
+def built_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table as of the last build: mail before the cutoff."""
+    dates = B.emails(spark, sf_dir).filter(F.col("date") < ntz_lit(FEATURE_CUTOFF)).select("message_id")
+    return stored_features(spark, sf_dir).join(dates, "message_id", "left_semi")

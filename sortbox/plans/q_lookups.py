@@ -12,7 +12,7 @@ from ..functions import columns as C
 from ..operators import lookups as L
 from ..sources import bridge as B
 from .catalog import register
-from .q_features import FEATURES_CTE, stored_features
+from .q_features import FEATURES_CTE, stored_features, BUILT_CTE, built_features
 
 EMAIL_COLS = ["message_id", "from_address", "subject", "date", "was_read"]
 _EC = ", ".join(EMAIL_COLS)
@@ -144,13 +144,13 @@ def features_by_id_q(spark, sf_dir):
         "SELECT e.message_id, EXISTS (SELECT 1 FROM email_features f WHERE f.message_id = e.message_id) AS has_features "
         "FROM emails e",
         *_FEAT,
-        extra=[FEATURES_CTE],
+        extra=[BUILT_CTE],
     ),
 )
 def has_features_q(spark, sf_dir):
     """Batch form: the membership flag for every mail."""
     em = _emails(spark, sf_dir).select("message_id")
-    f = stored_features(spark, sf_dir).select("message_id", F.lit(True).alias("has_features"))
+    f = built_features(spark, sf_dir).select("message_id", F.lit(True).alias("has_features"))
     return em.join(f, "message_id", "left").select("message_id", F.coalesce("has_features", F.lit(False)).alias("has_features"))
 
 

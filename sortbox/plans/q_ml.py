@@ -104,8 +104,19 @@ def stratified_split_q(spark, sf_dir):
     return ML.stratified_split(em, "y", 0.2).select("message_id", "y", "is_test")
 
 
+_FITTED: dict[tuple[str, str, str], tuple] = {}
+
+
+def _once(kind: str, spark, sf_dir, fit):
+    """Models are fitted once per application; several queries use each."""
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
 def _trained(spark, sf_dir):
-    return ML.train_importance_model(_matrix(spark, sf_dir))
+    return _once("importance", spark, sf_dir, lambda: ML.train_importance_model(_matrix(spark, sf_dir)))
 
 
 @register("train_importance_model")
@@ -116,8 +127,9 @@ def train_importance_model_q(spark, sf_dir):
 
 @register("score_emails")
 def score_emails_q(spark, sf_dir):
+    """Every feature row is scored, also those the training filter leaves out."""
     model, _, _ = _trained(spark, sf_dir)
-    return ML.score_rows(model, _matrix(spark, sf_dir)).select("message_id", "score")
+    return ML.score_emails(model, stored_features(spark, sf_dir), ML.embedding_width(_matrix(spark, sf_dir)))
 
 
 @register("feature_importance")
@@ -137,8 +149,11 @@ def train_report_q(spark, sf_dir):
 
 
 def _semantic(spark, sf_dir):
-    t = J.semantic_training_set(B.semantic_labels(spark, sf_dir), stored_features(spark, sf_dir))
-    return ML.train_semantic_classifier(t.select("message_id", "label", "subject_embedding"))
+    def fit():
+        t = J.semantic_training_set(B.semantic_labels(spark, sf_dir), stored_features(spark, sf_dir))
+        return ML.train_semantic_classifier(t.select("message_id", "label", "subject_embedding"))
+
+    return _once("semantic", spark, sf_dir, fit)
 
 
 @register("train_semantic_classifier")
@@ -173,13 +188,10 @@ def embedding_backlog_q(spark, sf_dir):
     """Feature rows without embeddings get them (hashing encoder)."""
     em = B.emails(spark, sf_dir)
 
-    def embed(df: DataFrame) -> DataFrame:
-        s = ML.embed_text(df, "subject", "subject_embedding", dims=64)
-        b = ML.embed_text(s, "body_plain", "body_embedding", dims=64)
-        return b.select("message_id", "subject_embedding", "body_embedding")
-
-    out = BF.build_features(em, stored_features(spark, sf_dir), dt.datetime(2024, 2, 1), embed=embed, embeddings_only=True)
-    return out["table"].select("message_id", F.size("subject_embedding").alias("dims"), "computed_at")
+    out = BF.build_features(
+        em, stored_features(spark, sf_dir), dt.datetime(2024, 2, 1), embed=lambda df: ML.embed_mail(df, dims=64), embeddings_only=True
+    )
+    return out["table"].select("message_id", F.size("subject_embedding").alias("dims"), F.size("body_embedding").alias("body_dims"), "computed_at")
 
 
 @register(

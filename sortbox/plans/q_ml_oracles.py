@@ -33,9 +33,12 @@ def embed_text_checked(spark, sf_dir):
         """SELECT f.message_id,
   CASE WHEN b.message_id IS NOT NULL THEN CASE WHEN trim(coalesce(e.subject, '')) <> '' THEN 64 END
        ELSE len(f.subject_embedding) END::INTEGER AS dims,
+  CASE WHEN b.message_id IS NOT NULL
+       THEN CASE WHEN trim(coalesce(nullif(e.body_plain, ''), nullif(e.snippet, ''), '')) <> '' THEN 64 END
+       ELSE len(f.body_embedding) END::INTEGER AS body_dims,
   CASE WHEN b.message_id IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE f.computed_at END AS computed_at
 FROM email_features f JOIN emails e ON e.message_id = f.message_id
-LEFT JOIN (SELECT message_id FROM email_features WHERE subject_embedding IS NULL ORDER BY message_id LIMIT 10000) b
+LEFT JOIN (SELECT message_id FROM email_features WHERE subject_embedding IS NULL) b
   ON b.message_id = f.message_id""",
         "emails",
         "feature_embeddings",
@@ -43,5 +46,5 @@ LEFT JOIN (SELECT message_id FROM email_features WHERE subject_embedding IS NULL
     ),
 )
 def embedding_backlog_checked(spark, sf_dir):
-    """Feature rows without embeddings (first 10,000 by id) are encoded."""
-    return _null_size(embedding_backlog_q(spark, sf_dir), "dims")
+    """All feature rows without embeddings are encoded, subject and body."""
+    return _null_size(_null_size(embedding_backlog_q(spark, sf_dir), "dims"), "body_dims")

@@ -15,7 +15,7 @@ from ..sources import messages as MS
 from . import build_features as BF
 from . import triage as TR
 from .catalog import SQL_DOC_SCORE, doc_score, r6, register
-from .q_features import _HIST_RAW_SQL, _META_SQL, FEATURE_CUTOFF, stored_features
+from .q_features import _HIST_RAW_SQL, _META_SQL, FEATURE_CUTOFF, built_features
 from .q_store import NORMALIZED_CTE
 
 NOW = dt.datetime(2024, 2, 1)
@@ -51,7 +51,7 @@ LEFT JOIN feature_embeddings fe ON fe.message_id = e.message_id""",
 )
 def build_features_q(spark, sf_dir):
     em = B.emails(spark, sf_dir)
-    out = BF.build_features(em, stored_features(spark, sf_dir), NOW, embed=bridged_encoder(spark, sf_dir))["table"]
+    out = BF.build_features(em, built_features(spark, sf_dir), NOW, embed=bridged_encoder(spark, sf_dir))["table"]
     return _round(
         out.select(
             "message_id", "sender_email_count", "sender_open_rate", "domain_open_rate", "sender_days_since_last",
@@ -91,7 +91,7 @@ def _triage_run(spark, sf_dir) -> dict[str, DataFrame]:
     committed = em.filter(F.col("date") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
     raw = MS.select_messages(MS.raw_messages(spark, sf_dir), after=dt.date(2024, 1, 22))
     incoming, _ = MS.normalize_messages(raw, ntz_lit(NOW))
-    store = stored_features(spark, sf_dir)
+    store = built_features(spark, sf_dir)
     return TR.triage(
         committed, incoming, store, B.sender_label_mappings(spark),
         scorer=lambda df: doc_score(F.col("message_id")), as_of=NOW,

@@ -20,7 +20,7 @@ from ..sources import bridge as B
 from ..sources import messages as MS
 from . import ingest as IG
 from .catalog import r6, register
-from .q_features import FEATURES_CTE, stored_features
+from .q_features import FEATURES_CTE, stored_features, BUILT_CTE, built_features
 from .q_feedback import _CORR_SQL
 
 NOW = dt.datetime(2024, 2, 1)
@@ -316,12 +316,12 @@ FROM email_features f FULL JOIN (SELECT message_id, CAST(coalesce(length(subject
   FROM emails WHERE date >= TIMESTAMP '2024-01-15 00:00:00') u ON u.message_id = f.message_id""",
         "emails",
         "feature_embeddings",
-        extra=[FEATURES_CTE],
+        extra=[BUILT_CTE],
     ),
 )
 def upsert_features_q(spark, sf_dir):
     em = B.emails(spark, sf_dir)
-    feats = stored_features(spark, sf_dir)
+    feats = built_features(spark, sf_dir)
     upd = FE.metadata_features(em.filter(F.col("date") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")))
     out = ST.upsert_features(feats, upd, _META_NAMES, feats.columns, NOW)
     return out.select("message_id", "subject_length", "sender_email_count", "computed_at")
@@ -333,12 +333,12 @@ def upsert_features_q(spark, sf_dir):
         "SELECT e.message_id, e.message_id IN (SELECT message_id FROM email_features) AS found FROM emails e WHERE e.was_archived",
         "emails",
         "feature_embeddings",
-        extra=[FEATURES_CTE],
+        extra=[BUILT_CTE],
     ),
 )
 def delete_features_q(spark, sf_dir):
     ids = B.emails(spark, sf_dir).filter("was_archived").select("message_id")
-    _, found = ST.delete_features(stored_features(spark, sf_dir), ids)
+    _, found = ST.delete_features(built_features(spark, sf_dir), ids)
     return found
 
 
@@ -348,12 +348,12 @@ def delete_features_q(spark, sf_dir):
         "SELECT count(*) AS remaining FROM email_features WHERE message_id NOT IN (SELECT message_id FROM emails WHERE was_archived)",
         "emails",
         "feature_embeddings",
-        extra=[FEATURES_CTE],
+        extra=[BUILT_CTE],
     ),
 )
 def delete_features_remaining_q(spark, sf_dir):
     ids = B.emails(spark, sf_dir).filter("was_archived").select("message_id")
-    rest, _ = ST.delete_features(stored_features(spark, sf_dir), ids)
+    rest, _ = ST.delete_features(built_features(spark, sf_dir), ids)
     return rest.agg(F.count(F.lit(1)).alias("remaining"))
 
 

@@ -24,7 +24,7 @@ from ..sources import bridge as B
 from ..sources import messages as MS
 from ..streaming import jobs as SJ
 from .catalog import doc_score, register
-from .q_features import stored_features
+from .q_features import built_features
 from .q_store import _OPS_SQL
 
 STREAM_FILES = 8
@@ -165,7 +165,7 @@ def stream_triage_q(spark, sf_dir):
     path = SJ.stage_files(incoming, f"{base}/incoming", "date", 4)
     stream = SJ.file_stream(spark, path, incoming.schema, 2)
     dec = SJ.stream_triage(
-        spark, stream, committed, stored_features(spark, sf_dir), B.sender_label_mappings(spark), lambda df: doc_score(F.col("message_id")), now,
+        spark, stream, committed, built_features(spark, sf_dir), B.sender_label_mappings(spark), lambda df: doc_score(F.col("message_id")), now,
         f"{base}/out", f"{base}/ckpt", embeddings=B.feature_embeddings(spark, sf_dir),
     )
     return dec.select("message_id", "action", "confidence", "category", "labels", "epoch")

@@ -12,7 +12,7 @@ from ..operators.feedback import apply_corrections
 from ..sources import bridge as B
 from .catalog import r6, register
 from .q_feedback import _CORR_SQL, AS_OF
-from .q_features import FEATURES_CTE, stored_features
+from .q_features import FEATURES_CTE, stored_features, BUILT_CTE, built_features
 
 _FEAT = ("emails", "feature_embeddings")
 
@@ -37,11 +37,11 @@ def emails_with_features_q(spark, sf_dir):
         "SELECT e.message_id, e.date FROM emails e LEFT JOIN email_features f ON f.message_id = e.message_id "
         "WHERE f.message_id IS NULL ORDER BY e.date DESC, e.message_id LIMIT 100",
         *_FEAT,
-        extra=[FEATURES_CTE],
+        extra=[BUILT_CTE],
     ),
 )
 def emails_without_features_q(spark, sf_dir):
-    return J.emails_without_features(B.emails(spark, sf_dir), stored_features(spark, sf_dir), 100).select("message_id", "date")
+    return J.emails_without_features(B.emails(spark, sf_dir), built_features(spark, sf_dir), 100).select("message_id", "date")
 
 
 @register(
@@ -124,11 +124,11 @@ def table_counts_q(spark, sf_dir):
 FROM (SELECT (SELECT count(*) FROM emails) AS t, count(*) AS n, avg(sender_open_rate) AS s, avg(domain_open_rate) AS d,
              count_if(is_newsletter) AS nl FROM email_features)""",
         *_FEAT,
-        extra=[FEATURES_CTE],
+        extra=[BUILT_CTE],
     ),
 )
 def feature_stats_q(spark, sf_dir):
-    s = J.feature_stats(B.emails(spark, sf_dir), stored_features(spark, sf_dir))
+    s = J.feature_stats(B.emails(spark, sf_dir), built_features(spark, sf_dir))
     return s.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
@@ -176,14 +176,15 @@ def all_categories_q(spark, sf_dir):
 @register(
     "prepare_text",
     O.with_tables(
-        "SELECT message_id, substr(trim(regexp_replace(coalesce(body_plain, ''), '\\s+', ' ', 'g')), 1, 2048) AS text "
-        "FROM emails",
+        "SELECT message_id, trim(regexp_replace(coalesce(body_plain, ''), '\\s+', ' ', 'g')) AS text, "
+        "substr(trim(regexp_replace(coalesce(body_plain, ''), '\\s+', ' ', 'g')), 1, 2048) AS cut FROM emails",
         "emails",
     ),
 )
 def prepare_text_q(spark, sf_dir):
     em = B.emails(spark, sf_dir)
-    return em.select("message_id", C.prepare_text(F.coalesce("body_plain", F.lit(""))).alias("text"))
+    body = F.coalesce("body_plain", F.lit(""))
+    return em.select("message_id", C.prepare_text(body).alias("text"), C.prepare_text(body, C.TEXT_MAX_CHARS).alias("cut"))
 
 
 @register(

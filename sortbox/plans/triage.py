@@ -150,6 +150,9 @@ def triage(
     # The incoming batch feeds a dozen branches (events, probes, features,
     # labels, upserts): cut its lineage once (reliable checkpoint in the
     # cluster's spark.checkpoint.dir) so the raw parse runs once.
+    # A re-delivered message is one mail: repeated ids would multiply at
+    # every later join on message_id.
+    incoming = ST.latest_mail(incoming)
     if materialize:
         ensure_checkpoint_dir(incoming.sparkSession)
         incoming = incoming.checkpoint(eager=True)

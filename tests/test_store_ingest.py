@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from sortbox.operators import store as ST
 from sortbox.plans import build_features as BF
 from sortbox.plans import ingest as IG
-from sortbox.plans.q_features import stored_features
+from sortbox.plans.q_features import built_features
 from sortbox.sources import bridge as B
 from sortbox.sources import messages as MS
 
@@ -43,7 +43,7 @@ def test_check_references_and_cascade(spark):
 
 def test_build_features_fills_backlog(spark):
     em = B.emails(spark, SF)
-    store = stored_features(spark, SF)
+    store = built_features(spark, SF)
     r = BF.build_features(em, store, dt.datetime(2024, 2, 1))
     table = r["table"]
     assert table.count() == em.count()
