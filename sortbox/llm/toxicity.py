@@ -220,66 +220,71 @@ def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return p | {"wa": draw(2 * HIDDEN, HIDDEN, by=0.3), "ba": np.zeros(HIDDEN, np.float32), "va": draw(HIDDEN, by=0.3), "wo": draw(2 * HIDDEN, by=0.3), "bo": np.zeros(1, np.float32)}
 
 
-def log_odds(bucket: np.ndarray, row: np.ndarray, y: np.ndarray, size: int, prior: float = 2.0) -> np.ndarray:
-    """Smoothed log-odds of each bucket by the number of toxic and other rows that have it."""
-    pairs = np.unique(row.astype(np.int64) * size + bucket)
-    has, of = pairs % size, y[pairs // size]
-    pos, neg = np.bincount(has[of > 0], minlength=size), np.bincount(has[of == 0], minlength=size)
-    n_pos, n_neg = (y > 0).sum(), (y == 0).sum()
-    value = np.log((pos + prior * n_pos / len(y)) / (n_pos + prior)) - np.log((neg + prior * n_neg / len(y)) / (n_neg + prior))
+def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, prior: float = 2.0) -> np.ndarray:
+    """Smoothed log-odds by the numbers of toxic and other rows that have a bucket."""
+    share = n_pos / (n_pos + n_neg)
+    value = np.log((pos + prior * share) / (n_pos + prior)) - np.log((neg + prior * (1 - share)) / (n_neg + prior))
     return np.where(pos + neg > 0, value, 0).astype(np.float32)
 
 
+def _count(total: np.ndarray, row: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> None:
+    """Add, by label, in how many rows each bucket occurs."""
+    pairs = np.unique(row * total.shape[1] + bucket)
+    for label in (0, 1):
+        total[label] += np.bincount(pairs[y[pairs // total.shape[1]] == label] % total.shape[1], minlength=total.shape[1])
+
+
 def train(texts: list[str | None], labels: list[int], base: float, seed: int = SEED, epochs: tuple[int, ...] = EPOCHS) -> Model:
-    """Fit on four fifths of the rows, fit the score's scale on the rest."""
-    y = np.array(labels, np.float32)
+    """Fit on four fifths of the rows, fit the score's scale on the rest.
+
+    Texts are read in slices, so that memory holds the words of the chosen windows only.
+    """
+    y = np.array(labels, np.int64)
     m = Model(base)
     if not len(y) or y.min() == y.max():
         return m
     rng = np.random.default_rng(seed)
     m.p = _start(rng)
-    w = read_words(texts)
-    begin, row = windows(w, len(texts))
-    if not len(begin):
-        m.p = {}
-        return m
     learn = np.ones(len(y), bool)
     learn[np.arange(len(y)) % 5 == 4] = False
-    mine = learn[w.row]
-    pairs = np.unique(w.row[mine] * len(w.bucket) + w.number[mine])
-    word, of = pairs % len(w.bucket), pairs // len(w.bucket)
-    local = np.cumsum(learn) - 1
-    m.lo_word = log_odds(w.bucket[word], local[of], y[learn], 1 << WORD_BITS)
-    n_grams = np.diff(np.append(w.gram_at, len(w.gram)))
-    first = np.repeat(w.gram_at[word] - (np.cumsum(n_grams[word]) - n_grams[word]), n_grams[word]) + np.arange(n_grams[word].sum())
-    m.lo_gram = log_odds(w.gram[first], np.repeat(local[of], n_grams[word]), y[learn], 1 << GRAM_BITS)
-
-    pad = len(w.bucket)
-    hint = m.inputs(w)[:, -2:].max(1)
-    rank = np.concatenate([hint[places(w, begin[i : i + 8192], row[i : i + 8192])].max(0) for i in range(0, len(begin), 8192)])
+    parts = list(_slices(texts))
+    word_rows, gram_rows = np.zeros((2, 1 << WORD_BITS), np.int64), np.zeros((2, 1 << GRAM_BITS), np.int64)
+    for lo, hi in parts:
+        w = read_words(texts[lo:hi])
+        mine = learn[lo:hi][w.row]
+        if not mine.any():
+            continue
+        pairs = np.unique(w.row[mine] * len(w.bucket) + w.number[mine])
+        word, of = pairs % len(w.bucket), pairs // len(w.bucket)
+        _count(word_rows, of, w.bucket[word], y[lo:hi])
+        size = np.diff(np.append(w.gram_at, len(w.gram)))[word]
+        flat = np.repeat(w.gram_at[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        _count(gram_rows, np.repeat(of, size), w.gram[flat], y[lo:hi])
+    n_pos, n_neg = int(y[learn].sum()), int((1 - y[learn]).sum())
+    if not n_pos or not n_neg or not word_rows.any():
+        m.p = {}
+        return m
+    m.lo_word, m.lo_gram = _log_odds(word_rows[1], word_rows[0], n_pos, n_neg), _log_odds(gram_rows[1], gram_rows[0], n_pos, n_neg)
+
+    def hint(w: Words, begin: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return m.inputs(w)[:, -2:].max(1)[places(w, begin, row)].max(0)
+
     adam: dict[str, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.p.items() if k not in ("word", "gram")}
     seen = {k: np.full(len(m.p[k]), 1e-6, np.float32) for k in ("word", "gram")}
     t = 0
-    for rounds in epochs:
-        # The strongest windows of every row, and one at random of every other row.
-        order = np.lexsort((-rank, row))
-        nth = np.arange(len(row)) - np.searchsorted(row[order], row[order])
-        take = np.where(y[row[order]] > 0, nth < 1, nth < 2)
-        take |= (y[row[order]] == 0) & (rng.random(len(row)) < 0.03)
-        chosen = order[take]
-        chosen = chosen[learn[row[chosen]]]
-        target = y[row[chosen]]
-        weight = np.where(target > 0, (target == 0).sum() / max(1, (target > 0).sum()), 1.0) ** 0.5
+    for rounds, rank in zip(epochs, [hint, *[lambda *a: logits(m, *a)] * (len(epochs) - 1)], strict=True):
+        w, ids_all, target = _chosen(texts, y, learn, parts, rank, rng)
+        weight = (np.where(target > 0, (target == 0).sum() / max(1, (target > 0).sum()), 1.0) ** 0.5).astype(np.float32)
+        pad = len(w.bucket)
         for _ in range(rounds):
-            shuffled = rng.permutation(len(chosen))
-            for lo in range(0, len(chosen), BATCH):
+            shuffled = rng.permutation(len(target))
+            for lo in range(0, len(target), BATCH):
                 b = shuffled[lo : lo + BATCH]
-                ids = places(w, begin[chosen[b]], row[chosen[b]])
-                used, inverse = np.unique(ids, return_inverse=True)
+                used, inverse = np.unique(ids_all[:, b], return_inverse=True)
                 words = used[used < pad]
                 part = _subset(w, words)
                 x = m.inputs(part)
-                g, dx, _ = gradients(m.p, x, inverse.reshape(ids.shape), len(words), target[b], weight[b])
+                g, dx, _ = gradients(m.p, x, inverse.reshape(LENGTH, -1), len(words), target[b], weight[b])
                 t += 1
                 for k, v in g.items():
                     m1, m2 = adam[k]
@@ -287,24 +292,51 @@ def train(texts: list[str | None], labels: list[int], base: float, seed: int = S
                     m2 += 0.001 * (v * v - m2)
                     m.p[k] -= 0.01 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
                 size = np.diff(np.append(part.gram_at, len(part.gram)))
-                for k, at, grad in (("word", part.bucket, dx[:-1, :WIDTH]), ("gram", part.gram, np.repeat(dx[:-1, WIDTH : 2 * WIDTH] / size[:, None], size, 0))):
+                for k, at, grad in (("word", part.bucket, dx[: len(words), :WIDTH]), ("gram", part.gram, np.repeat(dx[: len(words), WIDTH : 2 * WIDTH] / size[:, None], size, 0))):
                     rows, back = np.unique(at, return_inverse=True)
                     total = np.zeros((len(rows), WIDTH), np.float32)
                     np.add.at(total, back, grad)
                     seen[k][rows] += (total * total).mean(1)
                     m.p[k][rows] -= 0.02 * total / np.sqrt(seen[k][rows])[:, None]
-        rank = logits(m, w, begin, row)
-    best = np.full(len(y), -np.inf)
-    np.maximum.at(best, row, rank)
-    count = np.bincount(row, minlength=len(y))
+    best, count = np.full(len(y), -np.inf), np.zeros(len(y), np.int64)
+    for lo, hi in parts:
+        w = read_words(texts[lo:hi])
+        begin, row = windows(w, hi - lo)
+        if len(begin):
+            np.maximum.at(best, row + lo, logits(m, w, begin, row))
+            count[lo:hi] = np.bincount(row, minlength=hi - lo)
     check = ~learn & (count > 0)
     if y[check].min(initial=1) < y[check].max(initial=0):
         m.scale = _fit_scale(best[check], np.log(count[check]), y[check], base)
-    else:
-        m.scale = (1.0, 0.0, 0.0)
     return m
 
 
+def _chosen(texts: list[str | None], y: np.ndarray, learn: np.ndarray, parts: list[tuple[int, int]], rank, rng: np.random.Generator) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Windows to learn from: the strongest of each row, and a few at random of rows that are not toxic."""
+    out, ids, target, n_words, n_grams = [], [], [], 0, 0
+    for lo, hi in parts:
+        w = read_words(texts[lo:hi])
+        begin, row = windows(w, hi - lo)
+        if not len(begin):
+            continue
+        order = np.lexsort((-rank(w, begin, row), row))
+        nth = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+        label = y[lo:hi][row[order]]
+        take = np.where(label > 0, nth < 1, (nth < 2) | (rng.random(len(row)) < 0.03)) & learn[lo:hi][row[order]]
+        chosen = order[take]
+        used, inverse = np.unique(places(w, begin[chosen], row[chosen]), return_inverse=True)
+        words = used[used < len(w.bucket)]
+        inverse = inverse.reshape(LENGTH, -1)
+        part = _subset(w, words)
+        ids.append(np.where(inverse < len(words), inverse + n_words, -1))
+        target.append(label[take])
+        out.append((part.bucket, part.gram, part.gram_at + n_grams))
+        n_words, n_grams = n_words + len(words), n_grams + len(part.gram)
+    all_ids = np.concatenate(ids, 1)
+    none = np.empty(0, np.int64)
+    return Words(none, none, *(np.concatenate(v) for v in zip(*out, strict=True))), np.where(all_ids < 0, n_words, all_ids), np.concatenate(target).astype(np.float32)
+
+
 def _subset(w: Words, words: np.ndarray) -> Words:
     size = np.diff(np.append(w.gram_at, len(w.gram)))[words]
     at = np.cumsum(size) - size
