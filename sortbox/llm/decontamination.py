@@ -16,8 +16,9 @@
    need all of their words.
 
 Items are taken in blocks of ``ITEM_BLOCK`` by id, so that what is broadcast is bounded; all are
-taken.  Null texts, and texts without words, match nothing; so does everything when one table is
-empty.  Repeated items and rows each give their own hits.  Columns other than the named ones are
+taken.  Null texts, and texts without words, match nothing, nor do items without an id; so does
+everything when one table is empty.  An item counts once however often it is listed with the same
+text; repeated documents each have their hits.  Columns other than the named ones are
 neither read nor returned.
 """
 
@@ -347,12 +348,12 @@ def with_hits(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "t
     """``keep`` columns of every document and ``hits``, its leaks of benchmark items."""
     df, n = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)) ** 2  # squared: rare words decide
-    items = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     used, vectors = latent_space(items, idf)
     out, last = docs.withColumn("hits", F.expr(f"cast(array() as {HITS})")), None
     names = [*dict.fromkeys([*keep, text]), "hits"]
     while True:
-        block = items if last is None else items.where(F.struct("item_id", "text") > F.struct(F.lit(last[0]), F.lit(last[1])))
+        block = items if last is None else items.where((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("text") > last[1])))
         rows = [tuple(r) for r in block.orderBy("item_id", "text").limit(ITEM_BLOCK).collect()]
         if not rows:
             break

@@ -9,7 +9,7 @@ own licence.  A file without one takes that of the licence files in the nearest
 beside it; several of them in a directory are ranked by cosine, then name, then path.
 
 Null and empty texts have no own licence but inherit.  Rows with the same path are one file to the
-scan; each row is returned.  A null path has no directory and only its own licence.  An empty table
+scan; each row is returned.  A row without a path is no file: it is returned without a licence.  An empty table
 gives an empty result; columns other than the named ones are neither read nor returned.
 """
 
@@ -74,7 +74,7 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = Non
     spark = files.sparkSession
     postings = _templates(spark, templates or TEMPLATES)
     vocabulary = sorted({w for _, _, w, _ in postings})
-    rows = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
+    rows = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where("path is not null")
     all_words = F.array(*map(F.lit, vocabulary))
     # One row per template word, and one with the number of files under the null word.
     found = rows.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_intersect(words(F.col("text")), all_words), F.expr("cast(array() as array<string>)")))).alias("word"))
@@ -95,7 +95,7 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = Non
     length = weighed.groupBy("path", "at").agg(F.sqrt(F.sum(F.col("s_w") ** 2)).alias("s_norm"))
     product = weighed.join(F.broadcast(model), "word").groupBy("path", "at", "template", "license", "t_norm").agg(F.sum(F.col("s_w") * F.col("t_w")).alias("dot"))
     cosine = F.round(F.try_divide("dot", F.col("s_norm") * F.col("t_norm")), 6)
-    scored = product.join(length, [product["path"].eqNullSafe(length["path"]), product["at"] == length["at"]]).select(product["path"], "license", cosine.alias("cosine"))
+    scored = product.join(length, ["path", "at"]).select("path", "license", cosine.alias("cosine"))
     best = scored.where(F.col("cosine") >= MIN_COSINE).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
@@ -113,7 +113,7 @@ def scan(files: DataFrame, keep: list[str], templates: list[tuple[str, str]] | N
     parts = F.split("below", "/")
     above = folders.select("below", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).select("below", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("folder"))
     inherited = above.join(given, "folder").groupBy("below").agg(F.max_by("g", "depth").alias("g"))
-    out = rows.withColumn("below", folder).join(own.withColumnRenamed("path", "own_path"), F.col("path").eqNullSafe(F.col("own_path")), "left").join(inherited, "below", "left")
+    out = rows.withColumn("below", folder).join(own, "path", "left").join(inherited, "below", "left")
     mine = F.col("license").isNotNull()
     return out.select(
         *keep,
