@@ -36,12 +36,12 @@ def _ts(value: dt.datetime) -> Column:
     return ntz_lit(value)
 
 
-def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def latest_per_key(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """Keep the last row per key by ``order`` (partial aggregate: max_by of
     the whole row, so a hot key never sorts in one task)."""
-    cols = [c for c in df.columns]
-    packed = df.select(key, F.struct(*[F.col(o) for o in order]).alias("_o"), F.struct(*cols).alias("_r"))
-    return packed.groupBy(key).agg(F.max_by("_r", "_o").alias("_r")).select("_r.*")
+    keys = [key] if isinstance(key, str) else key
+    packed = df.select(*keys, F.struct(*[F.col(o) for o in order]).alias("_o"), F.struct(*df.columns).alias("_r"))
+    return packed.groupBy(*keys).agg(F.max_by("_r", "_o").alias("_r")).select("_r.*")
 
 
 def latest_mail(incoming: DataFrame, seq: str | None = None) -> DataFrame:
@@ -243,6 +243,37 @@ OP_EFFECT = {
 }
 
 
+def label_effects(ops: DataFrame) -> DataFrame:
+    """(message_id, seq, kind, label): what each operation does to a label.
+    ``init`` states the labels a mail starts with and, under a NULL label,
+    that the mail is there."""
+    kind = (
+        F.when(F.col("op").isin("archive", "mark_read", "remove_labels"), F.lit("remove"))
+        .when(F.col("op").isin("init", "move_to_inbox", "mark_unread", "add_labels"), F.lit("add"))
+    )
+    given = F.coalesce(F.col("labels"), F.array().cast("array<string>"))
+    touched = (
+        F.when(F.col("op").isin("archive", "move_to_inbox"), F.array(F.lit("INBOX")))
+        .when(F.col("op").isin("mark_read", "mark_unread"), F.array(F.lit("UNREAD")))
+        .when(F.col("op") == "init", F.concat(given, F.array(F.lit(None).cast("string"))))
+        .otherwise(given)
+    )
+    return ops.select("message_id", "seq", kind.alias("kind"), F.explode(touched).alias("label")).filter(F.col("kind").isNotNull())
+
+
+def labels_of_states(states: DataFrame) -> DataFrame:
+    """message_id, labels (sorted), was_read, was_archived from the last
+    state of each (message_id, label): columns ``kind`` and ``label``."""
+    on = F.when((F.col("kind") == "add") & F.col("label").isNotNull(), F.col("label"))
+    out = states.groupBy("message_id").agg(F.array_sort(F.collect_set(on)).alias("labels"))
+    return out.select(
+        "message_id",
+        "labels",
+        (~F.array_contains("labels", "UNREAD")).alias("was_read"),
+        (~F.array_contains("labels", "INBOX")).alias("was_archived"),
+    )
+
+
 def apply_label_ops(emails: DataFrame, ops: DataFrame) -> DataFrame:
     """Fold label operations into the current labels.
 
@@ -253,18 +284,7 @@ def apply_label_ops(emails: DataFrame, ops: DataFrame) -> DataFrame:
     pair instead of an ordered per-mail loop.  Returns message_id, labels
     (sorted), was_read, was_archived.
     """
-    kind = (
-        F.when(F.col("op").isin("archive", "mark_read", "remove_labels"), F.lit("remove"))
-        .when(F.col("op").isin("move_to_inbox", "mark_unread", "add_labels"), F.lit("add"))
-    )
-    touched = (
-        F.when(F.col("op").isin("archive", "move_to_inbox"), F.array(F.lit("INBOX")))
-        .when(F.col("op").isin("mark_read", "mark_unread"), F.array(F.lit("UNREAD")))
-        .otherwise(F.coalesce(F.col("labels"), F.array().cast("array<string>")))
-    )
-    effects = ops.select("message_id", "seq", kind.alias("kind"), F.explode(touched).alias("label")).filter(
-        F.col("kind").isNotNull()
-    )
+    effects = label_effects(ops).filter(F.col("label").isNotNull())
     last = effects.groupBy("message_id", "label").agg(F.max_by("kind", "seq").alias("kind"))
     current = emails.select("message_id", F.explode("labels").alias("label")).distinct()
     final = (

@@ -5,56 +5,36 @@ in the evening); here each is a streaming query over files of mail or
 actions, usually with ``Trigger.AvailableNow`` so a scheduler can run it
 like a batch while the checkpoint keeps exactly-once progress.
 
-* ``stream_sender_stats``: running per-sender aggregate (update mode).
-* ``daily_volume``: tumbling 1-day windows with a 1-day watermark.
-* ``dedup_messages``: ``dropDuplicatesWithinWatermark`` on message_id.
+No job has a watermark: late mail and late operations count like any other.
+Their state is bounded by what the tables hold anyway (a row per sender,
+day, or label of a mail).
+
+* ``stream_sender_stats``, ``daily_volume``: running aggregates, update mode.
+* ``dedup_messages``: each message is stored once, checked against the ids
+  stored by earlier epochs.
 * ``stream_triage`` / ``stream_feedback``: ``foreachBatch`` around the
-  batch jobs; every epoch writes its own output partition in overwrite
-  mode, so a replayed epoch replaces its output (idempotent).
-* ``mailbox_state``: per-mail label state folded with
-  ``applyInPandasWithState`` (initial labels arrive as 'init' ops).
+  batch jobs.
+* ``label_states``: last operation on each (mail, label), update mode.
+
+Every epoch writes its own output partition in overwrite mode, so a replayed
+epoch replaces its output (idempotent); ``latest_rows`` reads the current
+rows of such a table.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..functions.columns import ntz_lit
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import feedback as FB
 from ..operators import store as ST
 from ..plans import triage as TR
 
 
-def stage_files(df: DataFrame, path: str, order_col: str, files: int) -> str:
-    """Write ``df`` as ``files`` consecutive ``order_col`` ranges in one
-    range-partitioned job, then stamp the files' modification times in range
-    order, so that the file source (which replays files in modification-time
-    order) sees the data in order.  Test scaffolding for the stream keys."""
-    df.repartitionByRange(files, order_col).sortWithinPartitions(order_col).write.mode("overwrite").parquet(path)
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # part-00000 holds the lowest range; only file metadata is touched here
-    parts = sorted(
-        (st.getPath() for st in fs.listStatus(hpath) if st.getPath().getName().startswith("part-")),
-        key=lambda p: p.getName(),
-    )
-    base = int(fs.getFileStatus(hpath).getModificationTime())
-    for i, p in enumerate(parts):
-        fs.setTimes(p, base + 1000 * (i + 1), -1)
-    return path
-
-
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
@@ -79,32 +59,58 @@ def stream_sender_stats(mail: DataFrame) -> DataFrame:
     )
 
 
-def daily_volume(mail: DataFrame, watermark: str = "1 day") -> DataFrame:
-    m = with_event_time(mail).withWatermark("event_time", watermark)
+def daily_volume(mail: DataFrame) -> DataFrame:
+    """Messages per day; a late message updates its day."""
+    m = with_event_time(mail)
     return m.groupBy(F.window("event_time", "1 day")).agg(F.count(F.lit(1)).alias("n")).select(
         _to_ntz(F.col("window.start")).alias("day"), "n"
     )
 
 
-def dedup_messages(mail: DataFrame, watermark: str = "1 day") -> DataFrame:
-    return with_event_time(mail).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["message_id"]).drop(
-        "event_time"
-    )
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+
+
+def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
+    """Write an epoch's rows; writing the epoch again replaces them."""
+    df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def earlier_rows(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
+    """Rows of the epochs before ``epoch`` (None when nothing is written).
+    A table that is there and cannot be read fails the job."""
+    return spark.read.parquet(path).filter(F.col("epoch") < epoch) if path_exists(spark, path) else None
+
+
+def latest_rows(spark: SparkSession, path: str, key: str | list[str]) -> DataFrame:
+    """The last epoch's row of each key."""
+    return ST.latest_per_key(spark.read.parquet(path), key, ["epoch"]).drop("epoch")
+
 
+def dedup_messages(spark: SparkSession, mail: DataFrame, out_dir: str, checkpoint: str) -> DataFrame:
+    """Store each message once, however late it is delivered again."""
 
-def run_available(
-    sdf: DataFrame, checkpoint: str, mode: str = "append", sink: str | None = None, name: str | None = None,
-    foreach_batch: Callable[[DataFrame, int], None] | None = None,
-) -> None:
+    def handle(batch: DataFrame, epoch: int) -> None:
+        new = ST.latest_mail(batch)
+        stored = earlier_rows(spark, out_dir, epoch)
+        if stored is not None:
+            new = new.join(stored.select("message_id"), "message_id", "left_anti")
+        write_epoch(new, out_dir, epoch)
+
+    run_available(mail, checkpoint, handle, "append")
+    return spark.read.parquet(out_dir).drop("epoch")
+
+
+def run_updates(sdf: DataFrame, out_dir: str, checkpoint: str) -> None:
+    """Run a stream in update mode; each epoch's changed rows are written."""
+    run_available(sdf, checkpoint, lambda batch, epoch: write_epoch(batch, out_dir, epoch), "update")
+
+
+def run_available(sdf: DataFrame, checkpoint: str, foreach_batch: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run a streaming query over everything available, then stop."""
     w = sdf.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if foreach_batch is not None:
-        w = w.foreachBatch(foreach_batch)
-    elif sink is not None:
-        w = w.format("parquet").option("path", sink)
-    else:
-        w = w.format("memory").queryName(name)
-    q = w.start()
+    q = w.foreachBatch(foreach_batch).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -122,32 +128,31 @@ def stream_triage(
     checkpoint: str,
     embeddings: DataFrame | None = None,
 ) -> DataFrame:
-    """Triage each micro-batch of incoming mail.  The mail seen so far is
-    the committed base plus the mail log of earlier epochs (latest version
-    per message), so each batch sees everything committed before it."""
-    log_dir = f"{out_dir}/mail_log"
-    dec_dir = f"{out_dir}/decisions"
+    """Triage each micro-batch of incoming mail.
+
+    A batch sees the committed mail and features together with what earlier
+    epochs wrote (the last epoch's row of each message).  Each epoch writes
+    its mail, features, actions and decisions.  Returns the decisions."""
+    dirs = {n: f"{out_dir}/{n}" for n in ("mail", "features", "actions", "decisions")}
+
+    def current(base: DataFrame, name: str, epoch: int) -> DataFrame:
+        logged = earlier_rows(spark, dirs[name], epoch)
+        if logged is None:
+            return base
+        rows = base.withColumn("epoch", F.lit(-1)).unionByName(logged.select(*base.columns, "epoch"))
+        return ST.latest_per_key(rows, "message_id", ["epoch"]).drop("epoch")
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        prior = committed
-        try:
-            logged = spark.read.parquet(log_dir).filter(F.col("epoch") < epoch).drop("epoch")
-            prior = ST.latest_per_key(
-                committed.select(*logged.columns).withColumn("_v", F.lit(-1)).unionByName(logged.withColumn("_v", F.lit(0))),
-                "message_id",
-                ["_v"],
-            ).drop("_v")
-        except Exception:  # noqa: BLE001 - no log yet (first epoch)
-            pass
-        r = TR.triage(prior, batch, feature_store, mappings, scorer, as_of, embeddings=embeddings)
-        r["decisions"].withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{dec_dir}/epoch={epoch}")
-        logged_rows = batch.select(*ST.EMAIL_COLUMNS).withColumn("opened_at", F.lit(None).cast("timestamp_ntz")).withColumn(
-            "collected_at", ntz_lit(as_of)
-        )
-        logged_rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{log_dir}/epoch={epoch}")
-
-    run_available(incoming, checkpoint, foreach_batch=handle)
-    return spark.read.parquet(dec_dir)
+        store = current(feature_store, "features", epoch)
+        r = TR.triage(current(committed, "mail", epoch), batch, store, mappings, scorer, as_of, embeddings=embeddings)
+        ids = r["decisions"].select("message_id")
+        write_epoch(r["decisions"], dirs["decisions"], epoch)
+        write_epoch(r["actions"], dirs["actions"], epoch)
+        write_epoch(r["emails"].select(*committed.columns).join(ids, "message_id", "left_semi"), dirs["mail"], epoch)
+        write_epoch(r["feature_table"].select(*feature_store.columns).join(ids, "message_id", "left_semi"), dirs["features"], epoch)
+
+    run_available(incoming, checkpoint, handle)
+    return spark.read.parquet(dirs["decisions"])
 
 
 def stream_feedback(
@@ -158,60 +163,17 @@ def stream_feedback(
 
     def handle(batch: DataFrame, epoch: int) -> None:
         _, fb, stats = FB.collect_feedback(batch, mailbox, as_of, days)
-        stats.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out_dir}/stats/epoch={epoch}")
-        fb.write.mode("overwrite").parquet(f"{out_dir}/feedback/epoch={epoch}")
+        write_epoch(stats, f"{out_dir}/stats", epoch)
+        write_epoch(fb, f"{out_dir}/feedback", epoch)
 
-    run_available(actions, checkpoint, foreach_batch=handle)
+    run_available(actions, checkpoint, handle)
     return spark.read.parquet(f"{out_dir}/stats")
 
 
-MAILBOX_OUT = T.StructType(
-    [
-        T.StructField("message_id", T.StringType()),
-        T.StructField("labels", T.ArrayType(T.StringType())),
-        T.StructField("was_read", T.BooleanType()),
-        T.StructField("was_archived", T.BooleanType()),
-        T.StructField("seq", T.LongType()),
-    ]
-)
-MAILBOX_STATE = T.StructType([T.StructField("labels_json", T.StringType()), T.StructField("seq", T.LongType())])
-
-
-def _fold_labels(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Per mail: apply this batch's ops in seq order to the stored labels."""
-    if state.exists:
-        labels_json, last_seq = state.get
-        labels = list(json.loads(labels_json))
-    else:
-        labels, last_seq = [], -(2**62)
-    ops = pd.concat(list(pdfs)).sort_values("seq")
-    for op, seq, arg in zip(ops["op"], ops["seq"], ops["labels"]):
-        arg = list(arg) if arg is not None else []
-        if op == "init":
-            labels = list(dict.fromkeys(arg))
-        elif op in ("archive", "mark_read", "remove_labels"):
-            drop = {"archive": ["INBOX"], "mark_read": ["UNREAD"]}.get(op, arg)
-            labels = [x for x in labels if x not in drop]
-        elif op in ("move_to_inbox", "mark_unread", "add_labels"):
-            add = {"move_to_inbox": ["INBOX"], "mark_unread": ["UNREAD"]}.get(op, arg)
-            labels = labels + [x for x in add if x not in labels]
-        last_seq = max(last_seq, int(seq))
-    state.update((json.dumps(labels), last_seq))
-    yield pd.DataFrame(
-        {
-            "message_id": [key[0]],
-            "labels": [sorted(labels)],
-            "was_read": ["UNREAD" not in labels],
-            "was_archived": ["INBOX" not in labels],
-            "seq": [last_seq],
-        }
-    )
-
-
-def mailbox_state(ops: DataFrame) -> DataFrame:
-    """Streaming fold of label operations (message_id, seq, op, labels).
-    The state per mail is its label set; the output (update mode) is the
-    mail's labels after each micro-batch."""
-    return ops.groupBy("message_id").applyInPandasWithState(
-        _fold_labels, MAILBOX_OUT, MAILBOX_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+def label_states(ops: DataFrame) -> DataFrame:
+    """Streaming fold of label operations (message_id, seq, op, labels): the
+    operation with the highest ``seq`` decides each (mail, label), so one
+    that arrives late never undoes a newer one.  ``seq`` may be a struct
+    (time, id).  ``store.labels_of_states`` turns the states into mail."""
+    effects = ST.label_effects(ops)
+    return effects.groupBy("message_id", "label").agg(F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("seq"))
