@@ -13,7 +13,7 @@ different components that may be similar (five standard deviations) are compared
 sets.  Blocks bound memory, links of a block form a forest, and no pair is listed.
 
 Lower case: A-Z only.  Null text, or text without words: empty set, linked with nothing.  Repeated
-rows are equal documents.  An empty table gives an empty result; columns other than the named ones
+rows are equal documents.  Rows without an id are kept and linked with nothing.  An empty table gives an empty result; columns other than the named ones
 are neither read nor returned.
 """
 
@@ -176,7 +176,9 @@ def _blocks(members: DataFrame) -> DataFrame:
 def _open_links(classes: DataFrame, buckets: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes that share a bucket and that the stars left in different components."""
     labelled = buckets.join(linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    # The only pair of a bucket of two is a star's.
+    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+    open_buckets = open_buckets.where("x < y and n > 2").select("bucket")
     members = labelled.join(open_buckets, "bucket").join(classes.select("doc_id", "n_shingles", "sig"), "doc_id")
 
     def may_link(group: pd.DataFrame) -> pd.DataFrame:
@@ -231,7 +233,7 @@ def _open_links(classes: DataFrame, buckets: DataFrame, linked: DataFrame, sets:
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document."""
     base = stored(_read_sets(docs, text, k, False), "near-dup-base")
-    full = base.where("n_shingles > 0")
+    full = base.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "near-dup-classes")
     buckets = _buckets(classes)
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("bucket", "hub")
@@ -249,5 +251,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = SHINGLE, perce
     member = member.select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
     # Sets that are empty have no class; the row keeps its own id.
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(member, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
