@@ -483,6 +483,54 @@ def generate_labels_q(spark, sf_dir):
     )
 
 
+# Deterministic stand-in of the classifier: label and confidence by id.
+_SEM_SQL = """
+semantic AS (
+  SELECT message_id, CASE doc_id % 3 WHEN 0 THEN 'Receipts' WHEN 1 THEN 'Travel' ELSE 'Newsletter-Tech' END AS sem_label,
+         CAST(doc_id % 10 AS DOUBLE) / 10 AS conf FROM emails
+),
+sem_base AS (
+  SELECT b.*, CASE WHEN len(f.subject_embedding) > 0 AND s.conf >= 0.4 THEN 'Bot/' || s.sem_label END AS sem
+  FROM base b JOIN semantic s ON s.message_id = b.message_id LEFT JOIN email_features f ON f.message_id = b.message_id
+),
+sem_cent AS (SELECT *, CASE WHEN sem IS NULL OR cent <> sem THEN cent END AS cent_k FROM sem_base),
+sem_send AS (
+  SELECT *, CASE WHEN coalesce(sem, cent_k) IS NULL OR send <> coalesce(sem, cent_k) THEN send END AS send_k FROM sem_cent
+),
+sem_kept AS (
+  SELECT message_id, learned, sem, cent_k, send_k,
+         CASE WHEN fb IS DISTINCT FROM sem AND fb IS DISTINCT FROM cent_k AND fb IS DISTINCT FROM send_k THEN fb END AS fb FROM sem_send
+),
+sem_suggestions AS (
+  SELECT message_id, CASE WHEN learned IS NOT NULL THEN [{'k': 1, 'i': 0, 'label': learned}]
+    ELSE list_sort(list_filter([
+        CASE WHEN sem IS NOT NULL THEN {'k': 2, 'i': 0, 'label': sem} END,
+        CASE WHEN cent_k IS NOT NULL THEN {'k': 2, 'i': 1, 'label': cent_k} END,
+        CASE WHEN send_k IS NOT NULL THEN {'k': 3, 'i': 2, 'label': send_k} END,
+        CASE WHEN fb IS NOT NULL THEN {'k': CASE WHEN fb = 'Bot/Personal' THEN 5 ELSE 4 END, 'i': 3, 'label': fb} END
+      ], lambda x: x IS NOT NULL)) END AS s
+  FROM sem_kept
+)"""
+
+
+@register(
+    "generate_labels_semantic",
+    O.with_tables(
+        "SELECT message_id, list_transform(s, lambda x: x.label) AS labels FROM sem_suggestions",
+        *_GEN_TABLES,
+        extra=[*_GEN_EXTRA, _SEM_SQL],
+    ),
+)
+def generate_labels_semantic_q(spark, sf_dir):
+    """The waterfall with its semantic stage."""
+    em = B.emails(spark, sf_dir)
+    doc = F.substring("message_id", 2, 1 << 30).cast("bigint")
+    label = F.when(doc % 3 == 0, "Receipts").when(doc % 3 == 1, "Travel").otherwise("Newsletter-Tech")
+    sem = em.select("message_id", label.alias("sem_label"), ((doc % 10).cast("double") / 10).alias("sem_confidence"))
+    g = LB.generate_labels(em, stored_features(spark, sf_dir), B.sender_label_mappings(spark), semantic=sem)
+    return g.select("message_id", F.transform("suggestions", lambda s: s["label"]).alias("labels"))
+
+
 @register(
     "rank_suggestions",
     O.with_tables(

@@ -86,16 +86,18 @@ hist AS (
 )"""
 
 
-def _triage_run(spark, sf_dir) -> dict[str, DataFrame]:
+def _triage_run(spark, sf_dir, scorer=None, semantic=None, since: dt.date = dt.date(2024, 1, 22)) -> dict[str, DataFrame]:
     em = B.emails(spark, sf_dir)
     committed = em.filter(F.col("date") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
-    raw = MS.select_messages(MS.raw_messages(spark, sf_dir), after=dt.date(2024, 1, 22))
-    incoming, _ = MS.normalize_messages(raw, ntz_lit(NOW))
+    raw = MS.select_messages(MS.raw_messages(spark, sf_dir), after=since)
+    incoming, failed = MS.normalize_messages(raw, ntz_lit(NOW))
+    # Every ninth message is delivered again; it is still one mail.
+    again = F.substring("message_id", 2, 1 << 30).cast("bigint") % 9 == 0
     store = built_features(spark, sf_dir)
     return TR.triage(
-        committed, incoming, store, B.sender_label_mappings(spark),
-        scorer=lambda df: doc_score(F.col("message_id")), as_of=NOW,
-        embeddings=B.feature_embeddings(spark, sf_dir),
+        committed, incoming.unionByName(incoming.filter(again)), store, B.sender_label_mappings(spark),
+        scorer=scorer or (lambda df: doc_score(F.col("message_id"))), as_of=NOW,
+        embeddings=B.feature_embeddings(spark, sf_dir), semantic=semantic, failed=failed,
     )
 
 
@@ -125,6 +127,54 @@ def triage_q(spark, sf_dir):
     )
 
 
+_LINEAR = "0.9 * sender_open_rate + 0.3 * domain_open_rate - 0.02 * least(sender_email_count, 10)"
+
+
+@register(
+    "triage_by_features",
+    O.with_tables(
+        f"""SELECT message_id, round(s, 6) AS score,
+  CASE WHEN s >= 0.7 THEN 'keep' WHEN s <= 0.3 THEN 'archive' ELSE 'keep' END AS action,
+  CASE WHEN s >= 0.7 OR s <= 0.3 THEN 'high' ELSE 'low' END AS confidence
+FROM (SELECT message_id, {_LINEAR} AS s FROM (
+  SELECT message_id, n AS sender_email_count, CASE WHEN n > 0 THEN r / n ELSE 0.0 END AS sender_open_rate,
+         CASE WHEN dn > 0 THEN dr / dn ELSE 0.0 END AS domain_open_rate FROM hist))""",
+        "emails",
+        extra=[NORMALIZED_CTE, _TRIAGE_CTE],
+    ),
+)
+def triage_by_features_q(spark, sf_dir):
+    """A scorer that is a table of scores, linear in the mail's features."""
+    linear = lambda df: df.select("message_id", F.expr(_LINEAR).alias("score"))
+    return _round(_triage_run(spark, sf_dir, linear)["decisions"].select("message_id", "score", "action", "confidence"))
+
+
+@register("triage_by_model")
+def triage_by_model_q(spark, sf_dir):
+    """The fitted importance model scores, the fitted classifier labels."""
+    from ..operators import ml as ML
+    from . import q_ml
+
+    model = q_ml._trained(spark, sf_dir)[0]
+    dims = ML.embedding_width(q_ml._matrix(spark, sf_dir))
+    classifier = q_ml._semantic(spark, sf_dir)[0]
+    semantic = lambda df: ML.predict_semantic(classifier, df.filter(F.col("subject_embedding").isNotNull()))
+    return _triage_run(spark, sf_dir, ML.model_scorer(model, dims), semantic)["decisions"].select("message_id", "score", "action", "confidence", "category")
+
+
+@register(
+    "triage_errors",
+    O.with_tables(
+        """SELECT count(*) FILTER (WHERE doc_id % 991 = 0 AND date < TIMESTAMP '2024-01-21 00:00:00') AS errors, count(*) AS total
+FROM emails WHERE date >= TIMESTAMP '2024-01-02 00:00:00'""",
+        "emails",
+    ),
+)
+def triage_errors_q(spark, sf_dir):
+    """Messages without an id are counted as errors of the run."""
+    return _triage_run(spark, sf_dir, since=dt.date(2024, 1, 2))["summary"].select("errors", "total")
+
+
 @register(
     "triage_run_summary",
     O.with_tables(
@@ -137,10 +187,3 @@ FROM (SELECT {SQL_DOC_SCORE.format(m='message_id')} AS s FROM normalized WHERE d
 )
 def triage_run_summary_q(spark, sf_dir):
     return _triage_run(spark, sf_dir)["summary"]
-
-
-@register("triage_labels")
-def triage_labels_q(spark, sf_dir):
-    """Labels the triage run applies (primary, second, LowConfidence,
-    AutoArchived); checked by row count and by unit tests."""
-    return _triage_run(spark, sf_dir)["decisions"].select("message_id", "category", "labels", "reasoning")

@@ -130,18 +130,23 @@ def triage(
     incoming: DataFrame,
     feature_store: DataFrame,
     mappings: DataFrame,
-    scorer: Callable[[DataFrame], Column],
+    scorer: Callable[[DataFrame], Column | DataFrame],
     as_of: dt.datetime,
     embeddings: DataFrame | None = None,
-    semantic: DataFrame | None = None,
+    semantic: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     keep_threshold: float = D.HIGH_CONFIDENCE_KEEP,
     archive_threshold: float = D.HIGH_CONFIDENCE_ARCHIVE,
     dry_run: bool = False,
+    failed: DataFrame | None = None,
     bucket_seconds: int = BUCKET_SECONDS,
     materialize: bool = True,
 ) -> dict[str, DataFrame]:
     """Run the triage job.  ``scorer`` maps the feature DataFrame to a score
-    Column (a fixed expression, or ``ml.score_column`` of a fitted model).
+    Column (a fixed expression) or to a DataFrame (message_id, score), as
+    ``ml.model_scorer`` of a fitted model does.  ``semantic`` maps the
+    features to (message_id, sem_label, sem_confidence), or is that table.
+    ``failed`` holds the messages that could not be read (the quarantine of
+    ``normalize_messages``); the summary counts them as errors.
 
     Returns ``decisions``, ``actions`` (empty on dry runs), ``summary``,
     ``emails`` (mail table after the upsert) and ``features`` (feature
@@ -167,7 +172,10 @@ def triage(
         )
     if materialize:
         feats = feats.checkpoint(eager=True)
-    scored = feats.withColumn("score", scorer(feats))
+    score = scorer(feats)
+    scored = feats.join(score.select("message_id", "score"), "message_id") if isinstance(score, DataFrame) else feats.withColumn("score", score)
+    if callable(semantic):
+        semantic = semantic(feats)
     decided = D.decide(scored, "score", keep_threshold, archive_threshold)
     centroids = LB.label_centroids(committed, feature_store, mappings)
     sugg = LB.generate_labels(
@@ -200,7 +208,7 @@ def triage(
         "features": feats,
         "decisions": dec,
         "actions": actions,
-        "summary": D.triage_summary(dec),
+        "summary": D.triage_summary(dec, failed),
         "emails": emails_out,
         "feature_table": features_out,
     }
