@@ -1,19 +1,22 @@
 """Column functions for raw provider messages (JSON text -> typed mail).
 
-Everything runs JVM-side on the VARIANT type except decoding RFC 2047
-encoded display names, which is done by a small Arrow UDF only for the rows
-that contain an encoded word.
+Messages are read with a typed schema, JVM-side.  Two small Arrow UDFs handle
+what is rare: RFC 2047 encoded display names, and MIME parts nested deeper
+than the schema (which keeps such parts as JSON text).  Rows without either
+hand them NULL.
 """
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HEADER_TYPE = "array<struct<name:string,value:string>>"
-MAX_MIME_DEPTH = 6
+MAX_MIME_DEPTH = 6  # levels of the typed schema; deeper parts are walked in Python
 
 
 def header_lookup(headers: Column, name: str) -> Column:
@@ -86,74 +89,55 @@ def parse_mail_date(header: Column, fallback: Column) -> Column:
     """RFC 2822 date -> naive wall-clock timestamp.  The weekday and the zone
     are dropped without converting; unparseable or missing -> ``fallback``."""
     h = F.trim(F.coalesce(header, F.lit("")))
-    no_wd = F.regexp_replace(h, r"^[A-Za-z]{3},\s*", "")
+    no_wd = F.regexp_replace(h, r"^[A-Za-z]+,\s*", "")
     no_comment = F.regexp_replace(no_wd, r"\s*\([^)]*\)\s*$", "")
     no_zone = F.regexp_replace(no_comment, r"\s+([+-]\d{4}|[A-Za-z]{1,5})$", "")
+    # Month names by their first three letters; two-digit years as mail
+    # readers do it (69 and above are 19xx).
+    short = F.regexp_replace(no_zone, r"^(\d{1,2}\s+)([A-Za-z])([A-Za-z]{2})[a-z]*\s+", r"$1$2$3 ")
+    old = F.regexp_replace(short, r"^(\d{1,2}\s+[A-Za-z]{3} )([7-9]\d|69)\s", r"$119$2 ")
+    year = F.regexp_replace(old, r"^(\d{1,2}\s+[A-Za-z]{3} )(\d{2})\s", r"$120$2 ")
+    # Read as UTC and kept as wall clock, so no zone's missing hour shifts it.
+    utc = F.concat(F.initcap(F.regexp_replace(year, r"\s+", " ")), F.lit(" +0000"))
     ts = F.coalesce(
-        F.try_to_timestamp(no_zone, F.lit("d MMM yyyy H:mm:ss")),
-        F.try_to_timestamp(no_zone, F.lit("d MMM yyyy H:mm")),
-    ).cast("timestamp_ntz")
-    return F.coalesce(ts, fallback)
+        F.try_to_timestamp(utc, F.lit("d MMM yyyy H:mm:ss Z")),
+        F.try_to_timestamp(utc, F.lit("d MMM yyyy H:mm Z")),
+    )
+    wall = F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.coalesce(wall, fallback)
+
+
+def _alphabet_only(data: Column) -> Column:
+    """Line breaks and other separators dropped; data without any passes
+    through unchanged."""
+    outside = r"[^A-Za-z0-9+/=_-]"
+    return F.when(data.rlike(outside), F.regexp_replace(data, outside, "")).otherwise(data)
 
 
 def decode_base64url(data: Column) -> Column:
     """base64url text -> UTF-8 string (invalid bytes replaced).  Data that a
     strict decoder rejects (length not a multiple of 4 after dropping
     non-alphabet characters) decodes to ''."""
-    # unbase64 (a MIME decoder) skips characters outside the alphabet; the
-    # strict-padding rule is checked on the raw length, which equals the
-    # alphabet length for provider data (no separators).
     # two plain replaces are ~3x faster than translate() on long bodies
-    std = F.replace(F.replace(data, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    std = F.replace(F.replace(_alphabet_only(data), F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
     ok = (F.length(std) % 4) == 0
     return F.when(ok, F.make_valid_utf8(F.unbase64(std).cast("string"))).otherwise(F.lit(""))
 
 
-def _node(v: Column) -> Column:
-    return F.struct(
-        F.try_variant_get(v, "$.mimeType", "string").alias("mime"),
-        F.try_variant_get(v, "$.body.data", "string").alias("data"),
-    )
-
-
-def mime_parts(payload: Column, max_depth: int = MAX_MIME_DEPTH) -> Column:
-    """Flatten the MIME tree (to ``max_depth`` levels) into
-    array<struct<path:array<int>, mime, data>>; sorting by ``path`` gives
-    pre-order (depth-first) order."""
-
-    def kids(x: Column) -> Column:
-        return F.coalesce(F.try_variant_get(x["node"], "$.parts", "array<variant>"), F.array().cast("array<variant>"))
-
-    level = F.array(F.struct(F.array().cast("array<int>").alias("path"), payload.alias("node")))
-    levels = [level]
-    for _ in range(max_depth):
-        level = F.flatten(
-            F.transform(
-                level,
-                lambda p: F.transform(
-                    kids(p), lambda c, i: F.struct(F.concat(p["path"], F.array(i)).alias("path"), c.alias("node"))
-                ),
-            )
-        )
-        levels.append(level)
-    allp = F.concat(*levels)
-    return F.transform(allp, lambda x: F.struct(x["path"].alias("path"), _node(x["node"]).alias("n")))
-
-
 def _part_type(depth: int) -> T.StructType:
     """MIME part struct nested ``depth`` more levels (parts of parts ...)."""
     fields = [
         T.StructField("mimeType", T.StringType()),
         T.StructField("body", T.StructType([T.StructField("data", T.StringType())])),
     ]
-    if depth > 0:
-        fields.append(T.StructField("parts", T.ArrayType(_part_type(depth - 1))))
+    # Below the typed levels the parts stay JSON text.
+    fields.append(T.StructField("parts", T.ArrayType(_part_type(depth - 1)) if depth > 0 else T.StringType()))
     return T.StructType(fields)
 
 
 def message_schema(max_depth: int = MAX_MIME_DEPTH) -> T.StructType:
-    """Typed schema of a provider message resource; MIME nesting is cut at
-    ``max_depth`` levels (deeper parts are not read)."""
+    """Typed schema of a provider message resource with ``max_depth`` levels
+    of MIME nesting; what is nested deeper is kept as text."""
     payload = _part_type(max_depth)
     payload = T.StructType([T.StructField("headers", T.ArrayType(T.StructType([
         T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))), *payload.fields])
@@ -168,7 +152,7 @@ def message_schema(max_depth: int = MAX_MIME_DEPTH) -> T.StructType:
 
 
 def mime_parts_typed(payload: Column, max_depth: int = MAX_MIME_DEPTH) -> Column:
-    """``mime_parts`` over the typed payload of ``message_schema``: one
+    """The MIME tree of a typed payload (``message_schema``), flat: one
     struct per part (path, n: struct(mime, data)); path order = pre-order.
     Typed parsing reads each body string once instead of copying VARIANT
     sub-trees level by level."""
@@ -190,16 +174,57 @@ def mime_parts_typed(payload: Column, max_depth: int = MAX_MIME_DEPTH) -> Column
             )
         )
         out.append(F.transform(level, lambda p: flat(p["node"], p["path"])))
-    return F.concat(*out)
+    deep = F.transform(level, lambda p: F.struct(p["path"].alias("path"), p["node"]["parts"].alias("json")))
+    deep = F.filter(deep, lambda x: x["json"].isNotNull())
+    return F.struct(F.concat(*out).alias("parts"), F.when(F.size(deep) > 0, F.to_json(deep)).alias("deep"))
+
+
+def with_mime_parts(df: DataFrame, payload: Column, out: str = "parts") -> DataFrame:
+    """Adds ``out``: every MIME part of ``payload`` (see ``mime_parts_typed``)
+    at any depth."""
+    typed = df.withColumn("_typed", mime_parts_typed(payload)).withColumn("_deep", F.col("_typed.deep"))
+    below = F.coalesce(deep_parts(F.col("_deep")), F.array().cast(_PARTS))
+    return typed.withColumn("_below", below).withColumn(out, F.concat("_typed.parts", "_below")).drop("_typed", "_deep", "_below")
+
+
+_PARTS = "array<struct<path:array<int>,n:struct<mime:string,data:string>>>"
+
+
+@F.pandas_udf(
+    T.ArrayType(
+        T.StructType(
+            [
+                T.StructField("path", T.ArrayType(T.IntegerType())),
+                T.StructField("n", T.StructType([T.StructField("mime", T.StringType()), T.StructField("data", T.StringType())])),
+            ]
+        )
+    )
+)
+def deep_parts(rows: pd.Series) -> pd.Series:
+    """Parts below the typed levels: [{path, json of the parts}] -> parts."""
+
+    def walk(text: str | None) -> list | None:
+        if text is None:
+            return None
+        found, todo = [], [(x["path"], json.loads(x["json"])) for x in json.loads(text)]
+        while todo:  # a stack, so that no depth is too deep
+            path, parts = todo.pop()
+            for i, part in enumerate(parts if isinstance(parts, list) else []):
+                if isinstance(part, dict):
+                    at = [*path, i]
+                    found.append({"path": at, "n": {"mime": part.get("mimeType"), "data": (part.get("body") or {}).get("data")}})
+                    todo.append((at, part.get("parts")))
+        return found
+
+    return rows.map(walk, na_action="ignore")
 
 
 def _decodes_non_empty(data: Column) -> Column:
     """True when ``decode_base64url(data)`` is non-empty: the data, minus
     non-alphabet characters, has a length divisible by 4 and at least one
     alphabet character."""
-    # Provider data carries no separators, so the raw length is checked; data
-    # with embedded junk characters is judged by its raw length.
-    return (F.length(data) % 4 == 0) & (F.length(F.replace(F.substring(data, 1, 4), F.lit("="), F.lit(""))) > 0)
+    own = _alphabet_only(data)
+    return (F.length(own) % 4 == 0) & (F.length(F.replace(F.substring(own, 1, 4), F.lit("="), F.lit(""))) > 0)
 
 
 def first_body_data(parts: Column, mime: str) -> Column:

@@ -49,7 +49,7 @@ def _normalized(spark, sf_dir) -> DataFrame:
 def _raw_parsed(spark, sf_dir) -> DataFrame:
     parsed = _raw(spark, sf_dir).select("raw_id", F.from_json(F.col("json"), M.message_schema()).alias("m"))
     h = F.coalesce(F.col("m.payload.headers"), F.array().cast(M.HEADER_TYPE))
-    return parsed.select("raw_id", h.alias("headers"), M.mime_parts_typed(F.col("m.payload")).alias("parts"))
+    return M.with_mime_parts(parsed, F.col("m.payload")).select("raw_id", h.alias("headers"), "parts")
 
 
 @register(

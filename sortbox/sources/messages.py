@@ -87,7 +87,13 @@ def _build_raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("snippet").alias("snippet"),
         payload.alias("payload"),
     )
-    return em.select(doc.alias("raw_id"), F.col("date").alias("received_at"), F.to_json(msg).alias("json"))
+    # Every thirteenth message is forwarded nine times over: its parts lie below
+    # nine more multipart levels.
+    text = F.to_json(msg)
+    wrapped = F.regexp_replace(text, r'"parts":\[', '"parts":[' + '{"mimeType":"multipart/mixed","parts":[' * 9)
+    closed = F.regexp_replace(wrapped, r'\]\}\}$', "]" + "}]" * 9 + "}}")
+    deep = (doc % 13 == 0) & (doc % 3 != 0)
+    return em.select(doc.alias("raw_id"), F.col("date").alias("received_at"), F.when(deep, closed).otherwise(text).alias("json"))
 
 
 def normalize_messages(raw: DataFrame, ingest_ts: Column, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
@@ -96,18 +102,18 @@ def normalize_messages(raw: DataFrame, ingest_ts: Column, json_col: str = "json"
     Rows without an id or thread id (or unparseable JSON) go to the
     quarantine frame instead of failing the whole job.
     """
-    # Typed parse (bounded MIME depth): every field is read once; malformed
-    # JSON yields NULLs and lands in the quarantine.
+    # Typed parse: every field is read once; malformed JSON yields NULLs and
+    # lands in the quarantine.
     parsed = raw.select("*", F.from_json(F.col(json_col), M.message_schema(), {"mode": "PERMISSIVE"}).alias("_m"))
     m = F.col("_m")
-    base = parsed.select(
+    base = M.with_mime_parts(parsed, m["payload"], "_parts").select(
         *raw.columns,
         m["id"].alias("_id"),
         m["threadId"].alias("_thread"),
         F.coalesce(m["snippet"], F.lit("")).alias("_snippet"),
         F.coalesce(m["labelIds"], F.array().cast("array<string>")).alias("_labels"),
         F.coalesce(m["payload"]["headers"], F.array().cast(M.HEADER_TYPE)).alias("_headers"),
-        M.mime_parts_typed(m["payload"]).alias("_parts"),
+        "_parts",
     )
     bad = base.filter(F.col("_id").isNull() | F.col("_thread").isNull()).select(*raw.columns)
     good = base.filter(F.col("_id").isNotNull() & F.col("_thread").isNotNull())
