@@ -57,15 +57,11 @@ class Windows:
         self.at, self.row = inside, rows[inside]
         grams = T.rolling(words, gram)
         self.least = least_grams(grams, window - gram + 1)[inside].view(np.int64) if n > 0 else np.empty(0, np.int64)
-        self.prefix = grams[inside].view(np.int64)
+        self.prefix = (grams[inside] >> np.uint64(32)).view(np.int64)
         self.path = T.rolling(words, window)[inside].view(np.int64) if n > 0 else np.empty(0, np.int64)
         self.bounds = np.searchsorted(self.row, np.arange(len(c) + 1))
 
 
-def _rows(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-
 def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """Distinct least grams of each document."""
 
@@ -82,7 +78,7 @@ def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[c.lo : c.hi].take(pa.array(row[new])), pa.array(least[new])], ["doc_id", "gram"])
 
-    return rows.where("doc_id is not null").mapInArrow(run, "doc_id bigint, gram bigint")
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, gram bigint")
 
 
 def _suffixes(marked: DataFrame, window: int, gram: int) -> DataFrame:
@@ -90,7 +86,7 @@ def _suffixes(marked: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, shared = batch.column(0), batch.column(2)
+            ids, shared = batch.column(0), batch.column(batch.num_columns - 1)
             for c in T.chunks(batch.column(1)):
                 w = Windows(c, window, gram)
                 for i in range(len(c)):
@@ -101,7 +97,7 @@ def _suffixes(marked: DataFrame, window: int, gram: int) -> DataFrame:
                         [pa.array(w.prefix[a:b][mine][first]), pa.array(path), pa.array(np.full(len(path), ids[c.lo + i].as_py(), np.int64))], ["prefix", "path", "doc_id"]
                     )
 
-    return marked.select("doc_id", "text", "grams").mapInArrow(run, "prefix bigint, path bigint, doc_id bigint")
+    return marked.mapInArrow(run, "prefix bigint, path bigint, doc_id bigint")
 
 
 def deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,14 +118,17 @@ def deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[lose]), pa.array(path[lose])], ["doc_id", "path"])
 
 
-def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(``doc_id``, ``path``): windows of each document that also start in one with a smaller id."""
-    rows = _rows(docs, text)
+def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(``doc_id``, ``path``): windows of each row that also start in one with a smaller id.
+
+    ``rows`` begins with the columns ``doc_id`` (never null) and ``text``.
+    """
     anchors = _anchors(rows, window, gram)
     shared = anchors.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram")
     marks = anchors.join(shared, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    # All columns of ``rows`` go on here, so that its exchange is the one that remove_repeats() has.
     leaves = _suffixes(rows.join(marks, "doc_id"), window, gram)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = leaves.repartitionByRange(parts, "prefix", "path").sortWithinPartitions("prefix", "path", "doc_id")
     return ordered.mapInArrow(deep_nodes, "doc_id bigint, path bigint")
 
@@ -173,9 +172,13 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, text: str = "
     text without the removed words instead, its other white space unchanged.
     """
     keep = keep or []
-    lost = repeated_windows(docs, text, window, gram).groupBy("doc_id").agg(F.collect_list("path").alias("paths"))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(k).alias(f"__{k}") for k in keep))
-    joined = named.join(lost, "doc_id", "left").select("doc_id", "text", "paths", *(f"__{k}" for k in keep))
+    # Plain columns where nothing changes: the two joins then read one exchange of the texts.
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    named = docs.select(doc_id, F.col(text) if text == "text" else F.col(text).alias("text"), *(F.col(k).alias(f"__{k}") for k in keep))
+    known = named.where("doc_id is not null")
+    lost = repeated_windows(known, window, gram).groupBy("doc_id").agg(F.collect_list("path").alias("paths"))
+    joined = known.join(lost, "doc_id", "left").unionByName(named.where("doc_id is null"), allowMissingColumns=True)
+    joined = joined.select("doc_id", "text", "paths", *(f"__{k}" for k in keep))
     kind = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     body = "kept_text" if whole_text else "kept_words"
     names = ["doc_id", *keep, "n_words", "n_removed", "spans", body]
