@@ -80,10 +80,14 @@ def current_state_join(bot_actions: DataFrame, mailbox: DataFrame) -> DataFrame:
 
 
 def collect_feedback(
-    actions: DataFrame, mailbox: DataFrame, as_of: dt.datetime, days: int = 1
+    actions: DataFrame, mailbox: DataFrame, as_of: dt.datetime, days: int = 1, dedup: bool = False, feedback: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns (per-action outcome, new feedback rows, one-row stats).
 
+    Running twice adds the feedback rows twice, as in the application;
+    ``dedup`` adds one row per mail, and none for a mail whose ``feedback``
+    already has such a row.
+
     A bot archive whose mail is back in the inbox is a false positive and
     yields a feedback row; a differing Bot/* label set is a label change.
     Actions whose mail is missing are counted as bot actions only.
@@ -108,6 +112,11 @@ def collect_feedback(
         F.lit(FALSE_POSITIVE_COMMENT).alias("user_comment"),
         F.lit(False).alias("used_in_training"),
     )
+    if dedup:
+        new_feedback = new_feedback.dropDuplicates(["message_id"])
+        if feedback is not None:
+            known = feedback.filter(F.col("user_comment") == FALSE_POSITIVE_COMMENT).select("message_id")
+            new_feedback = new_feedback.join(known, "message_id", "left_anti")
     stats = outcome.agg(
         F.count(F.lit(1)).alias("bot_actions"),
         F.count_if("false_positive").alias("false_positives"),

@@ -220,28 +220,38 @@ def sender_specific_suggestion(address: Column, sender_count: Column, threshold:
 # ---------------------------------------------------------------------------
 
 
-def sender_sample(emails: DataFrame, features: DataFrame, mappings: DataFrame, per_sender: int = 10) -> DataFrame:
-    """Up to ``per_sender`` feature rows of each mapped sender (newest
-    first, message_id breaks ties); the cap is applied before empty
-    embeddings are dropped.  ``row_number() <= k`` plans a partial
-    WindowGroupLimit before the shuffle, so a hot sender ships at most k
-    rows per map task."""
+def _mapped_features(emails: DataFrame, features: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Feature rows of the mail of mapped senders, with their label."""
     m = mappings.filter(F.col("sender_address").isNotNull()).select(
         F.col("sender_address").alias("from_address"), "label"
     ).distinct()
-    j = (
+    return (
         emails.select("message_id", "from_address", "date")
         .join(m, "from_address")
         .join(features.select("message_id", "subject_embedding"), "message_id")
     )
+
+
+def sender_sample(emails: DataFrame, features: DataFrame, mappings: DataFrame, per_sender: int = 10) -> DataFrame:
+    """Up to ``per_sender`` feature rows of each mapped sender (newest
+    first, message_id breaks ties); the cap is applied before empty
+    embeddings are dropped.  ``row_number() <= k`` plans a partial
+    WindowGroupLimit before the shuffle, so a hot sender ships at most k
+    rows per map task."""
+    j = _mapped_features(emails, features, mappings)
     w = Window.partitionBy("label", "from_address").orderBy(F.col("date").desc(), F.col("message_id"))
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_sender)
 
 
-def label_centroids(emails: DataFrame, features: DataFrame, mappings: DataFrame, per_sender: int = 10) -> DataFrame:
-    """(label, centroid array<double>, n): element-wise mean of the sampled
-    subject embeddings per mapped label."""
-    s = sender_sample(emails, features, mappings, per_sender).filter(F.size("subject_embedding") > 0)
+def label_centroids(emails: DataFrame, features: DataFrame, mappings: DataFrame, per_sender: int | None = None) -> DataFrame:
+    """(label, centroid array<double>, n): element-wise mean of the subject
+    embeddings of all mail of each mapped label's senders; ``per_sender``
+    takes the newest so many of each sender (the application takes 10)."""
+    if per_sender:
+        s = sender_sample(emails, features, mappings, per_sender)
+    else:
+        s = _mapped_features(emails, features, mappings)
+    s = s.filter(F.size("subject_embedding") > 0)
     ex = s.select("label", "message_id", F.posexplode("subject_embedding").alias("pos", "v"))
     per_dim = ex.groupBy("label", "pos").agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
     return per_dim.groupBy("label").agg(

@@ -102,16 +102,16 @@ def stratified_split(
     buckets: int = SPLIT_BUCKETS,
 ) -> DataFrame:
     """Adds ``is_test``: exactly ceil(test_fraction * n_class) rows of each
-    class, the ones with the smallest ``xxhash64(key, seed)``.
+    class, the ones with the smallest md5 of ``key:seed``.
 
     Deterministic and identical on re-runs.  No window runs over a whole
     class: rows are counted per (class, hash bucket), the cut-off bucket of
     each class is found on that small table, and only rows of the cut-off
     bucket are ranked.
     """
-    h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    # bucket by the high bits of the hash: order of buckets = order of hashes
-    h = h.withColumn("_b", F.floor((F.col("_h").cast("double") + 9.223372036854776e18) / (1.8446744073709552e19 / buckets)).cast("int"))
+    h = df.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")))
+    # bucket by the first 24 bits of the hash: order of buckets = order of hashes
+    h = h.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 6), 16, 10).cast("bigint") * buckets / (1 << 24)).cast("int"))
     per = h.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     tot = per.groupBy(label).agg(F.sum("_n").alias("_tot"))
     wb = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= `buckets` rows per class

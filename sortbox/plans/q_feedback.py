@@ -87,6 +87,23 @@ def collect_feedback_q(spark, sf_dir):
     return FB.collect_feedback(a, e, AS_OF, 7)[0]
 
 
+@register(
+    "collect_feedback_dedup",
+    O.with_tables(
+        "SELECT DISTINCT message_id FROM (" + _outcome_sql(SINCE_7_SQL) + ") WHERE false_positive AND message_id NOT IN "
+        "(SELECT message_id FROM (" + _outcome_sql("TIMESTAMP '2024-01-27 00:00:00'") + ") WHERE false_positive)",
+        *_A,
+    ),
+)
+def collect_feedback_dedup_q(spark, sf_dir):
+    """A run over seven days after one over four adds only what is new."""
+    from ..operators import store as ST
+
+    e, a, f = _tables(spark, sf_dir)
+    first = ST.append_feedback(f, FB.collect_feedback(a, e, AS_OF, 4, dedup=True)[1])
+    return FB.collect_feedback(a, e, AS_OF, 7, dedup=True, feedback=first)[1].select("message_id")
+
+
 @register(
     "feedback_stats",
     O.with_tables(

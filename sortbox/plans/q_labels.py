@@ -305,6 +305,9 @@ sample AS (
     JOIN email_features f ON f.message_id = e.message_id)
   WHERE rank <= 10
 )"""
+# Centroids are taken over all mail of a mapped sender; the sample of ten has
+# its own keys.
+MAPPED_SQL = SAMPLE_SQL.replace("\n  WHERE rank <= 10", "")
 CENTROID_SQL = """
 centroids AS (
   SELECT label, list_transform(list_sort(list(struct_pack(pos := pos, v := v))), lambda x: x.v) AS centroid, max(n) AS n
@@ -330,7 +333,7 @@ def sender_sample_q(spark, sf_dir):
     O.with_tables(
         "SELECT label, list_transform(centroid, lambda x: round(x, 6)) AS centroid, CAST(n AS BIGINT) AS n FROM centroids",
         *_EMB,
-        extra=[FEATURES_CTE, SAMPLE_SQL, CENTROID_SQL],
+        extra=[FEATURES_CTE, MAPPED_SQL, CENTROID_SQL],
     ),
 )
 def label_centroids_q(spark, sf_dir):
@@ -338,6 +341,20 @@ def label_centroids_q(spark, sf_dir):
     return c.select("label", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"), "n")
 
 
+@register(
+    "label_centroids_10",
+    O.with_tables(
+        "SELECT label, list_transform(centroid, lambda x: round(x, 6)) AS centroid, CAST(n AS BIGINT) AS n FROM centroids",
+        *_EMB,
+        extra=[FEATURES_CTE, SAMPLE_SQL, CENTROID_SQL],
+    ),
+)
+def label_centroids_10_q(spark, sf_dir):
+    """As the application has it: the newest ten mails of each sender."""
+    c = LB.label_centroids(B.emails(spark, sf_dir), stored_features(spark, sf_dir), B.sender_label_mappings(spark), per_sender=10)
+    return c.select("label", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"), "n")
+
+
 _COS_SQL = """CASE WHEN {a} IS NULL OR {b} IS NULL OR len({a}) = 0 OR len({b}) = 0
    OR list_dot_product({a}, {a}) = 0 OR list_dot_product({b}, {b}) = 0 THEN 0.0
    ELSE list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) END"""
@@ -379,7 +396,7 @@ nearest AS (
         "SELECT f.message_id, n.nearest_label, round(n.similarity, 6) AS similarity "
         "FROM email_features f LEFT JOIN nearest n ON n.message_id = f.message_id",
         *_EMB,
-        extra=[FEATURES_CTE, SAMPLE_SQL, CENTROID_SQL, NEAREST_SQL],
+        extra=[FEATURES_CTE, MAPPED_SQL, CENTROID_SQL, NEAREST_SQL],
     ),
 )
 def nearest_label_q(spark, sf_dir):
@@ -393,32 +410,23 @@ def nearest_label_q(spark, sf_dir):
 @register(
     "centroid_match",
     O.with_tables(
-        "SELECT f.message_id, c.label, round(" + _COS_SQL.format(a="f.subject_embedding", b="c.centroid") + ", 6) AS cosine "
-        "FROM email_features f JOIN centroids c ON true WHERE f.subject_embedding IS NOT NULL",
+        """SELECT message_id, arg_max(label, struct_pack(c := cosine, r := -rank)) AS label, round(max(cosine), 6) AS cosine FROM (
+  SELECT f.message_id, c.label, dense_rank() OVER (ORDER BY c.label) AS rank, """
+        + _COS_SQL.format(a="f.subject_embedding", b="c.centroid")
+        + """ AS cosine
+  FROM email_features f JOIN centroids c ON list_dot_product(c.centroid, c.centroid) > 0
+  WHERE len(f.subject_embedding) > 0 AND list_dot_product(f.subject_embedding, f.subject_embedding) > 0)
+GROUP BY message_id""",
         *_EMB,
-        extra=[FEATURES_CTE, SAMPLE_SQL, CENTROID_SQL],
+        extra=[FEATURES_CTE, MAPPED_SQL, CENTROID_SQL],
     ),
 )
 def centroid_match_q(spark, sf_dir):
-    """Every mail with an embedding scored against every label centroid
-    (the centroid set is one small array value, see ``nearest_label``)."""
-    em = B.emails(spark, sf_dir)
-    all_feats = stored_features(spark, sf_dir)
-    cents = LB.label_centroids(em, all_feats, B.sender_label_mappings(spark))
-    feats = all_feats.filter(F.col("subject_embedding").isNotNull())
-    packed = cents.select(F.collect_list(F.struct("label", "centroid")).alias("cs")).scalar()
-    scored = feats.select("message_id", "subject_embedding", packed.alias("_cs")).select(
-        "message_id",
-        F.explode(
-            F.transform(
-                F.col("_cs"),
-                lambda c: F.struct(
-                    c["label"].alias("label"), LB.cosine_similarity(F.col("subject_embedding"), c["centroid"]).alias("cosine")
-                ),
-            )
-        ).alias("m"),
-    )
-    return scored.select("message_id", F.col("m.label").alias("label"), r6("m.cosine").alias("cosine"))
+    """Best label and cosine of every mail with an embedding."""
+    feats = stored_features(spark, sf_dir)
+    cents = LB.label_centroids(B.emails(spark, sf_dir), feats, B.sender_label_mappings(spark))
+    best = LB.nearest_label(feats, cents, threshold=-2.0).filter(F.col("nearest_label").isNotNull())
+    return best.select("message_id", F.col("nearest_label").alias("label"), r6("similarity").alias("cosine"))
 
 
 _DL = sql_domain_to_label("string_split(e.from_address, '@')[2]")
@@ -457,7 +465,7 @@ suggestions AS (
   FROM kept
 )"""
 _GEN_TABLES = ("emails", "feature_embeddings", "sender_label_mappings")
-_GEN_EXTRA = [FEATURES_CTE, SAMPLE_SQL, CENTROID_SQL, NEAREST_SQL, SUGGESTIONS_SQL]
+_GEN_EXTRA = [FEATURES_CTE, MAPPED_SQL, CENTROID_SQL, NEAREST_SQL, SUGGESTIONS_SQL]
 
 
 def _generated(spark, sf_dir) -> DataFrame:

@@ -98,7 +98,16 @@ def stratified_split_counts_q(spark, sf_dir):
     return s.groupBy("y").agg(F.count_if("is_test").cast("bigint").alias("n_test"), F.count(F.lit(1)).alias("n"))
 
 
-@register("stratified_split")
+@register(
+    "stratified_split",
+    O.with_tables(
+        """SELECT message_id, CAST(was_read AS INTEGER) AS y,
+  row_number() OVER (PARTITION BY was_read ORDER BY md5(message_id || ':42'), message_id)
+    <= ceil(count(*) OVER (PARTITION BY was_read) * 0.2) AS is_test
+FROM emails""",
+        "emails",
+    ),
+)
 def stratified_split_q(spark, sf_dir):
     em = B.emails(spark, sf_dir).select("message_id", F.col("was_read").cast("int").alias("y"))
     return ML.stratified_split(em, "y", 0.2).select("message_id", "y", "is_test")
@@ -132,6 +141,27 @@ def score_emails_q(spark, sf_dir):
     return ML.score_emails(model, stored_features(spark, sf_dir), ML.embedding_width(_matrix(spark, sf_dir)))
 
 
+@register(
+    "model_round_trip",
+    O.with_tables("SELECT count(*) AS n, count(*) AS n_equal FROM email_features", *_FEAT, extra=[FEATURES_CTE]),
+)
+def model_round_trip_q(spark, sf_dir):
+    """A saved and loaded model scores every row as before."""
+    import uuid
+
+    from ..session import scratch_path
+
+    model, matrix = _trained(spark, sf_dir)[0], _matrix(spark, sf_dir)
+    base, names = scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}"), ML.feature_columns(matrix)
+    ML.save_model(model, base, "v1", names)
+    loaded, stored_names = ML.load_model(spark, base)
+    assert stored_names == names
+    feats, dims = stored_features(spark, sf_dir), ML.embedding_width(matrix)
+    again = ML.score_emails(loaded, feats, dims).withColumnRenamed("score", "again")
+    both = ML.score_emails(model, feats, dims).join(again, "message_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") == F.col("again")).alias("n_equal"))
+
+
 @register("feature_importance")
 def feature_importance_q(spark, sf_dir):
     model, _, _ = _trained(spark, sf_dir)
@@ -140,12 +170,20 @@ def feature_importance_q(spark, sf_dir):
 
 @register("train_report")
 def train_report_q(spark, sf_dir):
-    """Archive precision at the script's thresholds and the keep threshold
-    (best recall with precision >= 0.7) on the model's test predictions."""
-    _, test, _ = _trained(spark, sf_dir)
+    """Archive precision at the script's thresholds, the keep threshold (best
+    recall with precision >= 0.7) and the recommended archive threshold on
+    the model's test predictions, and the features by importance."""
+    model, test, _ = _trained(spark, sf_dir)
+    names = ML.feature_columns(_matrix(spark, sf_dir))
+    imp = ML.feature_importance(spark, model, names, top_n=20)
+    weights = imp.select(F.concat(F.lit("importance:"), F.col("feature")).alias("kind"), F.lit(None).cast("double").alias("threshold"), F.col("importance").alias("value"))
+    # The largest threshold that archives with a precision of 0.9 or more.
+    good = EV.archive_precision(test).filter((F.col("archive_precision") >= 0.9) & (F.col("n_archived") > 0))
+    best = good.groupBy().agg(F.max_by("archive_precision", "archive_threshold").alias("value"), F.max("archive_threshold").alias("threshold"))
+    recommended = best.select(F.lit("recommended_archive").alias("kind"), "threshold", "value")
     ap = EV.archive_precision(test).select(F.lit("archive").alias("kind"), F.col("archive_threshold").alias("threshold"), F.col("archive_precision").alias("value"))
     keep = EV.optimal_threshold(test, "recall", 0.7).select(F.lit("keep").alias("kind"), "threshold", F.col("recall").alias("value"))
-    return ap.unionByName(keep)
+    return ap.unionByName(keep).unionByName(recommended).unionByName(weights)
 
 
 def _semantic(spark, sf_dir):
@@ -161,6 +199,13 @@ def train_semantic_classifier_q(spark, sf_dir):
     return _semantic(spark, sf_dir)[2]
 
 
+@register("semantic_report")
+def semantic_report_q(spark, sf_dir):
+    """Precision, recall and F1 of each label on the classifier's test rows."""
+    test = _semantic(spark, sf_dir)[1]
+    return _round(EV.classification_report(test, "label", "sem_label"))
+
+
 @register("predict_semantic")
 def predict_semantic_q(spark, sf_dir):
     model = _semantic(spark, sf_dir)[0]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from .. import oracles as O
 from .catalog import SQL_DOC_SCORE, register
 from .q_features import BUILT_CTE
-from .q_labels import CENTROID_SQL, SAMPLE_SQL, SQL_IS_NEWSLETTER, SQL_LEARNED_FIRST, SQL_TEXT, sql_contains_any, sql_domain_to_label
+from .q_labels import CENTROID_SQL, MAPPED_SQL, SQL_IS_NEWSLETTER, SQL_LEARNED_FIRST, SQL_TEXT, sql_contains_any, sql_domain_to_label
 from .q_labels import LB
 from .q_pipelines import _TRIAGE_CTE, _triage_run
 from .q_store import NORMALIZED_CTE
@@ -79,7 +79,7 @@ FROM tsugg""",
         "emails",
         "feature_embeddings",
         "sender_label_mappings",
-        extra=[NORMALIZED_CTE, _TRIAGE_CTE, BUILT_CTE, SAMPLE_SQL, CENTROID_SQL, TRIAGE_LABELS_CTE],
+        extra=[NORMALIZED_CTE, _TRIAGE_CTE, BUILT_CTE, MAPPED_SQL, CENTROID_SQL, TRIAGE_LABELS_CTE],
     )
 
 

@@ -33,7 +33,9 @@ def test_label_centroids_sample_cap_before_dropping_empty(spark):
         [(f"m{i}", None if i == 11 else [float(i), 1.0]) for i in range(12)], "message_id string, subject_embedding array<double>"
     )
     maps = spark.createDataFrame([(1, "s@x.com", None, "Bot/S")], "mapping_id long, sender_address string, sender_domain string, label string")
-    c = LB.label_centroids(emails, feats, maps).first()
+    c = LB.label_centroids(emails, feats, maps, per_sender=10).first()
     # newest ten are m11..m2; m11 has no embedding -> mean over m10..m2
     assert c.n == 9 and c.centroid == pytest.approx([sum(range(2, 11)) / 9, 1.0])
+    everything = LB.label_centroids(emails, feats, maps).first()
+    assert everything.n == 11 and everything.centroid == pytest.approx([sum(range(11)) / 11, 1.0])
     assert LB.sender_sample(emails, feats, maps).filter(F.col("rank") <= 10).count() == 10
