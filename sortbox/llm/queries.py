@@ -120,6 +120,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM ruled JOIN hosts USING (host) CROSS JOIN strength
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
 # crc32 bit by bit: the table has the eight shifts of each byte, the fold goes over the text's bytes.
 OP9_SQL = r"""
 WITH RECURSIVE steps AS (
@@ -241,4 +266,4 @@ QUERIES = {
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
     "op10_hierarchical_packing": op10_hierarchical_packing,
 }
-ORACLES = {"op4_suffix_tree_dedup": OP4_SQL, "op5_license_scan": OP5_SQL, "op6_host_quality_rules": OP6_SQL, "op9_sampled_splitter_shards": OP9_SQL}
+ORACLES = {"op4_suffix_tree_dedup": OP4_SQL, "op5_license_scan": OP5_SQL, "op6_host_quality_rules": OP6_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_sampled_splitter_shards": OP9_SQL}
