@@ -51,10 +51,14 @@ def metadata_columns(thread_length: Column | None = None) -> list[Column]:
 def metadata_features(emails: DataFrame, count_threads: bool = False) -> DataFrame:
     """message_id + the nine metadata features.  ``count_threads`` turns the
     thread_length stub into the declared meaning (mails per thread)."""
-    tl = None
-    if count_threads:
-        tl = F.count(F.lit(1)).over(Window.partitionBy("thread_id"))
-    return emails.select("message_id", *metadata_columns(tl))
+    if not count_threads:
+        return emails.select("message_id", *metadata_columns())
+    # An aggregate and a join of narrow rows: a long thread is not gathered in
+    # one task, and no bodies are shuffled.
+    counts = emails.groupBy(F.col("thread_id").alias("_thread")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = emails.select("message_id", "thread_id", *metadata_columns())
+    joined = rows.join(counts, F.col("thread_id").eqNullSafe(F.col("_thread")))
+    return joined.withColumn("thread_length", F.col("_n")).select(*[c for c in rows.columns if c != "thread_id"])
 
 
 def sender_stats(emails: DataFrame, by: list[str] | None = None) -> DataFrame:

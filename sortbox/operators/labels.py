@@ -8,6 +8,8 @@ reason>`` values; a mail's suggestions are an array of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -275,19 +277,36 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(ok, dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
 
 
+MAX_PACKED_LABELS = 5000
+
+
 def nearest_label(
-    features: DataFrame, centroids: DataFrame, emb_col: str = "subject_embedding", threshold: float = SIMILARITY_THRESHOLD
+    features: DataFrame, centroids: DataFrame, emb_col: str = "subject_embedding", threshold: float = SIMILARITY_THRESHOLD,
+    blocks: int = 1,
 ) -> DataFrame:
     """Best centroid with cosine strictly above ``threshold`` (zero-norm
     centroids skipped; the first label in label order wins ties).
 
     The centroid table has one row per label, so it is folded into a single
     array value and attached as a scalar subquery: no join and no cross
-    product; the work is one array pass per mail.
+    product; the work is one array pass per mail.  The value's size is
+    checked: beyond ``MAX_PACKED_LABELS`` the job fails and asks for
+    ``blocks``, which takes the labels in so many passes over the mail, each
+    with its share of the labels.
     """
-    packed = centroids.select(
-        F.array_sort(F.collect_list(F.struct("label", "centroid", norm(F.col("centroid")).alias("cn")))).alias("cs")
-    ).scalar()
+    if blocks > 1:
+        part = F.pmod(F.xxhash64("label"), F.lit(blocks))
+        best = [nearest_label(features, centroids.filter(part == b), emb_col, threshold) for b in range(blocks)]
+        every = reduce(DataFrame.unionByName, best).groupBy("message_id")
+        # Highest similarity, then the first label: the order of the struct.
+        top = every.agg(F.min(F.when(F.col("nearest_label").isNotNull(), F.struct((-F.col("similarity")).alias("s"), "nearest_label"))).alias("b"))
+        return top.select("message_id", F.col("b.nearest_label").alias("nearest_label"), (-F.col("b.s")).alias("similarity"))
+    packs = centroids.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_sort(F.collect_list(F.struct("label", "centroid", norm(F.col("centroid")).alias("cn")))).alias("cs"),
+    )
+    too_many = F.raise_error(F.lit(f"more than {MAX_PACKED_LABELS} labels: pass blocks to nearest_label"))
+    packed = packs.select(F.when(F.col("n") <= MAX_PACKED_LABELS, F.col("cs")).otherwise(too_many)).scalar()
     # The subquery is projected as its own column first: subqueries may not
     # sit inside a lambda.
     # The mail's norm is computed once per row, not once per centroid inside

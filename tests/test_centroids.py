@@ -23,6 +23,9 @@ def test_nearest_label_threshold_and_ties(spark):
     assert got["y"] == (None, None)  # orthogonal, below threshold
     assert got["z"] == (None, None) and got["w"] == (None, None)  # zero norm / missing
     assert got["v"] == (None, None)  # cos = 0.707 is not > 0.75
+    for blocks in (2, 5):
+        again = {r.message_id: (r.nearest_label, r.similarity) for r in LB.nearest_label(feats, cents, blocks=blocks).collect()}
+        assert again == got
 
 
 def test_label_centroids_sample_cap_before_dropping_empty(spark):
