@@ -100,6 +100,12 @@ def has_features(features: DataFrame, message_id: str) -> DataFrame:
     )
 
 
+def has_features_each(ids: DataFrame, features: DataFrame) -> DataFrame:
+    """The membership flag for every ``message_id`` of ``ids``."""
+    known = features.select("message_id").distinct().withColumn("_known", F.lit(True))
+    return ids.select("message_id").join(known, "message_id", "left").select("message_id", F.coalesce("_known", F.lit(False)).alias("has_features"))
+
+
 def count_features(features: DataFrame) -> DataFrame:
     return features.agg(F.count(F.lit(1)).alias("n_features"))
 

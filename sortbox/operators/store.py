@@ -218,19 +218,25 @@ def email_labels(emails: DataFrame) -> DataFrame:
 
 def label_dictionary(existing: DataFrame, emails: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Get-or-create name -> id for every label in use.  Missing names get
-    ids after the current maximum, in name order.  The numbering window runs
-    over distinct label names (per ``by`` group), a small set."""
+    ids after the current maximum, in name order.  Names are numbered within
+    their first two characters; the offsets of those come from a table with
+    one row per such beginning (and ``by`` group)."""
     keys = by or []
     used = emails.select(*keys, F.explode("labels").alias("name")).distinct()
     new = used.join(existing.select(*keys, "name"), keys + ["name"], "left_anti")
     mx = existing.groupBy(*keys).agg(F.max("label_id").alias("_mx")) if keys else None
-    w = Window.partitionBy(*keys).orderBy("name") if keys else Window.orderBy("name")
+    new = new.withColumn("_b", F.substring("name", 1, 2))
+    per = new.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select(*keys, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    new = new.join(starts, keys + ["_b"])
+    place = F.col("_start") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("name"))
     if keys:
         new = new.join(mx, keys, "left").withColumn("_mx", F.coalesce("_mx", F.lit(0)))
         base = F.col("_mx")
     else:
         base = existing.select(F.coalesce(F.max("label_id"), F.lit(0))).scalar()
-    new = new.select(*keys, "name", (base + F.row_number().over(w)).cast("bigint").alias("label_id"))
+    new = new.select(*keys, "name", (base + place).cast("bigint").alias("label_id"))
     return existing.select(*keys, "name", F.col("label_id").cast("bigint")).unionByName(new)
 
 

@@ -6,11 +6,16 @@ integer-arithmetic score (many ties, so tie handling is exercised).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import oracles as O
+from ..operators import decisions as D
 from ..operators import evaluation as EV
+from ..operators import ml as ML
+from ..session import scratch_path
 from ..sources import bridge as B
 from .catalog import SQL_DOC_SCORE, doc_score, r6, register
 
@@ -234,3 +239,32 @@ def classification_report_q(spark, sf_dir):
     )
     rep = EV.classification_report(preds)
     return _round_all(rep.select("label", "precision", "recall", F.col("support").cast("bigint").alias("support"), "f1"))
+
+
+@register(
+    "reasoning_text",
+    _ev(
+        """SELECT message_id, CASE
+  WHEN score >= 0.7 THEN 'High likelihood of reading (score: ' || printf('%.3f', score) || ')'
+  WHEN score <= 0.3 THEN 'Low likelihood of reading (score: ' || printf('%.3f', score) || ')'
+  ELSE 'Uncertain prediction (score: ' || printf('%.3f', score) || '), keeping to be safe' END AS reasoning
+FROM scored"""
+    ),
+)
+def reasoning_text_q(spark, sf_dir):
+    d = D.decide(scored(spark, sf_dir))
+    return d.select("message_id", D.reasoning(F.col("score"), F.col("action"), F.col("confidence")).alias("reasoning"))
+
+
+@register(
+    "metrics_round_trip",
+    _ev(
+        f"""SELECT round({AUC_SQL}, 6) AS auc, round(precision, 6) AS precision, round(recall, 6) AS recall, n_samples
+FROM (SELECT *, {_RATES} FROM (SELECT {_counts_sql('0.5')}, count(*) AS n_samples FROM scored))"""
+    ),
+)
+def metrics_round_trip_q(spark, sf_dir):
+    """Metrics as saved and loaded again."""
+    path = scratch_path(spark, f"metrics-{uuid.uuid4().hex[:12]}")
+    ML.save_metrics(EV.evaluate(scored(spark, sf_dir), 0.5), path)
+    return _round_all(ML.load_metrics(spark, path).select("auc", "precision", "recall", "n_samples"))

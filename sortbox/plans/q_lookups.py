@@ -149,9 +149,7 @@ def features_by_id_q(spark, sf_dir):
 )
 def has_features_q(spark, sf_dir):
     """Batch form: the membership flag for every mail."""
-    em = _emails(spark, sf_dir).select("message_id")
-    f = built_features(spark, sf_dir).select("message_id", F.lit(True).alias("has_features"))
-    return em.join(f, "message_id", "left").select("message_id", F.coalesce("has_features", F.lit(False)).alias("has_features"))
+    return L.has_features_each(_emails(spark, sf_dir), built_features(spark, sf_dir))
 
 
 @register(
