@@ -44,7 +44,7 @@ KINDS = ["#text", "p", "h1", "h2", "h3", "li", "ul", "ol", "div", "section", "ar
 KIND = {k: i + 1 for i, k in enumerate(KINDS)}
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 MAIN, FURNITURE, MIXED = 0, 1, 2
-TRAIN_PAGES = 1000
+TRAIN_PAGES = 1800
 TRAIN_SEED = 2024
 _SPACE = re.compile(r"\s+")
 
@@ -289,7 +289,7 @@ class Model:
     trees: boosting.Trees
 
 
-def fit(pages: list[str], rounds: int = 30) -> Model:
+def fit(pages: list[str], rounds: int = 36) -> Model:
     """Token log-odds from half of the pages, trees from the other half."""
     half = len(pages) // 2
     n, y = (nodes := read_pages(pages[:half])), labels(nodes)

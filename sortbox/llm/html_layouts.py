@@ -75,7 +75,7 @@ class Layouts:
         elif kind == "header":
             inner = self.pick([f"<h1>{self.link(2)}</h1>", f"<div>{n(1, 5)}</div>", f"<h2>{n(1, 4)}</h2><p>{n(2, 9)}</p>", f"<a href='/'>{n(1, 3)}</a>"]) + (self.links(3, 8) if self.chance(0.5) else "")
         elif kind == "footer":
-            inner = self.pick([f"&copy; {n(2, 14)}", f"<p>&copy; 2024 {n(2, 20)}</p>", f"<p>{n(5, 30)}</p>"]) + (self.links(2, 8) if self.chance(0.5) else "")
+            inner = self.pick([f"&copy; {n(1, 14)}", f"<p>&copy; 2024 {n(1, 20)}</p>", f"<p>{n(1, 30)}</p>", n(1, 6)]) + (self.links(2, 8) if self.chance(0.5) else "")
         elif kind == "aside":
             inner = self.pick(["", f"<h3>{n(1, 4)}</h3>", f"<h4>{n(1, 3)}</h4>"]) + self.pick([self.links(3, 9), f"<p>{n(5, 30)}</p>", "".join(f"<div>{self.link(6)}<p>{n(5, 20)}</p></div>" for _ in range(3))])
         elif kind == "ad":
@@ -119,8 +119,11 @@ class Layouts:
 
     def page(self) -> str:
         self.obscure = self.chance(0.15)
-        blocks = [f"<h1>{self.words(int(self.rng.integers(2, 10)))}</h1>"] if self.chance(0.85) else []
-        blocks += [self.block() for _ in range(1 + int(self.rng.geometric(0.12)) if self.chance(0.9) else 1)]
+        small = self.chance(0.12)  # a page with hardly any text
+        blocks = [f"<h1>{self.words(int(self.rng.integers(1, 10)))}</h1>"] if self.chance(0.4 if small else 0.85) else []
+        if blocks and self.chance(0.2):
+            blocks = [f"<header{self.name(['entry-header', 'article-header', 'post-header', 'title'])}>{blocks[0]}</header>"]
+        blocks += [self.block() for _ in range(1 if small else 1 + int(self.rng.geometric(0.12)))]
         for kind in ("ad", "share", "aside", "form", "notice"):
             if self.chance(0.12):
                 blocks.insert(int(self.rng.integers(1, len(blocks) + 1)), self.furniture(kind))
@@ -129,11 +132,16 @@ class Layouts:
         tag = self.pick(["article", "article", "main", "div", "div", "section", "td"])
         article = f'<{tag} data-part="m"{self.name(ARTICLE) if not (tag == "article" and self.chance(0.6)) else ""}>{"".join(blocks)}</{tag}>'
         if tag == "td":
-            article = f'<table><tr><td data-part="b">{self.links(3, 7)}</td>{article}</tr></table>'
+            rows = [f'<tr><td data-part="b">{self.links(3, 7)}</td>{article}</tr>']
+            if self.chance(0.5):
+                rows.insert(0, f'<tr><td data-part="b" colspan=2>{self.pick(["<b>{}</b>", "{}", "<h1>{}</h1>"]).format(self.words(int(self.rng.integers(1, 5))))}</td></tr>')
+            if self.chance(0.6):
+                rows.append(f'<tr><td data-part="b">{self.pick(["&copy; ", "Copyright ", ""])}{self.words(int(self.rng.integers(1, 9)))}</td></tr>')
+            article = f"<table>{''.join(rows)}</table>"
         elif self.chance(0.2):
             article = f"<main{self.name(ARTICLE)}>{article}{self.furniture('comments') if self.chance(0.4) else ''}</main>"
         parts = [article]
-        for kind, p, after in (("nav", 0.7, 0), ("header", 0.55, 0), ("notice", 0.3, None), ("ad", 0.45, None), ("form", 0.2, None), ("aside", 0.45, None), ("comments", 0.35, 1), ("share", 0.2, None), ("footer", 0.8, 1), ("nav", 0.15, 1)):
+        for kind, p, after in (("nav", 0.3 if small else 0.7, 0), ("header", 0.55, 0), ("notice", 0.3, None), ("ad", 0.45, None), ("form", 0.2, None), ("aside", 0.45, None), ("comments", 0.35, 1), ("share", 0.2, None), ("footer", 0.8, 1), ("nav", 0.15, 1)):
             if self.chance(p):
                 late = after if after is not None else int(self.chance(0.6))
                 parts.insert(len(parts) if late else 0, self.furniture(kind))
