@@ -44,7 +44,7 @@ PASSAGE = 32
 STRIDE = 16
 RANK = 256
 POWER_STEPS = 3
-ROW_BLOCK = 1024
+ROW_BLOCK = 256
 COSINE = 0.35
 COPY = 0.8
 PARAPHRASE = 0.55
@@ -149,21 +149,30 @@ def latent_space(items: DataFrame, idf: np.ndarray, text: str = "text", rank: in
         wide, n_blocks = q.shape[1], -(-len(used) // ROW_BLOCK)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((n_blocks * ROW_BLOCK, wide), np.float32)
+            total, touched = np.zeros((len(used), wide), np.float32), np.zeros(len(used), bool)
             for batch in batches:
                 for at, w in _matrix(batch.column(0).to_pylist(), idf):
                     i = np.searchsorted(used, at)
                     total[i] += w[:, None] * (w @ q[i])
-            parts = total.reshape(n_blocks, -1)
-            some = np.flatnonzero(parts.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[k].astype("<f4").tobytes() for k in some], pa.binary())], ["k", "v"])
+                    touched[i] = True
+            # Only the rows that this task's passages touch go on.
+            some = np.flatnonzero(touched)
+            parts = [some[some // ROW_BLOCK == k] for k in np.unique(some // ROW_BLOCK)]
+            columns = [
+                pa.array([int(p[0]) // ROW_BLOCK for p in parts], pa.int64()),
+                pa.array([(p % ROW_BLOCK).astype("<i4").tobytes() for p in parts], pa.binary()),
+                pa.array([total[p].astype("<f4").tobytes() for p in parts], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "i", "v"])
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
-            v = sum(np.frombuffer(x, "<f4") for x in group["v"])
+            v = np.zeros((ROW_BLOCK, wide), np.float32)
+            for i, x in zip(group["i"], group["v"], strict=True):
+                v[np.frombuffer(i, "<i4")] += np.frombuffer(x, "<f4").reshape(-1, wide)
             return pd.DataFrame({"k": [group["k"].iloc[0]], "v": [v.astype("<f4").tobytes()]})
 
         out = np.zeros((n_blocks, ROW_BLOCK * wide))
-        for r in rows.mapInArrow(run, "k bigint, v binary").groupBy("k").applyInPandas(add, "k bigint, v binary").collect():
+        for r in rows.mapInArrow(run, "k bigint, i binary, v binary").groupBy("k").applyInPandas(add, "k bigint, v binary").collect():
             out[r["k"]] = np.frombuffer(r["v"], "<f4")
         return out.reshape(-1, wide)[: len(used)]
 
