@@ -29,11 +29,16 @@ def components(links: DataFrame, limit: int = 100) -> DataFrame:
     Each round is written to the shared folder; the rounds end when the links no longer change.
     ``limit`` guards against an endless loop only: the rounds grow with the logarithm of the nodes.
     """
-    edges = stored(links.where("a <> b").select("a", "b").distinct(), "links")
-    seen = None
+
+    def mark(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    down = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = stored(down.distinct(), "links")
+    seen = mark(edges)  # links that are stars already stay as they are
     for _ in range(limit):
         edges = stored(_small_star(_large_star(edges)), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = mark(edges)
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

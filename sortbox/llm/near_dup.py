@@ -203,7 +203,7 @@ def _open_links(classes: DataFrame, buckets: DataFrame, linked: DataFrame, sets:
     kind = "bucket bigint, doc_id bigint, component bigint, own int, low int, high int, band int"
     keys = ["bucket", "low", "high"]
     # Components may differ in a bucket without any pair that is near: most rows end here.
-    near = stored(_blocks(members).groupBy(*keys).applyInPandas(may_link, kind), "near-dup-open")
+    near = _blocks(members).groupBy(*keys).applyInPandas(may_link, kind)
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id").reset_index(drop=True)
