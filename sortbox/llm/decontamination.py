@@ -3,12 +3,14 @@
 1. Words are runs of letters and digits, case-folded and hashed to ``BUCKETS`` buckets.  Document
    frequencies of the buckets are counted over all documents; a word weighs the squared logarithm of
    its inverse document frequency.
-2. Benchmark items are cut into passages of ``PASSAGE`` words.  A randomised SVD of their TF-IDF
-   matrix (distributed range finder with power steps) gives the latent space.
+2. Benchmark items are cut into passages of ``PASSAGE`` words, and these into runs of ``SPACE``.  A
+   randomised SVD of a run's TF-IDF matrix (range finder with power steps; runs are dealt to tasks)
+   gives its latent space.  ``RANK`` is more than ``SPACE``, so that a space holds all of its passages however
+   many items there are.
 3. Every document is cut into overlapping passages of the same length that cover it.  They are
-   folded into the space and compared, in blocks, with all passages of the benchmark.  A passage's
-   length holds its words outside the space as well; a passage in which the benchmark's words make
-   up less than the square of the least cosine of it cannot reach that cosine and is not folded in.
+   folded into the spaces and compared, in blocks, with all passages of the benchmark.  A passage's
+   length holds its words outside a space as well; a passage in which the space's words make up
+   less than the square of the least cosine of it cannot reach that cosine and is not folded in.
 4. For each candidate the words are aligned where most of the rare words agree, and the longest
    common subsequence of item and text is taken there.  Near to a whole item (``COPY``) is a leak;
    less (``PARAPHRASE``) is a leak if the answer, the item's last sentence (its last third if it has
@@ -32,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortbox.llm import text as T
@@ -42,15 +44,16 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 PASSAGE = 32
 STRIDE = 16
+SPACE = 192
 RANK = 256
 POWER_STEPS = 3
-ROW_BLOCK = 256
 COSINE = 0.35
 COPY = 0.8
 PARAPHRASE = 0.55
 ANSWER = 0.7
 SHORT = 8
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 2_000
+WORD = re.compile(r"[^\W_]+")
 HITS = "array<struct<item_id:bigint,cosine:double,lcs_share:double,answer_share:double,word:bigint>>"
 
 
@@ -127,78 +130,68 @@ def _matrix(texts: list[str | None], idf: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, text: str = "text", rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the items and the right singular vectors of their passages, largest first.
-
-    A step multiplies a block of vectors by the matrix and its transpose; every task adds up its own
-    rows, tasks are added up in groups of ``ROW_BLOCK`` buckets.  At most ``BUCKETS`` x ``rank``
-    numbers reach the driver, where they are made orthogonal.
-    """
-    rows = items.select(F.col(text).alias("text"))
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = [at for at, _ in _matrix(batch.column(0).to_pylist(), idf)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.empty(0, np.int64), *at])))], ["b"])
-
-    used = np.array(sorted(r["b"] for r in rows.mapInArrow(buckets, "b bigint").distinct().collect()), np.int64)
+def _fit(texts: list[str | None], idf: np.ndarray, rank: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = _matrix(texts, idf)
+    used = np.unique(np.concatenate([np.empty(0, np.int64), *(at for at, _ in rows)]))
     if not len(used):
         return used, np.empty((0, 0), np.float32)
-
-    def step(q: np.ndarray) -> np.ndarray:
-        wide, n_blocks = q.shape[1], -(-len(used) // ROW_BLOCK)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, touched = np.zeros((len(used), wide), np.float32), np.zeros(len(used), bool)
-            for batch in batches:
-                for at, w in _matrix(batch.column(0).to_pylist(), idf):
-                    i = np.searchsorted(used, at)
-                    total[i] += w[:, None] * (w @ q[i])
-                    touched[i] = True
-            # Only the rows that this task's passages touch go on.
-            some = np.flatnonzero(touched)
-            parts = [some[some // ROW_BLOCK == k] for k in np.unique(some // ROW_BLOCK)]
-            columns = [
-                pa.array([int(p[0]) // ROW_BLOCK for p in parts], pa.int64()),
-                pa.array([(p % ROW_BLOCK).astype("<i4").tobytes() for p in parts], pa.binary()),
-                pa.array([total[p].astype("<f4").tobytes() for p in parts], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "i", "v"])
-
-        def add(group: pd.DataFrame) -> pd.DataFrame:
-            v = np.zeros((ROW_BLOCK, wide), np.float32)
-            for i, x in zip(group["i"], group["v"], strict=True):
-                v[np.frombuffer(i, "<i4")] += np.frombuffer(x, "<f4").reshape(-1, wide)
-            return pd.DataFrame({"k": [group["k"].iloc[0]], "v": [v.astype("<f4").tobytes()]})
-
-        out = np.zeros((n_blocks, ROW_BLOCK * wide))
-        for r in rows.mapInArrow(run, "k bigint, i binary, v binary").groupBy("k").applyInPandas(add, "k bigint, v binary").collect():
-            out[r["k"]] = np.frombuffer(r["v"], "<f4")
-        return out.reshape(-1, wide)[: len(used)]
-
-    wide = min(rank, len(used))
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(used), wide)))[0].astype(np.float32)
+    m = np.zeros((len(rows), len(used)), np.float32)
+    for i, (at, w) in enumerate(rows):
+        m[i, np.searchsorted(used, at)] = w
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(used), min(rank, len(used)))))[0].astype(np.float32)
     for i in range(POWER_STEPS):
-        full = step(q)
+        full = m.T @ (m @ q)
         if i < POWER_STEPS - 1:
             q = np.linalg.qr(full)[0].astype(np.float32)
-    values, turn = np.linalg.eigh((m := q.T @ full) + m.T)
+    values, turn = np.linalg.eigh((g := q.T @ full) + g.T)
     keep = values > max(values.max(), 0) * 1e-6
     return used, (q @ turn[:, keep][:, ::-1]).astype(np.float32)
 
 
+def latent_spaces(runs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Buckets of every ``run`` of texts and the right singular vectors of its passages, largest first.
+
+    A run is one group, so runs are fitted side by side; at most its buckets times ``rank`` numbers
+    of each reach the driver.
+    """
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        used, vectors = _fit(group["text"].tolist(), idf, rank, seed)
+        return pd.DataFrame({"run": [group["run"].iloc[0]], "used": [used.astype("<i8").tobytes()], "v": [vectors.astype("<f4").tobytes()]})
+
+    out = {}
+    for r in runs.select("run", "text").groupBy("run").applyInPandas(fit, "run bigint, used binary, v binary").collect():
+        used = np.frombuffer(r["used"], "<i8")
+        out[r["run"]] = used, np.frombuffer(r["v"], "<f4").reshape(len(used), -1) if len(used) else np.empty((0, 0), np.float32)
+    return out
+
+
+def latent_space(items: DataFrame, idf: np.ndarray, text: str = "text", rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The space of all items as one run."""
+    rows = items.select(F.lit(0).cast("long").alias("run"), F.col(text).alias("text"))
+    return latent_spaces(rows, idf, rank, seed).get(0, (np.empty(0, np.int64), np.empty((0, 0), np.float32)))
+
+
 @dataclass
-class Index:
-    """A block of benchmark items: their words and answers, and their passages in the latent space."""
+class Space:
+    """The latent space of a run of passages, and the passages in it."""
 
-    idf: np.ndarray
     slot: np.ndarray  # row of ``vectors`` of each bucket; the last row is zero
     vectors: np.ndarray
+    latent: np.ndarray
+    of: np.ndarray  # item of each passage
+
+
+@dataclass
+class Index:
+    """A block of benchmark items: their words and answers, and the spaces of their passages."""
+
+    idf: np.ndarray
+    known: np.ndarray  # whether a space has the bucket
     ids: list[int]
     item_words: list[np.ndarray]
     answers: list[int]  # first word of the answer
-    latent: np.ndarray
-    of: np.ndarray  # item of each passage
+    spaces: list[Space]
 
 
 def _answer(text: str, n: int) -> int:
@@ -209,22 +202,34 @@ def _answer(text: str, n: int) -> int:
     return n - len(words([sentences[-1]])[0])
 
 
-def index(rows: list[tuple[int, str | None]], idf: np.ndarray, used: np.ndarray, vectors: np.ndarray) -> Index:
-    slot = np.full(BUCKETS, len(used), np.int32)
+def passage_texts(text: str | None) -> list[str]:
+    """The passages of an item, each as a text."""
+    own = WORD.findall((text or "").casefold())
+    return [" ".join(own[lo:hi]) for lo, hi in passages(len(own))]
+
+
+def space(texts: list[str], of: list[int], idf: np.ndarray, used: np.ndarray, vectors: np.ndarray) -> Space:
+    slot = np.full(BUCKETS, len(used), np.int16)  # a run has at most ``SPACE`` x ``PASSAGE`` words
     slot[used] = np.arange(len(used))
     padded = np.concatenate([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
+    latent = [w @ padded[slot[at]] for at, w in _matrix(texts, idf)]
+    table = np.array([v / max(np.linalg.norm(v), 1e-9) for v in latent], np.float32).reshape(len(latent), vectors.shape[1])
+    return Space(slot, padded, table, np.array(of, np.int64))
+
+
+def index(spark: SparkSession, rows: list[tuple[int, str | None]], idf: np.ndarray) -> Index:
     h, begin = words([t for _, t in rows])
     item_words = [h[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
-    latent, of = [], []
-    for i, own in enumerate(item_words):
-        for lo, hi in passages(len(own)):
-            at, tf = np.unique(bucket(own[lo:hi]), return_counts=True)
-            v = (tf * idf[at]) @ padded[slot[at]]
-            latent.append(v / max(np.linalg.norm(v), 1e-9))
-            of.append(i)
+    cut = [(i, p) for i, (_, t) in enumerate(rows) for p in passage_texts(t)]
+    runs = [cut[lo : lo + SPACE] for lo in range(0, len(cut), SPACE)]
+    spaces, known = [], np.zeros(BUCKETS, bool)
+    fitted = latent_spaces(spark.createDataFrame([(k, t) for k, run in enumerate(runs) for _, t in run], "run long, text string"), idf)
+    for k, run in enumerate(runs):
+        used, vectors = fitted[k]
+        known[used] = True
+        spaces.append(space([t for _, t in run], [i for i, _ in run], idf, used, vectors))
     answers = [_answer(t or "", len(w)) for (_, t), w in zip(rows, item_words, strict=True)]
-    table = np.array(latent, np.float32).reshape(len(latent), vectors.shape[1])
-    return Index(idf.astype(np.float32), slot, padded, [r[0] for r in rows], item_words, answers, table, np.array(of, np.int64))
+    return Index(idf.astype(np.float32), known, [r[0] for r in rows], item_words, answers, spaces)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -280,7 +285,7 @@ def find(x: Index, texts: list[str | None]) -> list[list[tuple[int, float, float
     """Hits of every text: item, cosine, LCS share, answer share and first word, best for each item."""
     out: list[list] = [[] for _ in texts]
     h, begin = words(texts)
-    if not len(h) or not len(x.latent):
+    if not len(h) or not x.spaces:
         return out
     at = bucket(h)
     n_words = np.diff(begin)
@@ -290,9 +295,7 @@ def find(x: Index, texts: list[str | None]) -> list[list[tuple[int, float, float
     first = begin[row] + nth * STRIDE
     weight = x.idf[at]
     length = np.add.reduceat(weight * weight, first)
-    slots = x.slot[at]
-    known = slots < len(x.vectors) - 1
-    shared = np.add.reduceat(np.where(known, weight * weight, 0), first)
+    shared = np.add.reduceat(np.where(x.known[at], weight * weight, 0), first)
     # A passage is a block and the next of the same text.
     own, size = shared.copy(), length.copy()
     for k in range(1, PASSAGE // STRIDE):
@@ -304,22 +307,30 @@ def find(x: Index, texts: list[str | None]) -> list[list[tuple[int, float, float
         return out
     row, nth = row[fold], nth[fold]
     upto = np.minimum(first[fold] + PASSAGE, begin[row + 1])
-    vec = np.empty((len(fold), x.vectors.shape[1]), np.float32)
-    for lo in range(0, len(fold), 256):
-        place = first[fold[lo : lo + 256], None] + np.arange(PASSAGE)
-        there = place < upto[lo : lo + 256, None]
-        place = np.minimum(place, len(at) - 1)
-        vec[lo : lo + 256] = ((weight[place] * there)[:, None, :] @ x.vectors[slots[place]])[:, 0]
-    norm = np.maximum(np.sqrt(size[fold]), np.linalg.norm(vec, axis=1))
     found: dict[tuple[int, int], float] = {}
     places: dict[tuple[int, int], list[int]] = {}
-    for lo in range(0, len(vec), 2048):
-        cos = (vec[lo : lo + 2048] @ x.latent.T) / norm[lo : lo + 2048, None]
-        for p, q in zip(*np.nonzero(cos >= COSINE), strict=True):
-            key = (int(row[lo + p]), int(x.of[q]))
-            if cos[p, q] > found.get(key, 0):
-                found[key] = float(cos[p, q])
-            places.setdefault(key, []).append(int(lo + p))
+    for lo in range(0, len(fold), 2048):
+        block = fold[lo : lo + 2048]
+        place = first[block, None] + np.arange(PASSAGE)
+        there = place < upto[lo : lo + 2048, None]
+        place = np.minimum(place, len(at) - 1)
+        buckets, weights = at[place], weight[place] * there
+        for s in x.spaces:
+            slots = s.slot[buckets]
+            own = (np.where(slots < len(s.vectors) - 1, weights, 0) ** 2).sum(1)
+            some = np.flatnonzero((own >= COSINE * COSINE * size[block] * (1 - 1e-4)) & (own > 0))
+            vec = np.empty((len(some), s.vectors.shape[1]), np.float32)
+            for k in range(0, len(some), 256):
+                part = some[k : k + 256]
+                vec[k : k + 256] = (weights[part][:, None, :] @ s.vectors[slots[part]])[:, 0]
+            norm = np.maximum(np.sqrt(size[block[some]]), np.linalg.norm(vec, axis=1))
+            cos = (vec @ s.latent.T) / norm[:, None]
+            for p, q in zip(*np.nonzero(cos >= COSINE), strict=True):
+                nr = lo + int(some[p])
+                key = (int(row[nr]), int(s.of[q]))
+                if cos[p, q] > found.get(key, 0):
+                    found[key] = float(cos[p, q])
+                places.setdefault(key, []).append(nr)
     for (r, item), cos in found.items():
         text, best, done = h[begin[r] : begin[r + 1]], None, -1
         for p in sorted(set(places[r, item])):
@@ -358,7 +369,6 @@ def with_hits(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "t
     df, n = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)) ** 2  # squared: rare words decide
     items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    used, vectors = latent_space(items, idf)
     out, last = docs.withColumn("hits", F.expr(f"cast(array() as {HITS})")), None
     names = [*dict.fromkeys([*keep, text]), "hits"]
     while True:
@@ -366,7 +376,7 @@ def with_hits(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "t
         rows = [tuple(r) for r in block.orderBy("item_id", "text").limit(ITEM_BLOCK).collect()]
         if not rows:
             break
-        out = _annotate(out, index(rows, idf, used, vectors), names, text, "__more").withColumn("hits", F.concat("hits", "__more")).drop("__more")
+        out = _annotate(out, index(docs.sparkSession, rows, idf), names, text, "__more").withColumn("hits", F.concat("hits", "__more")).drop("__more")
         last = rows[-1]
         if len(rows) < ITEM_BLOCK:
             break

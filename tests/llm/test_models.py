@@ -221,6 +221,23 @@ def test_latent_space_spans_the_passages(spark):
     assert np.allclose(a @ v @ v.T, a, atol=1e-3) and np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-3)
 
 
+def test_passages_of_a_large_benchmark_are_near_themselves(spark):
+    r = rng(34)
+    items = [(i, sentence(r, r.randint(16, 50), "abcd")) for i in range(3000)]
+    idf = np.log(1 + np.random.default_rng(1).random(decontamination.BUCKETS) * 1000) ** 2
+    x = decontamination.index(spark, items, idf)
+    texts = [t for _, t in items]
+    own = []
+    for s in x.spaces:
+        assert len(s.of) <= decontamination.SPACE
+        own += [(int(i), v, s) for i, v in zip(s.of, s.latent, strict=True)]
+    matrix = [(i, m) for i, t in enumerate(texts) for m in decontamination._matrix([t], idf)]
+    assert [i for i, _, _ in own] == [i for i, _ in matrix]
+    assert min(float(w @ s.vectors[s.slot[at]] @ v) for (_, (at, w)), (_, v, s) in zip(matrix, own, strict=True)) > 0.99
+    got = decontamination.find(x, texts)
+    assert all(i in {h[0] for h in hits} for i, hits in enumerate(got))
+
+
 # --- licences -------------------------------------------------------------------------------
 
 
