@@ -2,7 +2,9 @@
 
 1. Words are runs of letters and digits, case-folded and hashed to ``BUCKETS`` buckets.  Document
    frequencies of the buckets are counted over all documents; a word weighs the squared logarithm of
-   its inverse document frequency.
+   its inverse document frequency.  Where a document repeats ``GRAM`` words of an item in a row
+   (and over gaps of at most ``GAP`` words between such places) its words are not counted, so that
+   an item keeps its weight however many documents repeat it.
 2. Benchmark items are cut into passages of ``PASSAGE`` words, and these into runs of ``SPACE``.  A
    randomised SVD of a run's TF-IDF matrix (range finder with power steps; runs are dealt to tasks)
    gives its latent space.  ``RANK`` is more than ``SPACE``, so that a space holds all of its passages however
@@ -42,6 +44,10 @@ from sortbox.llm.language_id import _slices
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
+GRAM = 3
+GRAM_BITS = 24
+GRAMS = 1 << GRAM_BITS
+GAP = 4
 PASSAGE = 32
 STRIDE = 16
 SPACE = 192
@@ -81,10 +87,53 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+def benchmark_grams(items: DataFrame) -> np.ndarray:
+    """Which of ``GRAMS`` hash values the runs of ``GRAM`` words of the items have.
+
+    Tasks emit words of 64 bits, so at most ``GRAMS`` / 64 numbers reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, begin = words(batch.column(0).to_pylist())
+            some = np.unique(_grams(h, begin)[1]).astype(np.int64)
+            bits = np.uint64(1) << (some & 63).astype(np.uint64)
+            at = np.flatnonzero(np.append(True, np.diff(some >> 6) > 0)) if len(some) else some
+            either = np.bitwise_or.reduceat(bits, at) if len(some) else bits
+            yield pa.RecordBatch.from_arrays([pa.array(some[at] >> 6), pa.array(either.view(np.int64))], ["w", "b"])
+
+    out = np.zeros(GRAMS // 64, np.uint64)
+    for r in items.select("text").mapInArrow(run, "w bigint, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        out[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def _grams(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash value of every run of ``GRAM`` words of one text."""
+    h, row = h[begin[0] : begin[-1]], np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    at = np.flatnonzero(row[GRAM - 1 :] == row[: len(row) - GRAM + 1]) if len(row) >= GRAM else np.empty(0, np.int64)
+    return at, T.rolling(h, GRAM)[at] >> np.uint64(64 - GRAM_BITS)
+
+
+def _repeats_benchmark(h: np.ndarray, begin: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which words are in a run of words of the benchmark, or in a gap between two."""
+    out = np.zeros(begin[-1] - begin[0], bool)
+    at, value = _grams(h, begin)
+    hit = at[(grams[(value >> np.uint64(6)).astype(np.int64)] >> (value & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    for k in range(GRAM):
+        out[hit + k] = True
+    inside = np.flatnonzero(out)
+    row = np.searchsorted(begin - begin[0], inside, side="right")
+    step = np.where(np.diff(row) == 0, np.diff(inside), 0)
+    for k in range(1, GAP + 1):
+        out[inside[:-1][(step > k) & (step <= GAP + 1)] + k] = True
+    return out
+
+
+def document_frequencies(docs: DataFrame, text: str = "text", grams: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """In how many documents each bucket occurs, and the number of documents.
 
-    Each task counts into one array; the arrays are summed by a grouped aggregate, so that
+    Words that repeat the benchmark (``grams``) are not counted.  Each task counts into one array; the arrays are summed by a grouped aggregate, so that
     ``BUCKETS`` numbers reach the driver.
     """
 
@@ -96,7 +145,8 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
             for lo, hi in _slices(texts):
                 h, begin = words(texts[lo:hi])
                 row = np.repeat(np.arange(hi - lo), np.diff(begin))
-                once = np.sort(row << BUCKET_BITS | bucket(h[begin[0] : begin[-1]]))
+                once = row << BUCKET_BITS | bucket(h[begin[0] : begin[-1]])
+                once = np.sort(once if grams is None else once[~_repeats_benchmark(h, begin, grams)])
                 once = once[np.append(True, once[1:] != once[:-1])] if len(once) else once
                 total += np.bincount(once & (BUCKETS - 1), minlength=BUCKETS)
         at = np.flatnonzero(total)
@@ -366,9 +416,9 @@ def _annotate(docs: DataFrame, x: Index, names: list[str], text: str, target: st
 
 def with_hits(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of every document and ``hits``, its leaks of benchmark items."""
-    df, n = document_frequencies(docs, text)
-    idf = np.log((1 + n) / (1 + df)) ** 2  # squared: rare words decide
     items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    df, n = document_frequencies(docs, text, benchmark_grams(items))
+    idf = np.log((1 + n) / (1 + df)) ** 2  # squared: rare words decide
     out, last = docs.withColumn("hits", F.expr(f"cast(array() as {HITS})")), None
     names = [*dict.fromkeys([*keep, text]), "hits"]
     while True:

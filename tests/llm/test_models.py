@@ -238,6 +238,33 @@ def test_passages_of_a_large_benchmark_are_near_themselves(spark):
     assert all(i in {h[0] for h in hits} for i, hits in enumerate(got))
 
 
+@pytest.mark.parametrize("kind", ["copy", "paraphrase", "copied text"])
+def test_items_that_a_third_of_the_documents_repeat(spark, kind):
+    r = rng(35)
+    items = [(i, sentence(r, 12, "abcd") + ". " + sentence(r, 4, "abcd") + ".") for i in range(20)]
+    common, hot = [sentence(r, 1) for _ in range(3000)], []
+    for i in range(300):
+        leak = items[0][1] if i % 3 == 0 else ""
+        if kind == "paraphrase" and leak:  # two of the first twelve words change, in each its own
+            w = leak.split(" ")
+            for k in r.sample(range(12), 2):
+                w[k] = sentence(r, 1)
+            leak = " ".join(w)
+        rest = [" ".join(r.choice(common) for _ in range(r.randint(20, 90))) for _ in range(2)]
+        hot.append((i, hot[0][1] if kind == "copied text" and leak and hot else " ".join([rest[0], leak, rest[1]])))
+    out = decontamination.with_hits(docs(spark, hot), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    assert {(x.doc_id, h.item_id) for x in out for h in x.hits} == {(i, 0) for i in range(0, 300, 3)}
+
+
+def test_words_that_repeat_the_benchmark(spark):
+    grams = decontamination.benchmark_grams(spark.createDataFrame([(1, "a b c d e f g h i"), (2, "x y")], "item_id long, text string"))
+    texts = ["q a B c. r d e f g s s s s s h i j", "a b", None, "c x y", "a b c"]
+    h, begin = decontamination.words(texts)
+    got = decontamination._repeats_benchmark(h, begin, grams)
+    assert "".join("01"[int(v)] for v in got) == "0" + "1" * 8 + "0" * 8 + "00" + "000" + "111"
+    assert not decontamination.benchmark_grams(spark.createDataFrame([(1, "x y")], "item_id long, text string")).any()
+
+
 # --- licences -------------------------------------------------------------------------------
 
 
