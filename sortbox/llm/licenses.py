@@ -3,8 +3,9 @@
 DataFrame functions only.  A file's segments are its lines, cut further after sentence ends; each is
 compared with the licence templates by the cosine of TF-IDF vectors over words ([a-z0-9], with dotted
 numbers, lower-cased).  A template word weighs ln((1 + files) / (1 + files with it)), any other word
-ln(1 + files).  Only segments with a cue are compared: a template word that at most ``CUE_SHARE`` of
-the files have (or ``CUE_FILES`` files).  The best template at ``MIN_COSINE`` or more is the file's
+ln(1 + files).  Only segments with a cue are compared.  The lightest words of a template that together
+make up less than ``MIN_COSINE`` of its length are no cues, its others are: a segment without a cue
+cannot reach that cosine, however many files have a notice.  The best template at ``MIN_COSINE`` or more is the file's
 own licence.  A file without one takes that of the licence files in the nearest directory above or
 beside it; several of them in a directory are ranked by cosine, then name, then path.
 
@@ -15,11 +16,11 @@ gives an empty result; columns other than the named ones are neither read nor re
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CUE_SHARE = 0.2
-CUE_FILES = 10
 MIN_COSINE = 0.6
 LICENSE_FILE = "(?i)^(licen[sc]e|copying|notice|unlicense)"
 
@@ -69,6 +70,21 @@ def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tu
     return sorted(tuple(r) for r in out.collect())
 
 
+def cue_words(postings: list[tuple[int, str, str, int]], weight: dict[str, float]) -> list[str]:
+    """Words of which a segment has one if its cosine to a template is ``MIN_COSINE`` or more."""
+    cues: set[str] = set()
+    for template in {t for t, _, _, _ in postings}:
+        parts = sorted(((n * weight[w]) ** 2, w) for t, _, w, n in postings if t == template)
+        # The cosine is at most the share of the template's length in the words it has with a
+        # segment; a little less is asked for, as cosines are rounded.
+        least, left = (MIN_COSINE - 1e-5) ** 2 * sum(p for p, _ in parts), 0.0
+        for p, w in parts:
+            left += p
+            if left >= least:
+                cues.add(w)
+    return sorted(cues)
+
+
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = None, path: str = "path", text: str = "text") -> DataFrame:
     """``path``, ``license`` and ``cosine`` of files with a notice of their own."""
     spark = files.sparkSession
@@ -80,7 +96,7 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = Non
     found = rows.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_intersect(words(F.col("text")), all_words), F.expr("cast(array() as array<string>)")))).alias("word"))
     counts = dict(found.groupBy("word").agg(F.count("*")).collect())
     n = counts.pop(None, 0)
-    cues = [w for w in vocabulary if counts.get(w, 0) <= max(CUE_FILES, CUE_SHARE * n)]
+    cues = cue_words(postings, {w: math.log((1 + n) / (1 + counts.get(w, 0))) for w in vocabulary})
     weights = _table(spark, [(w, counts.get(w, 0)) for w in vocabulary], "word, df").select("word", F.log((1.0 + n) / (1.0 + F.col("df"))).alias("w"))
     model = _table(spark, postings, "template, license, word, n").join(F.broadcast(weights), "word")
     norms = model.groupBy("template").agg(F.sqrt(F.sum((F.col("n") * F.col("w")) ** 2)).alias("t_norm"))

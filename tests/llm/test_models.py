@@ -1,6 +1,7 @@
 """Toxicity, extraction, decontamination, licences: gradients, accuracy, planted cases."""
 
 import html
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -296,6 +297,27 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scan(files(spark, []), ["doc_id"]).collect() == []
 
 
+def test_notices_that_a_third_of_the_files_have(spark):
+    r = rng(41)
+    hot = {1: "Released under the MIT License.", 2: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."}
+    rows = [(i, f"d{i}/x.py", sentence(r, 8) + ".\n" + hot.get(i % 3, sentence(r, 8)) + "\n" + sentence(r, 8)) for i in range(120)]
+    out = {x.doc_id: x.license for x in licenses.scan(files(spark, rows), ["doc_id"]).collect()}
+    assert out == {i: {0: None, 1: "MIT", 2: "BSD-3-Clause"}[i % 3] for i in range(120)}
+
+
+def test_segments_without_a_cue_are_far_from_all_templates():
+    r = rng(42)
+    postings = [(i, name, w, n) for i, (name, text) in enumerate(licenses.TEMPLATES) for w, n in Counter(text.lower().split()).items()]
+    for _ in range(20):
+        weight = {w: r.choice([0, 0.1, 1, 5]) * r.random() for _, _, w, _ in postings}
+        cues = set(licenses.cue_words(postings, weight))
+        for k in range(len(licenses.TEMPLATES)):
+            own = {w: n * weight[w] for t, _, w, n in postings if t == k}
+            length = sum(v * v for v in own.values()) ** 0.5
+            rest = sum(v * v for w, v in own.items() if w not in cues) ** 0.5
+            assert not length or rest / length < licenses.MIN_COSINE
+
+
 @pytest.mark.parametrize("name,text", licenses.TEMPLATES)
 def test_each_template_is_its_own_nearest(name, text):
     import re
