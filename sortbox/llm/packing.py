@@ -50,9 +50,9 @@ def tokenizer(path: str | None = None):
     # Byte-level files write the printable bytes as themselves and the others from U+0100 up.
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     decode = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {t["content"] for t in model["added_tokens"]}
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
     ranks = {bytes(decode[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS, last: bool = True) -> tuple[list[list[Piece]], list[Piece]]:
@@ -121,8 +121,13 @@ def step_groups(sizes: list[int], step_tokens: int = STEP_TOKENS) -> list[int]:
     return out
 
 
-def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per piece: its document, place, checksum, sequence, place there, tier and step."""
+def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_TOKENS, added: bool = False) -> DataFrame:
+    """One row per piece: its document, place, checksum, sequence, place there, tier and step.
+
+    With ``added`` the file's added tokens have their own ids where a text holds them, as in a plain
+    ``tokenizers`` call; without, they are split as any text.
+    """
+    allowed = "all" if added else set()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, context = tokenizer(path), TaskContext.get()
@@ -156,7 +161,7 @@ def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None,
 
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(np.array([*encode.encode_ordinary(value.as_py() or ""), END_ID], "<u4"))
+                ids.append(np.array([*encode.encode(value.as_py() or "", allowed_special=allowed, disallowed_special=()), END_ID], "<u4"))
                 names.append(doc_id)
                 tokens += len(ids[-1])
                 if tokens >= block_tokens:

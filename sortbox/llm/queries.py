@@ -60,7 +60,7 @@ def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"))
+    return packing.pack_documents(read(spark, sf_dir, "documents"), added=True)
 
 
 OP4_SQL = r"""

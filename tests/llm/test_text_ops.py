@@ -44,6 +44,26 @@ def test_packing_round_trip(spark):
         assert at == ps[0].sequence_length <= 2048 and at & (at - 1) == 0  # nothing to pad
 
 
+def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sortbox.llm import queries
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext", None, "plain  text"]
+    docs(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+    assert 50256 in want[0]
+    pieces = queries.QUERIES["op10_hierarchical_packing"](spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == set(want)
+    for p in pieces:
+        ids = want[p.doc_id]
+        assert p.doc_tokens == len(ids)
+        assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+
+
 def test_packing_empty(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
