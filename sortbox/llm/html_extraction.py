@@ -34,6 +34,7 @@ from sortbox.llm import boosting, html_layouts
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 DROPPED = {"script", "style", "noscript", "template", "head", "title", "iframe", "svg", "canvas", "object", "button", "select", "textarea", "audio", "video", "math", "datalist"}
+HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "center", "nobr",
@@ -138,13 +139,16 @@ class Reader(HTMLParser):
         if tag in DROPPED:
             if tag in ("button", "select", "textarea"):
                 self.run_controls += 1
-            if tag != "body":
-                self.dropped.append(tag)
+            if self.dropped == ["head"] and tag not in HEAD:
+                self.dropped = []
+            self.dropped.append(tag)
             return
-        if self.dropped:
-            if "head" not in self.dropped or tag != "body":
-                return
+        if self.dropped == ["head"] and tag not in HEAD or "head" in self.dropped and tag == "body":
             self.dropped = []
+        if self.dropped:
+            if tag not in VOID:
+                self.dropped.append(tag)
+            return
         if tag == "br":
             self.run.append(" ")
         elif tag in ("input", "img", "hr") or tag in VOID:
@@ -187,7 +191,10 @@ class Reader(HTMLParser):
             if tag in self.dropped:
                 while self.dropped.pop() != tag:
                     pass
-            return
+                return
+            if tag not in self.names[1:]:
+                return
+            self.dropped = []  # the end of an element around it
         if tag == "a":
             self.in_link = 0
         elif len(tag) == 2 and tag[0] == "h" and self.names[-1:] and re.fullmatch("h[1-6]", self.names[-1]) and tag[1] in "123456":
@@ -198,6 +205,8 @@ class Reader(HTMLParser):
             self.leave()
 
     def handle_data(self, data: str) -> None:
+        if self.dropped == ["head"] and not data.isspace():
+            self.dropped = []
         if not self.dropped:
             self.run.append(data)
             if self.in_link:

@@ -152,6 +152,21 @@ def test_given_pages_exactly(spark):
         assert got[p.page_id] == "\n\n".join(b for b in plain if b)
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<div><button>go</div><p>one</p>", ["one"]),
+    ("<div><select><option>x</div><p>one</p>", ["one"]),
+    ("<div><svg><g><path/></div><p>one</p>", ["one"]),
+    ("<div><noscript><div>x</div>y</div><p>one</p>", ["one"]),
+    ("<div>a<noscript><div>x</div>y</noscript>b</div><p>one</p>", ["ab", "one"]),
+    ("<html><head><title>t</title><meta name=x><p>one</p><p>two</p>", ["one", "two"]),
+    ("<html><head><title>t</title>one<p>two</p>", ["one", "two"]),
+    ("<head><title>t</title></head><body><p>one</p>", ["one"]),
+    ("<head><noscript><img></noscript><link><body><p>one</p>", ["one"]),
+])
+def test_dropped_elements_end_with_their_parent(page, want):
+    assert [t for t in html_extraction.read_pages([page]).text if t] == want
+
+
 # --- decontamination ------------------------------------------------------------------------
 
 
