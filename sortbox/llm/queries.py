@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortbox.llm import decontamination, html_extraction, language_id, licenses, near_dup, packing, quality, sharding, substring_dedup, toxicity
+from sortbox.llm import (
+    decontamination,
+    divergence,
+    html_extraction,
+    infill,
+    language_id,
+    licenses,
+    near_dup,
+    packing,
+    quality,
+    sharding,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from sortbox.llm.tables import read
 
 
@@ -63,6 +77,20 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), added=True)
 
 
+def op11_piece_table_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restored hash is taken from the arranged text and its form, not from the input."""
+    columns = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    return infill.restore(infill.transform(read(spark, sf_dir, "documents")), keep=columns, with_text=False)
+
+
+def op12_merge_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -254,6 +282,63 @@ SELECT f.doc_id, concat(f.folder, '/', f.name) AS path, coalesce(own.license, ne
 FROM files f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN nearest ON nearest.folder = f.folder
 """.replace("__TEMPLATES__", _values(licenses.TEMPLATES))
 
+OP11_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256(concat('7:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM units
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), occurs AS (
+  SELECT d, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM occurs GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(lang_n) AS n FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), counts AS (
+  SELECT lang, source, term, count(*) AS c FROM occurs SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (
+  SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), shares AS (
+  SELECT t.lang, t.source, k.term, coalesce(c, 0) AS c,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 1) // (t.n + v) AS BIGINT) AS p,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (lang_n + 1) // (l.n + v) AS BIGINT) AS q
+  FROM totals t JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares WHERE c > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM parts
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
 QUERIES = {
     "op1_latent_semantic_decontamination": op1_latent_semantic_decontamination,
     "op2_boosted_dom_extraction": op2_boosted_dom_extraction,
@@ -265,5 +350,16 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
     "op10_hierarchical_packing": op10_hierarchical_packing,
+    "op11_piece_table_infill": op11_piece_table_infill,
+    "op12_merge_heap_token_counts": op12_merge_heap_token_counts,
+    "op13_source_divergence": op13_source_divergence,
+}
+ORACLES = {
+    "op4_suffix_tree_dedup": OP4_SQL,
+    "op5_license_scan": OP5_SQL,
+    "op6_host_quality_rules": OP6_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
+    "op9_sampled_splitter_shards": OP9_SQL,
+    "op11_piece_table_infill": OP11_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
-ORACLES = {"op4_suffix_tree_dedup": OP4_SQL, "op5_license_scan": OP5_SQL, "op6_host_quality_rules": OP6_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_sampled_splitter_shards": OP9_SQL}
