@@ -8,7 +8,7 @@ task is cut at powers of two.  Sequences are dealt to step groups of about ``STE
 longest first in alternating order, so that groups hold like amounts of each length.
 
 Tokenising and packing happen in the same task on blocks of bounded size; no ids are shuffled.
-Null text counts as empty (only the end id).  Repeated rows are packed as often as they occur.  An
+A document's ids are held whole by its task, whatever its length.  Null text counts as empty (only the end id).  Repeated rows are packed as often as they occur.  An
 empty table gives an empty result; columns other than the named ones are neither read nor returned.
 A sequence's number holds the task's partition and a running number, so a task that runs again
 gives the same numbers.
@@ -55,6 +55,26 @@ def tokenizer(path: str | None = None):
     return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(2)
+def library(path: str | None = None, added: bool = False):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+    out.encode_special_tokens = not added
+    return out
+
+
+def encode(text: str, path: str | None = None, added: bool = False) -> list[int]:
+    """Ids of a text; a run of white space that is too long for tiktoken's pattern goes to ``tokenizers``."""
+    try:
+        return tokenizer(path).encode(text, allowed_special="all" if added else set(), disallowed_special=())
+    except ValueError as e:
+        if "backtracking" not in str(e):
+            raise
+        return library(path, added).encode(text, add_special_tokens=False).ids
+
+
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS, last: bool = True) -> tuple[list[list[Piece]], list[Piece]]:
     """Sequences (lists of pieces) over documents of these lengths; if not ``last``, the rest too."""
     return pack_pieces([(d, 0, n) for d, n in enumerate(lengths)], tiers, last)
@@ -127,10 +147,8 @@ def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None,
     With ``added`` the file's added tokens have their own ids where a text holds them, as in a plain
     ``tokenizers`` call; without, they are split as any text.
     """
-    allowed = "all" if added else set()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, context = tokenizer(path), TaskContext.get()
+        context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
         ids: list[np.ndarray] = []  # of the block's documents
         names: list[int | None] = []
@@ -161,7 +179,7 @@ def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None,
 
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(np.array([*encode.encode(value.as_py() or "", allowed_special=allowed, disallowed_special=()), END_ID], "<u4"))
+                ids.append(np.array([*encode(value.as_py() or "", path, added), END_ID], "<u4"))
                 names.append(doc_id)
                 tokens += len(ids[-1])
                 if tokens >= block_tokens:
