@@ -12,25 +12,27 @@ The trees are fitted on layouts drawn at random (``html_layouts``), as no table
 
 A run of text is a block: white space inside becomes one space, ends are trimmed, blocks are joined
 in page order by two newlines.  Null or empty html and pages without text give an empty text.
-Malformed html is read as far as it goes: elements left open end with their parent.  Repeated rows
-are extracted alike, an empty table gives an empty result, and columns other than the named ones are
+Malformed html is read as far as it goes: elements left open end with their parent, a tag or comment
+left open runs to the end of the page.  Time grows with a page's length, whatever its markup; elements
+nested deeper than ``MAX_DEPTH`` are blocks of the one at that depth.  The attribute ``hidden`` is a
+feature and leaves nothing out by itself.  Repeated rows are extracted alike, an empty table gives an empty result, and columns other than the named ones are
 neither read nor returned.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortbox.llm import boosting, html_layouts
+from sortbox.llm import boosting, html_layouts, html_tokens
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 DROPPED = {"script", "style", "noscript", "template", "head", "title", "iframe", "svg", "canvas", "object", "button", "select", "textarea", "audio", "video", "math", "datalist"}
@@ -45,6 +47,7 @@ KINDS = ["#text", "p", "h1", "h2", "h3", "li", "ul", "ol", "div", "section", "ar
 KIND = {k: i + 1 for i, k in enumerate(KINDS)}
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 MAIN, FURNITURE, MIXED = 0, 1, 2
+MAX_DEPTH = 512  # as in browsers
 TRAIN_PAGES = 1800
 TRAIN_SEED = 2024
 _SPACE = re.compile(r"\s+")
@@ -73,25 +76,50 @@ def attribute_tokens(value: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(t.lower() for t in TOKEN.findall(value) if len(t) > 1))
 
 
-class Reader(HTMLParser):
+class Reader:
+    """Builds the nodes of pages; ``read`` takes one page after the other."""
+
     def __init__(self, nodes: Nodes):
-        super().__init__(convert_charrefs=True)
         self.nodes = nodes
 
     def read(self, page: int, html: str) -> None:
-        self.reset()
         self.page, self.open, self.names = page, [], []
-        self.dropped, self.in_link = [], 0
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of the open elements of a name
+        self.dropped, self.in_dropped, self.in_link = [], Counter(), 0
         self.run: list[str] = []
         self.run_linked = self.run_links = self.run_controls = 0
         self.enter("body", [])
-        self.feed(html)
-        self.close()
+        for kind, value, attrs, closed in html_tokens.tokens(html):
+            if kind == html_tokens.TEXT:
+                self.text(value)
+            elif kind == html_tokens.END:
+                self.end_tag(value)
+            elif not closed or value in VOID:
+                self.start_tag(value, attrs)
+            elif value not in DROPPED:
+                self.start_tag(value, attrs)
+                self.end_tag(value)
         while self.open:
             self.leave()
 
+    def last(self, names: Collection[str]) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((self.at[x][-1] for x in names if self.at[x]), default=0)
+
+    def drop(self, tag: str) -> None:
+        self.dropped.append(tag)
+        self.in_dropped[tag] += 1
+
+    def undrop(self) -> None:
+        self.dropped, self.in_dropped = [], Counter()
+
     def enter(self, tag: str, attrs: list) -> None:
         n = self.nodes
+        self.at[tag].append(len(self.names))
+        self.names.append(tag)
+        if len(self.open) >= MAX_DEPTH:
+            self.open.append(self.open[-1])
+            return
         values, hidden, part = [tag] if tag not in KIND else [], False, ""
         for k, v in attrs:
             if k in ("class", "id", "role", "itemprop"):
@@ -102,7 +130,6 @@ class Reader(HTMLParser):
                 part = v or ""
         self.add(KIND.get("h3" if tag in ("h4", "h5", "h6") else "td" if tag == "th" else tag, 0), tuple(t for v in values for t in attribute_tokens(v)), hidden, part)
         self.open.append(len(n.page) - 1)
-        self.names.append(tag)
 
     def add(self, kind: int, tokens: tuple[str, ...], hidden: bool, part: str, text: str = "") -> None:
         n = self.nodes
@@ -110,7 +137,7 @@ class Reader(HTMLParser):
         n.page.append(self.page)
         n.parent.append(up)
         n.end.append(len(n.page))
-        n.depth.append(len(self.open))
+        n.depth.append(n.depth[up] + 1 if up >= 0 else 0)
         n.kind.append(kind)
         n.tokens.append(tokens)
         n.hidden.append(hidden)
@@ -132,26 +159,24 @@ class Reader(HTMLParser):
     def leave(self) -> None:
         self.flush()
         self.nodes.end[self.open.pop()] = len(self.nodes.page)
-        self.names.pop()
+        self.at[self.names.pop()].pop()
         self.in_link = 0
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def start_tag(self, tag: str, attrs: html_tokens.Attributes) -> None:
+        if self.dropped == ["head"] and tag not in HEAD or tag == "body" and self.in_dropped["head"]:
+            self.undrop()
         if tag in DROPPED:
             if tag in ("button", "select", "textarea"):
                 self.run_controls += 1
-            if self.dropped == ["head"] and tag not in HEAD:
-                self.dropped = []
-            self.dropped.append(tag)
+            self.drop(tag)
             return
-        if self.dropped == ["head"] and tag not in HEAD or "head" in self.dropped and tag == "body":
-            self.dropped = []
         if self.dropped:
             if tag not in VOID:
-                self.dropped.append(tag)
+                self.drop(tag)
             return
         if tag == "br":
             self.run.append(" ")
-        elif tag in ("input", "img", "hr") or tag in VOID:
+        elif tag in VOID:
             self.run_controls += tag == "input"
             if tag == "hr":
                 self.flush()
@@ -169,44 +194,34 @@ class Reader(HTMLParser):
             if "p" in self.names[-1:]:
                 self.leave()
             close, bound = CLOSES.get(tag, ((), ()))
-            if close:
-                for i in range(len(self.names) - 1, 0, -1):
-                    if self.names[i] in bound:
-                        break
-                    if self.names[i] in close:
-                        while len(self.names) > i:
-                            self.leave()
+            while (place := self.last(close)) > self.last(bound):
+                while len(self.names) > place:
+                    self.leave()
             self.flush()
             self.enter(tag, attrs)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        elif tag not in DROPPED:
-            self.handle_starttag(tag, attrs)
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
+    def end_tag(self, tag: str) -> None:
         if self.dropped:
-            if tag in self.dropped:
-                while self.dropped.pop() != tag:
-                    pass
+            if self.in_dropped[tag]:
+                while True:
+                    gone = self.dropped.pop()
+                    self.in_dropped[gone] -= 1
+                    if gone == tag:
+                        return
+            if not self.last([tag]):
                 return
-            if tag not in self.names[1:]:
-                return
-            self.dropped = []  # the end of an element around it
+            self.undrop()  # the end of an element around it
         if tag == "a":
             self.in_link = 0
         elif len(tag) == 2 and tag[0] == "h" and self.names[-1:] and re.fullmatch("h[1-6]", self.names[-1]) and tag[1] in "123456":
             self.leave()
-        elif tag in self.names[1:]:
-            while self.names[-1] != tag:
+        elif place := self.last([tag]):
+            while len(self.names) > place:
                 self.leave()
-            self.leave()
 
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         if self.dropped == ["head"] and not data.isspace():
-            self.dropped = []
+            self.undrop()
         if not self.dropped:
             self.run.append(data)
             if self.in_link:
