@@ -8,7 +8,8 @@ the largest cosine with it.
 Letters are lower-cased; whatever is not a letter ends a word, and a word's first and last trigram
 hold the border.  Null or letterless text gives ``und`` with score 0; so does any text when
 there is no labelled row to learn from.  Equal cosines go to the first language in sort order.
-Repeated rows are scored alike, an empty table gives an empty result, and columns other than the
+A text of any length is read whole; texts are scored in slices of about ``CHUNK_CHARS`` characters, one
+text when it is longer.  Repeated rows are scored alike, an empty table gives an empty result, and columns other than the
 named ones are neither read nor returned.
 """
 
@@ -28,6 +29,8 @@ SHARPNESS = 40.0
 UNKNOWN = "und"
 MAX_TABLE = 4_000_000  # dense trigram numbering up to this many codes, sorting beyond
 CHUNK_CHARS = 1 << 19
+MAX_DENSE = 2_000_000  # cells of a dense table of texts by trigrams
+MAX_BOUND = 1 << 14  # trigrams that are bound at once
 
 
 @lru_cache(1)
@@ -83,6 +86,30 @@ def counted(alphabet: np.ndarray, tri: np.ndarray, group: np.ndarray, groups: in
     return counts, bound
 
 
+def bundles(alphabet: np.ndarray, tri: np.ndarray, group: np.ndarray, groups: int, dim: int, seed: int) -> np.ndarray:
+    """Sum of the bound vectors of all trigrams of each group.
+
+    Few distinct trigrams are counted in a dense table; else (group, trigram) pairs are counted and
+    bound ``MAX_BOUND`` at a time, so memory does not grow with the alphabet or its cube.
+    """
+    a = len(alphabet)
+    codes = (tri[:, 0] * a + tri[:, 1]) * a + tri[:, 2]
+    if a**3 <= MAX_BOUND or len(distinct := np.unique(codes)) <= min(MAX_BOUND, MAX_DENSE // groups):
+        counts, bound = counted(alphabet, tri, group, groups, dim, seed)
+        return (counts.astype(np.float32) @ bound.astype(np.float32)).astype(np.int64)
+    own = letter_vectors(alphabet, dim, seed)
+    twice, once = np.roll(own, 2, 1), np.roll(own, 1, 1)
+    pairs, counts = np.unique(group * len(distinct) + np.searchsorted(distinct, codes), return_counts=True)
+    of_group, codes = pairs // len(distinct), distinct[pairs % len(distinct)]
+    out = np.zeros((groups, dim), np.int64)
+    for lo in range(0, len(pairs), MAX_BOUND):
+        code, g = codes[lo : lo + MAX_BOUND], of_group[lo : lo + MAX_BOUND]
+        bound = (twice[code // (a * a)] * once[code // a % a] * own[code % a]) * counts[lo : lo + MAX_BOUND, None].astype(np.int32)
+        starts = np.flatnonzero(np.diff(g, prepend=-1))
+        out[g[starts]] += np.add.reduceat(bound, starts, axis=0)
+    return out
+
+
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for i, t in enumerate(texts):
@@ -113,8 +140,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", dim: int =
                     continue
                 number = {x: i for i, x in enumerate(names)}
                 group = np.array([number[x] for x in langs[lo:hi]])[row]
-                counts, bound = counted(alphabet, tri, group, len(names), dim, seed)
-                sums = (counts.astype(np.float64) @ bound.astype(np.float64)).astype(np.int64)
+                sums = bundles(alphabet, tri, group, len(names), dim, seed)
                 for i, x in enumerate(names):
                     total[x] = total.get(x, 0) + sums[i]
         yield pa.RecordBatch.from_arrays(
@@ -150,8 +176,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                 alphabet, tri, row = trigrams(texts[lo:hi])
                 if not len(tri):
                     continue
-                counts, bound = counted(alphabet, tri, row, hi - lo, dim, seed)
-                v = counts.astype(np.float32) @ bound.astype(np.float32)
+                v = bundles(alphabet, tri, row, hi - lo, dim, seed).astype(np.float32)
                 cos = (v @ table.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                 soft = np.exp(SHARPNESS * (cos - cos.max(1, keepdims=True)))
                 soft /= soft.sum(1, keepdims=True)
