@@ -48,18 +48,16 @@ COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 CELLS = "lang string, source string, item string, value bigint, either bigint"
 
 
-def text_counts(text: str) -> Counter:
-    """Occurrences of each term of a text."""
-    out: Counter = Counter()
+def text_terms(text: str) -> Iterator[list[str]]:
+    """The terms of a text, slice by slice."""
     at = 0
     while at < len(text):
         stop = BREAK.search(text, at + SLICE)
         end = stop.start() if stop else len(text)
         piece = text[at:end]
         # ``lower`` changes letters outside ASCII too, so only plain texts take it.
-        out.update(TERM.findall(piece.lower() if piece.isascii() else piece.translate(LOWER)))
+        yield TERM.findall(piece.lower() if piece.isascii() else piece.translate(LOWER))
         at = end
-    return out
 
 
 def term_counts(docs: DataFrame, text: str = "text", held: int = HELD) -> DataFrame:
@@ -89,10 +87,11 @@ def term_counts(docs: DataFrame, text: str = "text", held: int = HELD) -> DataFr
         for batch in batches:
             for body, lang, source in zip(*batch.columns, strict=True):
                 group = lang.as_py() or "", source.as_py() or ""
-                counts = text_counts(body.as_py() or "")
-                before = len(n[group])
-                n[group].update(counts)
-                in_docs[group].update(counts.keys())
+                before, distinct = len(n[group]), set()
+                for terms in text_terms(body.as_py() or ""):
+                    n[group].update(terms)
+                    distinct.update(terms)
+                in_docs[group].update(distinct)
                 size += len(n[group]) - before
                 if size >= held:
                     yield from flush()

@@ -233,9 +233,10 @@ def test_galloping_intersection():
 
 def test_long_texts_are_cut_between_terms(monkeypatch):
     text = "Été one TWO three3four " * 50
-    whole = divergence.text_counts(text)
+    (whole,) = divergence.text_terms(text)
     monkeypatch.setattr(divergence, "SLICE", 7)
-    assert divergence.text_counts(text) == whole and whole["two"] == 50 and whole["Été"] == 50
+    cut = [t for terms in divergence.text_terms(text) for t in terms]
+    assert cut == whole and Counter(whole)["two"] == 50 and Counter(whole)["Été"] == 50
 
 
 def test_term_counts_pass_on_in_parts(spark):
@@ -243,3 +244,84 @@ def test_term_counts_pass_on_in_parts(spark):
     table = docs(spark, rows)
     few = divergence.term_counts(table, held=10).orderBy("lang", "source", F.col("term").asc_nulls_first()).collect()
     assert few == divergence.term_counts(table).orderBy("lang", "source", F.col("term").asc_nulls_first()).collect()
+
+
+# --- hard texts for earlier operators -------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_200_000, "a" + "\t \n" * 500_000 + "b <|endoftext|> c", "　" * 1_000_000])
+def test_packing_of_long_white_space(spark, text):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sortbox.llm import packing
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for added in (True, False):
+        t.encode_special_tokens = not added
+        ids = [*t.encode(text, add_special_tokens=False).ids, 1]
+        pieces = packing.pack_documents(docs(spark, [(1, text), (2, "x")]), added=added).where("doc_id = 1").orderBy("start").collect()
+        assert [p.start for p in pieces] == np.cumsum([0, *(p.length for p in pieces)])[:-1].tolist()
+        assert sum(p.length for p in pieces) == len(ids) == pieces[0].doc_tokens
+        assert all(p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) for p in pieces)
+
+
+BROKEN = {
+    "tags": "<a " * 350_000, "comments": "<!--" * 250_000, "ends": "</" * 500_000, "blocks": "<div>" * 200_000, "names": "<" * 1_000_000, "quotes": "<p a='" * 170_000,
+    "strange ends": "<div>" * 100_000 + "</x>" * 100_000, "cells": "<td>" + "<div>" * 90_000 + "<table>" + "<div>" * 90_000 + "<tr></tr>" * 10_000, "buttons": "<button>" * 60_000 + "</x>" * 100_000,
+    "titles": "<title>" * 140_000, "references": "&#" + "9" * 1_000_000, "zeros": "&#" + "0" * 1_000_000 + "65;", "lists": "<li><ul>" * 120_000, "attributes": "<p " + "a=b " * 250_000 + ">x", "cdata": "<![CDATA[" * 110_000,
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_pages_take_linear_time(name):
+    import time
+
+    from sortbox.llm import html_extraction
+
+    model = html_extraction.default_model()
+    began = time.process_time()
+    html_extraction.extract(model, ["<p>" + "A sentence of the article, long enough to stay. " * 20 + "</p>" + BROKEN[name]])
+    assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("a &lt; b < c &amp;&#65;&#x42;&#0000000000067; &#99999999; &nosuch; d", ["a < b < c &ABC � &nosuch; d"]),
+        ("x<!-- <p>no</p> -->y<!-->z<!--->w<!doctype html><?php no ?></>q</ no>r", ["xyzwqr"]),
+        ("<P CLASS='a>b' id=c>one<Br/>two</P ><p data-x>three", ["one two", "three"]),
+        ("<script>if (a < b) '</p>'</script >kept<style>p{}</style>", ["kept"]),
+        ("<title>a <b> c</title>kept<textarea><p>no</textarea> too", ["kept too"]),
+        ("kept<p title='never closed", ["kept"]),
+        ("kept<!-- never closed", ["kept"]),
+        ("<div>" * 600 + "deep<p>er</p>" + "</div>" * 600 + "<p>after", ["deep", "er", "after"]),
+    ],
+)
+def test_tokens_of_html(page, want):
+    from sortbox.llm import html_extraction
+
+    nodes = html_extraction.read_pages([page])
+    assert [t for t in nodes.text if t] == want
+    for i, p in enumerate(nodes.parent):
+        assert p < i and (p < 0 or nodes.end[i] <= nodes.end[p])
+
+
+def test_language_vectors_of_a_large_alphabet_in_bounded_memory():
+    import tracemalloc
+
+    from sortbox.llm import language_id
+
+    r = rng(21)
+    texts = ["".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(500)) for _ in range(1000)]
+    alphabet, tri, row = language_id.trigrams(texts)
+    tracemalloc.start()
+    v = language_id.bundles(alphabet, tri, row, len(texts), language_id.DIM, language_id.SEED)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    for i in (0, 517, 999):
+        a, t, g = language_id.trigrams([texts[i]])
+        counts, bound = language_id.counted(a, t, g, 1, language_id.DIM, language_id.SEED)
+        assert (counts @ bound.astype(np.int64) == v[i]).all()
