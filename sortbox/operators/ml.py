@@ -10,6 +10,7 @@ application's LightGBM / scikit-learn models, never score by score.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from . import boosting as BO
 from . import evaluation as EV
 
 METADATA_FEATURES = ["is_newsletter", "day_of_week", "hour_of_day", "subject_length", "body_length"]
@@ -174,6 +176,51 @@ def train_importance_model(
     return model, test, metrics
 
 
+def scalar_features(df: DataFrame, emb_dims: int | None) -> tuple[DataFrame, list[str]]:
+    """The matrix with one array column ``x`` of all features, and their names."""
+    scalars = METADATA_FEATURES + HISTORICAL_FEATURES
+    x = F.array(*[F.col(c) for c in scalars])
+    if emb_dims:
+        zeros = F.array_repeat(F.lit(0.0), emb_dims)
+        x = F.concat(x, F.slice(F.concat(F.col("emb"), zeros), 1, emb_dims))
+    return df.withColumn("x", x), scalars + [f"emb_{i}" for i in range(emb_dims or 0)]
+
+
+def train_leafwise_model(matrix: DataFrame, settings: BO.Settings | None = None) -> tuple[BO.Model, DataFrame, DataFrame]:
+    """The application's own boosting on the training matrix (see ``boosting``): stratified 80/20,
+    trees of 31 leaves, stopped by the AUC of the test part.
+
+    Returns (model, test predictions with ``score``, one-row metrics)."""
+    settings = settings or BO.Settings()
+    split = stratified_split(matrix, "y", 0.2, settings.seed)
+    data, names = scalar_features(split, embedding_width(matrix))
+    model = BO.fit(data, names, settings)
+    test = BO.score(model, data.filter("is_test")).drop("x")
+    metrics = EV.evaluate(test, 0.5).select(
+        "auc",
+        "precision",
+        "recall",
+        split.agg(F.count_if(~F.col("is_test"))).scalar().alias("samples_train"),
+        split.agg(F.count_if("is_test")).scalar().alias("samples_test"),
+        F.lit(len(names)).alias("features"),
+        F.lit(len(model.trees)).alias("trees"),
+    )
+    return model, test, metrics
+
+
+def score_emails_leafwise(model: BO.Model, features: DataFrame) -> DataFrame:
+    """message_id and ``score`` of every feature row."""
+    dims = len(model.names) - len(METADATA_FEATURES + HISTORICAL_FEATURES)
+    data, _ = scalar_features(inference_matrix(features, dims or None), dims or None)
+    return BO.score(model, data).select("message_id", "score")
+
+
+def leafwise_importance(spark: SparkSession, model: BO.Model, top_n: int = 20) -> DataFrame:
+    """Top-n features by their share of the splits' gain."""
+    df = spark.createDataFrame(list(model.importance().items()), "feature string, importance double")
+    return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(top_n)
+
+
 def score_rows(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``score`` = probability of class 1."""
     out = model.transform(_with_vectors(df) if "emb_vec" not in df.columns else df)
@@ -264,7 +311,7 @@ def top_k_labels(model: PipelineModel, df: DataFrame, k: int = 3) -> DataFrame:
 # Embeddings
 # ---------------------------------------------------------------------------
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, object] = {}  # of a worker, by the calls of ``embed_text`` that need them
 
 
 def embed_text(
@@ -295,7 +342,8 @@ def embed_text(
         x = nm.transform(tf.transform(tok.transform(x)))
         return x.withColumn(out_col, F.when(F.trim(F.col("_t")) != "", vector_to_array("_n"))).drop("_t", "_tok", "_tf", "_n")
 
-    key = f"{id(encoder_factory)}"
+    # A worker outlives a query, and the driver's object numbers repeat: each call has a key of its own.
+    key = uuid.uuid4().hex
     kept = df.columns
     df = df.withColumn("_t", C.prepare_text(F.coalesce(F.col(text_col), F.lit("")), max_chars))
     text_col = "_t"
@@ -305,6 +353,7 @@ def embed_text(
         enc = _ENCODERS.get(key)
         if enc is None:
             enc = encoder_factory()
+            _ENCODERS.clear()  # one loaded encoder at a time
             _ENCODERS[key] = enc
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str)

@@ -186,6 +186,45 @@ def train_report_q(spark, sf_dir):
     return ap.unionByName(keep).unionByName(recommended).unionByName(weights)
 
 
+def _leafwise(spark, sf_dir):
+    return _once("leafwise", spark, sf_dir, lambda: ML.train_leafwise_model(_matrix(spark, sf_dir)))
+
+
+@register("train_leafwise_model")
+def train_leafwise_model_q(spark, sf_dir):
+    """Best-first boosting with early stopping on the test AUC."""
+    return _leafwise(spark, sf_dir)[2]
+
+
+@register("score_emails_leafwise")
+def score_emails_leafwise_q(spark, sf_dir):
+    return ML.score_emails_leafwise(_leafwise(spark, sf_dir)[0], stored_features(spark, sf_dir))
+
+
+@register("leafwise_importance")
+def leafwise_importance_q(spark, sf_dir):
+    return ML.leafwise_importance(spark, _leafwise(spark, sf_dir)[0])
+
+
+@register(
+    "leafwise_round_trip",
+    O.with_tables("SELECT count(*) AS n, count(*) AS n_equal FROM email_features", *_FEAT, extra=[FEATURES_CTE]),
+)
+def leafwise_round_trip_q(spark, sf_dir):
+    """A saved and loaded leaf-wise model scores every row as before."""
+    import uuid
+
+    from ..operators import boosting as BO
+    from ..session import scratch_path
+
+    model, feats = _leafwise(spark, sf_dir)[0], stored_features(spark, sf_dir)
+    path = scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}")
+    BO.save(model, path, spark)
+    again = ML.score_emails_leafwise(BO.load(spark, path), feats).withColumnRenamed("score", "again")
+    both = ML.score_emails_leafwise(model, feats).join(again, "message_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") == F.col("again")).alias("n_equal"))
+
+
 def _semantic(spark, sf_dir):
     def fit():
         t = J.semantic_training_set(B.semantic_labels(spark, sf_dir), stored_features(spark, sf_dir))
