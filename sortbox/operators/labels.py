@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import nearest as NE
 
 # ---------------------------------------------------------------------------
 # Category labels and keyword lists of the rule-based
@@ -282,31 +283,39 @@ MAX_PACKED_LABELS = 5000
 
 def nearest_label(
     features: DataFrame, centroids: DataFrame, emb_col: str = "subject_embedding", threshold: float = SIMILARITY_THRESHOLD,
-    blocks: int = 1,
+    blocks: int = 1, by: list[str] | None = None, packed_labels: int = MAX_PACKED_LABELS,
 ) -> DataFrame:
     """Best centroid with cosine strictly above ``threshold`` (zero-norm
     centroids skipped; the first label in label order wins ties).
 
-    The centroid table has one row per label, so it is folded into a single
-    array value and attached as a scalar subquery: no join and no cross
-    product; the work is one array pass per mail.  The value's size is
-    checked: beyond ``MAX_PACKED_LABELS`` the job fails and asks for
-    ``blocks``, which takes the labels in so many passes over the mail, each
-    with its share of the labels.
+    Up to ``packed_labels`` labels are folded into a single array value and
+    attached as a scalar subquery: no join and no cross product; the work is
+    one array pass per mail.  More labels, or labels of many mailboxes
+    (``by``, columns of both tables), go through inverted lists that give the
+    same result (see ``nearest``).  The centroids, one row per label, are
+    written once so that counting them does not compute them twice.
+    ``blocks`` takes the packed labels in so many passes over the mail.
     """
+    if by or blocks == 1:
+        centroids = NE.stored(centroids.select(*(by or []), "label", "centroid"), "centroids")
+        if by or centroids.count() > packed_labels:
+            mail = features.select(*(by or []), "message_id", F.col(emb_col).alias("v"))
+            best = NE.nearest(mail, centroids.withColumnRenamed("centroid", "v"), threshold, by)
+            return features.select(*(by or []), "message_id").join(best, [*(by or []), "message_id"], "left").withColumnRenamed("label", "nearest_label")
     if blocks > 1:
         part = F.pmod(F.xxhash64("label"), F.lit(blocks))
-        best = [nearest_label(features, centroids.filter(part == b), emb_col, threshold) for b in range(blocks)]
+        best = [_packed_nearest(features, centroids.filter(part == b), emb_col, threshold) for b in range(blocks)]
         every = reduce(DataFrame.unionByName, best).groupBy("message_id")
         # Highest similarity, then the first label: the order of the struct.
         top = every.agg(F.min(F.when(F.col("nearest_label").isNotNull(), F.struct((-F.col("similarity")).alias("s"), "nearest_label"))).alias("b"))
         return top.select("message_id", F.col("b.nearest_label").alias("nearest_label"), (-F.col("b.s")).alias("similarity"))
-    packs = centroids.agg(
-        F.count(F.lit(1)).alias("n"),
+    return _packed_nearest(features, centroids, emb_col, threshold)
+
+
+def _packed_nearest(features: DataFrame, centroids: DataFrame, emb_col: str, threshold: float) -> DataFrame:
+    packed = centroids.agg(
         F.array_sort(F.collect_list(F.struct("label", "centroid", norm(F.col("centroid")).alias("cn")))).alias("cs"),
-    )
-    too_many = F.raise_error(F.lit(f"more than {MAX_PACKED_LABELS} labels: pass blocks to nearest_label"))
-    packed = packs.select(F.when(F.col("n") <= MAX_PACKED_LABELS, F.col("cs")).otherwise(too_many)).scalar()
+    ).scalar()
     # The subquery is projected as its own column first: subqueries may not
     # sit inside a lambda.
     # The mail's norm is computed once per row, not once per centroid inside

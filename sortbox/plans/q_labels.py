@@ -407,6 +407,29 @@ def nearest_label_q(spark, sf_dir):
     return n.select("message_id", "nearest_label", r6("similarity").alias("similarity"))
 
 
+@register(
+    "nearest_label_lists",
+    O.with_tables(
+        "SELECT f.message_id, n.nearest_label, round(n.similarity, 6) AS similarity "
+        "FROM email_features f LEFT JOIN nearest n ON n.message_id = f.message_id",
+        *_EMB,
+        extra=[
+            FEATURES_CTE,
+            "centroids AS (SELECT 'L-' || message_id AS label, subject_embedding AS centroid FROM email_features "
+            "WHERE len(subject_embedding) > 0 AND CAST(substr(message_id, 2) AS BIGINT) % 2 = 0)",
+            NEAREST_SQL,
+        ],
+    ),
+)
+def nearest_label_lists_q(spark, sf_dir):
+    """As many labels as there is mail with an even number, each mail its own: inverted lists."""
+    feats = stored_features(spark, sf_dir)
+    even = F.substring("message_id", 2, 1 << 30).cast("bigint") % 2 == 0
+    cents = feats.filter((F.size("subject_embedding") > 0) & even).select(F.concat(F.lit("L-"), "message_id").alias("label"), F.col("subject_embedding").alias("centroid"))
+    n = LB.nearest_label(feats, cents, packed_labels=0)
+    return n.select("message_id", "nearest_label", r6("similarity").alias("similarity"))
+
+
 @register(
     "centroid_match",
     O.with_tables(
