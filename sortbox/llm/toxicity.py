@@ -29,7 +29,7 @@ from sortbox.llm import text as T
 from sortbox.llm.language_id import _letters, _slices, crc_of_id
 
 LENGTH = 32
-STRIDE = 24
+STRIDE = 16  # half a window: a passage of up to 17 words lies whole in one
 HIDDEN = 8
 WIDTH = 6  # of a word vector and of a character gram vector
 WORD_BITS = 18

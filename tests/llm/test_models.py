@@ -51,6 +51,12 @@ def test_windows_cover_every_word():
     assert covered == set(range(len(w.row)))
 
 
+def test_a_passage_at_any_place_lies_whole_in_a_window():
+    begin, _ = toxicity.windows(toxicity.read_words(["w " * 400]), 1)
+    for at in range(400 - 17):
+        assert any(b <= at and at + 17 <= b + toxicity.LENGTH for b in begin.tolist())
+
+
 def toxic_corpus(r, n):
     rows, labels = [], []
     for i in range(n):

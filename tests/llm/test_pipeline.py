@@ -66,5 +66,5 @@ def test_rows_that_repeat_an_id_and_its_text(spark):
 def test_registration():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     numbers = {k.split("_")[0] for k in q if re.match(r"op\d+_", k)}
-    assert numbers == {f"op{n}" for n in range(1, 11)} and "pipeline" in q
-    assert {k.split("_")[0] for k in o if re.match(r"op\d+_", k)} == {"op4", "op5", "op6", "op8", "op9"}
+    assert numbers == {f"op{n}" for n in range(1, 14)} and "pipeline" in q
+    assert {k.split("_")[0] for k in o if re.match(r"op\d+_", k)} == {"op4", "op5", "op6", "op8", "op9", "op11", "op13"}
