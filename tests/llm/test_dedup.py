@@ -19,8 +19,8 @@ def shingles(text, k=4):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)])
 
 
-def brute_components(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def brute_components(rows, k=4):
+    sets = {i: shingles(t, k) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(x):

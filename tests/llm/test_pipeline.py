@@ -19,6 +19,8 @@ def corpus(r):
     rows = [(i, t) for i, t in enumerate(awkward(r))]
     rows += [(100 + i, sentence(r, 40) + "\n" + passage + "\n" + sentence(r, 20)) for i in range(4)]
     rows += [(200 + i, base if i < 3 else base.upper()) for i in range(5)]
+    near = base.split()[:45]  # one inner word changed: alike by four-word shingles, not by five
+    rows += [(250, " ".join(near)), (251, " ".join([*near[:22], "changed", *near[23:]]))]
     rows += [(300 + i, sentence(r, 30) + " " + items[i][1] + " " + sentence(r, 30)) for i in range(5)]
     rows += [(400 + i, sentence(r, 50)) for i in range(30)] + [(500, passage)]
     return [(i, t, "en" if i % 2 else "de", "src0", len(t or ""), 1) for i, t in rows], items
@@ -37,8 +39,9 @@ def test_stages_and_their_order(spark, tmp_path):
         kept[name] = {r.doc_id: r.text for r in docs.collect()}
     before = {r[0]: r[1] for r in rows}
     assert kept["language_id"] == {i: t for i, t in before.items() if any(c.isalpha() for c in t or "")}
-    components = brute_components(list(kept["language_id"].items()))
+    components = brute_components(list(kept["language_id"].items()), 5)
     assert kept["near_dedup"] == {i: t for i, t in kept["language_id"].items() if components[i][1] == i}
+    assert {250, 251} <= set(kept["near_dedup"])
     removed = {i: (n, m) for i, n, m, _ in brute_repeats(list(kept["near_dedup"].items()), 50)}
     assert set(kept["substring_dedup"]) == {i for i, (n, m) in removed.items() if m < n} and 500 not in kept["substring_dedup"]
     for i, t in kept["substring_dedup"].items():
