@@ -216,16 +216,25 @@ def email_labels(emails: DataFrame) -> DataFrame:
     return emails.select("message_id", F.explode("labels").alias("label_name"))
 
 
+NAME_RANGES = 256
+
+
 def label_dictionary(existing: DataFrame, emails: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Get-or-create name -> id for every label in use.  Missing names get
     ids after the current maximum, in name order.  Names are numbered within
-    their first two characters; the offsets of those come from a table with
-    one row per such beginning (and ``by`` group)."""
+    ranges of names; the ranges' bounds are at most ``NAME_RANGES`` of the new
+    names, drawn by a hash, so that names with a common beginning are many
+    ranges too.  Offsets come from a table with one row per range (and ``by``
+    group)."""
     keys = by or []
     used = emails.select(*keys, F.explode("labels").alias("name")).distinct()
     new = used.join(existing.select(*keys, "name"), keys + ["name"], "left_anti")
     mx = existing.groupBy(*keys).agg(F.max("label_id").alias("_mx")) if keys else None
-    new = new.withColumn("_b", F.substring("name", 1, 2))
+    drawn = new.select("name").distinct().orderBy(F.xxhash64("name"), "name").limit(NAME_RANGES)
+    bounds = drawn.agg(F.array_sort(F.collect_list("name"))).scalar()
+    # Subqueries may not sit inside a lambda: the bounds are a column first.
+    new = new.withColumn("_bounds", bounds)
+    new = new.withColumn("_b", F.size(F.filter("_bounds", lambda x: x <= F.col("name")))).drop("_bounds")
     per = new.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.select(*keys, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))

@@ -72,3 +72,23 @@ def test_ingest_recent_fails_on_bad_rows(spark):
     # a clean window succeeds
     ok = IG.ingest_recent(raw, existing, dt.datetime(2024, 2, 1), days=7)["summary"].first()
     assert ok.failed == 0 and ok.saved == ok.selected
+
+
+def test_label_ids_of_many_names_with_one_beginning(spark):
+    """Ids follow the names, and the names of one beginning are dealt to many ranges."""
+    from pyspark.sql import functions as F
+
+    from sortbox.operators import store as ST
+
+    n = 20_000
+    names = spark.range(n).select(F.array(F.format_string("Bot/%06d", (F.col("id") * 7919) % n), F.lit("Bot/000003")).alias("labels"))
+    existing = spark.createDataFrame([("Bot/000003", 5), ("Old", 9)], "name string, label_id long")
+    got = {r.name: r.label_id for r in ST.label_dictionary(existing, names).collect()}
+    fresh = sorted(f"Bot/{i:06d}" for i in range(n) if i != 3)
+    assert got == {"Bot/000003": 5, "Old": 9} | {x: 10 + i for i, x in enumerate(fresh)}
+    assert {r.name: r.label_id for r in ST.label_dictionary(existing, names.limit(0)).collect()} == {"Bot/000003": 5, "Old": 9}
+    boxes = names.limit(50).select(F.lit("a").alias("box"), "labels").union(names.limit(50).select(F.lit("b").alias("box"), "labels"))
+    of_box = ST.label_dictionary(spark.createDataFrame([("a", "Old", 3)], "box string, name string, label_id long"), boxes, by=["box"]).collect()
+    for box, first in (("a", 4), ("b", 1)):
+        ids = [r.label_id for r in sorted(of_box, key=lambda r: r.name) if r.box == box and r.name != "Old"]
+        assert ids == list(range(first, first + len(ids))) and len(ids) >= 50
