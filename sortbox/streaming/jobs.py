@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from ..operators import feedback as FB
 from ..operators import store as ST
 from ..plans import triage as TR
+from ..sources.tables import path_exists
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
@@ -67,11 +68,6 @@ def daily_volume(mail: DataFrame) -> DataFrame:
     )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
-
-
 def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
     """Write an epoch's rows; writing the epoch again replaces them."""
     df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
