@@ -1,10 +1,16 @@
 """Quality rules by host: document rules, shrunk failure rates of hosts, host verdicts.
 
-Base counts come from whole texts (null: no words).  A host's failure rate is shrunk towards the
-rates of all hosts with a beta prior fitted by the method of moments to those rates.  A document is
-kept if its own rules pass and its host's shrunk rate is at most ``MAX_HOST_RATE``.  Documents
-without a host share one host.  Repeated rows count as often as they occur; an empty table gives an
-empty result; columns other than the named ones are neither read nor returned.
+Base counts come from whole texts (null: no words).  Four rules (``RULES``) are judged per document and
+summed by host.  For each rule, the rates of all hosts give a beta prior by the method of moments: its
+mean is the hosts' mean rate, its variance their variance less what sampling alone adds to it.  A host's
+posterior has the mean ``(failed + m k) / (docs + k)``.  The host fails the rule if two standard
+deviations below that mean still lie above the prior's upper tail (the prior's mean and two deviations,
+``MAX_LIFT`` at most, and not below ``MIN_BAR``).  So few documents never fail a host, and a host like all others passes
+however strict the rule is.
+
+A document is kept if it passes the base rule and its host passes every rule.  Documents without a host
+share one host.  Repeated rows count as often as they occur; an empty table gives an empty result;
+columns other than the named ones are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -21,7 +27,8 @@ from sortbox.llm.tables import stored
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MAX_HOST_RATE = 0.5
+MIN_BAR, MAX_LIFT = 0.25, 0.4
+TAIL = 2.0  # standard deviations
 MAX_STRENGTH = 10_000.0  # documents that the prior counts for at most
 WINDOW = 5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -100,21 +107,48 @@ def base_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
     return rows.mapInArrow(count, schema)
 
 
-def host_verdicts(checked: DataFrame, host: str, failed: Column, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Per host: documents, failures, shrunk failure rate and whether the host passes."""
-    hosts = checked.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"), F.count_if(failed).alias("host_failed"))
-    hosts = hosts.withColumn("rate", F.col("host_failed") / F.col("host_docs"))
-    m, v = hosts.agg(F.avg("rate"), F.var_pop("rate")).first()
-    m, v = m or 0.0, v or 0.0
-    strength = min(max(m * (1 - m) / v - 1, 1.0), MAX_STRENGTH) if v > 0 else MAX_STRENGTH
-    shrunk = (F.col("host_failed") + m * strength) / (F.col("host_docs") + strength)
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_passes", shrunk <= max_rate)
+def rules() -> dict[str, Column]:
+    """What a document fails, from its counts.  The base rule decides on the document itself too."""
+    n = F.col("n_words")
+    return {
+        "base": (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n),
+        "symbols": 10 * F.col("n_symbols") > n,
+        "lines": 10 * F.col("n_dup_lines") > n,
+        "letters": F.col("word_chars") < 2 * n,
+    }
+
+
+def prior(hosts: DataFrame, failed: str) -> tuple[float, float, float]:
+    """Mean and strength (documents it counts for) of the beta prior of a rule, and the bar for hosts."""
+    rate = F.col(failed) / F.col("host_docs")
+    m, v, inverse = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("host_docs"))).first()
+    if m is None:
+        return 0.0, MAX_STRENGTH, MIN_BAR
+    between = v - m * (1 - m) * inverse
+    k = min(max(m * (1 - m) / between - 1, 1.0), MAX_STRENGTH) if between > 0 else MAX_STRENGTH
+    return m, k, max(m + min(TAIL * (m * (1 - m) / (k + 1)) ** 0.5, MAX_LIFT), MIN_BAR)
+
+
+def host_verdicts(checked: DataFrame, host: str, failing: dict[str, Column]) -> DataFrame:
+    """Per host: documents, failures of each rule (``<rule>_failed``), shrunk rates (``<rule>_rate``),
+    the rules it fails and whether it passes."""
+    counts = [F.count_if(c).alias(f"{name}_failed") for name, c in failing.items()]
+    hosts = checked.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"), *counts)
+    out, fails = hosts, []
+    for name in failing:
+        m, k, bar = prior(hosts, f"{name}_failed")
+        rate = (F.col(f"{name}_failed") + m * k) / (F.col("host_docs") + k)
+        spread = F.sqrt(rate * (1 - rate) / (F.col("host_docs") + k + 1))
+        out = out.withColumn(f"{name}_rate", rate)
+        fails.append(F.when(rate - TAIL * spread > bar, F.lit(name)))
+    out = out.withColumn("host_fails", F.array_compact(F.array(*fails)))
+    return out.withColumn("host_passes", F.size("host_fails") == 0)
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts, own verdict, host's shrunk rate and final verdict of every document."""
-    own = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    """Counts, own verdict, the rules that the host fails and the final verdict of every document."""
+    failing = rules()
     named = docs.withColumn("host", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    checked = stored(base_counts(named, ["doc_id", "host"]).withColumn("base_failed", own), "quality")
-    verdicts = host_verdicts(checked, "host", F.col("base_failed")).select("host", "host_rate", "host_passes")
+    checked = stored(base_counts(named, ["doc_id", "host"]).withColumn("base_failed", failing["base"]), "quality")
+    verdicts = host_verdicts(checked, "host", failing).select("host", "host_fails", "host_passes")
     return checked.join(verdicts, "host").withColumn("kept", ~F.col("base_failed") & F.col("host_passes"))

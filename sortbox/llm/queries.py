@@ -136,16 +136,24 @@ WITH words AS (
   FROM words LEFT JOIN dup ON dup.doc_id = words.doc_id LEFT JOIN covered ON covered.doc_id = words.doc_id
 ), ruled AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base
+), failing AS (
+  SELECT host, unnest([struct_pack(rule := 'base', bad := base_failed), struct_pack(rule := 'symbols', bad := 10 * n_symbols > n_words),
+                       struct_pack(rule := 'lines', bad := 10 * n_dup_lines > n_words), struct_pack(rule := 'letters', bad := word_chars < 2 * n_words)]) AS r FROM ruled
 ), hosts AS (
-  SELECT host, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM ruled GROUP BY host
-), prior AS (
-  SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts
+  SELECT host, r.rule AS rule, count(*) AS n, count(*) FILTER (WHERE r.bad) AS f FROM failing GROUP BY ALL
+), moments AS (
+  SELECT rule, avg(f / n) AS m, var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS v FROM hosts GROUP BY rule
 ), strength AS (
-  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) ELSE 10000.0 END AS k FROM prior
+  SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) ELSE 10000.0 END AS k FROM moments
+), bars AS (
+  SELECT *, greatest(m + least(2 * sqrt(m * (1 - m) / (k + 1)), 0.4), 0.25) AS bar FROM strength
+), rates AS (
+  SELECT host, n, k, bar, (f + m * k) / (n + k) AS rate FROM hosts JOIN bars USING (rule)
+), verdicts AS (
+  SELECT host, bool_and(NOT rate - 2 * sqrt(rate * (1 - rate) / (n + k + 1)) > bar) AS passes FROM rates GROUP BY host
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (f + m * k) / (n + k) <= 0.5 AS kept
-FROM ruled JOIN hosts USING (host) CROSS JOIN strength
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passes AS kept
+FROM ruled JOIN verdicts USING (host)
 """
 
 OP8_SQL = r"""

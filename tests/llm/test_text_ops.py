@@ -138,6 +138,35 @@ def test_quality_host_verdict(spark):
     assert quality.judge(docs(spark, [])).collect() == []
 
 
+def test_quality_hosts_fail_on_each_rule(spark):
+    """Hosts of one kind of bad page, a host with one bad page only, and hosts like all others."""
+    r = rng(14)
+    bad = {
+        "symbols": lambda: sentence(r, 30) + " # * $ % & | < >",
+        "lines": lambda: "\n".join(f"{sentence(r, 5)}\nmenu" for _ in range(10)),
+        "letters": lambda: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)),
+    }
+    rows = [(i, sentence(r, 30), "en", f"good{i % 20}") for i in range(200)]
+    for j, (rule, page) in enumerate(bad.items()):
+        rows += [(1000 * (j + 1) + i, page() if i % 5 else sentence(r, 30), "en", rule) for i in range(30)]
+    rows += [(9000, bad["symbols"](), "en", "small"), *((9001 + i, page(), "en", f"good{i}") for i, page in enumerate(bad.values()))]
+    out = quality.judge(docs(spark, rows)).collect()
+    assert {x.host: x.host_fails for x in out if not x.host_passes} == {rule: [rule] for rule in bad}
+    assert not any(x.base_failed for x in out)  # no document fails by itself: the host's verdict decides
+    assert {x.host for x in out if not x.kept} == set(bad)
+
+
+def test_quality_hosts_all_alike_pass(spark):
+    r = rng(15)
+    rows = [(i, sentence(r, 30) + " # * $ % & | < >" * (i % 10 < 6), "en", f"h{i % 7}") for i in range(700)]
+    out = quality.judge(docs(spark, rows)).collect()
+    assert len(out) == 700 and all(x.host_passes for x in out)
+    # what sampling adds is no difference between hosts: the prior is strong
+    hosts = spark.createDataFrame([(100, 30 + i % 3) for i in range(50)], "host_docs long, x_failed long")
+    m, k, bar = quality.prior(hosts, "x_failed")
+    assert abs(m - 0.31) < 0.01 and k == quality.MAX_STRENGTH and bar < 0.33
+
+
 def test_language_id(spark):
     r = rng(5)
     make = {"en": "thearonis", "fr": "éèouquelaç", "zh": "漢字語文中國"}
