@@ -325,3 +325,13 @@ def test_language_vectors_of_a_large_alphabet_in_bounded_memory():
         a, t, g = language_id.trigrams([texts[i]])
         counts, bound = language_id.counted(a, t, g, 1, language_id.DIM, language_id.SEED)
         assert (counts @ bound.astype(np.int64) == v[i]).all()
+
+
+def test_lesser_licence_headers_are_not_taken_for_the_general_one(spark):
+    from sortbox.llm import licenses
+
+    head = "/* This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version. */"
+    want = {"a": ("library", "Lesser General Public", "2.1", "LGPL-2.1"), "b": ("program", "General Public", "2", "GPL-2.0"), "c": ("program", "General Public", "3", "GPL-3.0")}
+    rows = [(f"{k}.c", head.format(what=w, name=n, v=v)) for k, (w, n, v, _) in want.items()] + [(f"x{i}.c", f"plain text number {i}") for i in range(30)]
+    out = licenses.own_licenses(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert {r.path[0]: r.license for r in out} == {k: x[3] for k, x in want.items()}
