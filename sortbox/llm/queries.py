@@ -230,53 +230,51 @@ SELECT doc_id, placed.size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS sh
 FROM placed JOIN done_5 USING (rank)
 """
 
-def _values(rows: list[tuple[str, str]]) -> str:
-    return ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(rows))
+def _values(rows: list[tuple[str, str, bool]]) -> str:
+    return ", ".join(f"({i}, '{name}', '{text}', {whole})" for i, (name, text, whole) in enumerate(rows))
 
 
 OP5_SQL = r"""
 WITH templates AS (
-  SELECT * FROM (VALUES __TEMPLATES__) v(template, license, text)
+  SELECT template, license, CAST(whole AS INT) AS whole, regexp_extract_all(lower(text), '[a-z0-9]+(?:[.][0-9]+)*') AS ws
+  FROM (VALUES __TEMPLATES__) v(template, license, text, whole)
+), t_places AS (
+  SELECT template, len(ws) AS size, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM templates
+), weights AS (
+  SELECT word, 0.3 + ln((1.0 + (SELECT count(DISTINCT license) FROM templates)) / (1 + count(DISTINCT license))) AS w
+  FROM t_places JOIN templates USING (template) GROUP BY word
 ), t_words AS (
-  SELECT template, license, word, count(*) AS n FROM (
-    SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.][0-9]+)*')) AS word FROM templates) GROUP BY ALL
+  SELECT template, word, any_value(w) AS w, count(*) * any_value(w) AS v FROM t_places JOIN weights USING (word) GROUP BY template, word
+), bounds AS (
+  SELECT template, word, v, sum(v * v) OVER (PARTITION BY template ORDER BY word NOT IN __COMMON__, w, word ROWS UNBOUNDED PRECEDING) AS upto, sum(v * v) OVER (PARTITION BY template) AS length2 FROM t_words
+), cues AS (
+  SELECT template, size, word, place FROM bounds JOIN t_places USING (template, word) WHERE upto >= (0.7 - 1e-5) ** 2 * length2
 ), files AS (
   SELECT doc_id, text, concat(source, '/a', doc_id // 4096, '/b', doc_id // 256 % 16, CASE WHEN doc_id % 8 = 0 THEN '' ELSE concat('/c', doc_id % 4) END) AS folder,
          CASE WHEN doc_id % 8 = 0 THEN concat('LICENSE-', doc_id) ELSE concat('file-', doc_id, '.txt') END AS name FROM documents
-), total AS (
-  SELECT count(*) AS files FROM files
-), df AS (
-  SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.][0-9]+)*'))) AS word FROM files) GROUP BY word
-), vocabulary AS (
-  SELECT word, coalesce(df, 0) AS df, ln((1.0 + files) / (1.0 + coalesce(df, 0))) AS w, coalesce(df, 0) <= greatest(10, 0.2 * files) AS cue
-  FROM (SELECT DISTINCT word FROM t_words) LEFT JOIN df USING (word), total
-), t_norms AS (
-  SELECT template, sqrt(sum((n * w) ** 2)) AS t_norm FROM t_words JOIN vocabulary USING (word) GROUP BY template
-), segments AS (
-  SELECT doc_id, segment, row_number() OVER () AS seg FROM (
-    SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ 	]+', '' || chr(10), 'g'), chr(10))) AS segment FROM files)
-), s_words AS (
-  SELECT doc_id, seg, word, count(*) AS n FROM (
-    SELECT doc_id, seg, unnest(regexp_extract_all(lower(segment), '[a-z0-9]+(?:[.][0-9]+)*')) AS word FROM segments) GROUP BY ALL
-), compared AS (
-  SELECT DISTINCT seg FROM s_words JOIN vocabulary USING (word) WHERE cue
-), weighed AS (
-  SELECT doc_id, seg, word, s_words.n * coalesce(w, ln(1.0 + files)) AS s_w
-  FROM s_words SEMI JOIN compared USING (seg) LEFT JOIN vocabulary USING (word), total
-), s_norms AS (
-  SELECT seg, sqrt(sum(s_w ** 2)) AS s_norm FROM weighed GROUP BY seg
-), dots AS (
-  SELECT doc_id, seg, template, license, sum(s_w * t.n * w) AS dot
-  FROM weighed JOIN t_words t USING (word) JOIN vocabulary USING (word) GROUP BY ALL
-), scored AS (
-  SELECT doc_id, license, round(dot / (s_norm * t_norm), 6) AS cosine FROM dots JOIN s_norms USING (seg) JOIN t_norms USING (template)
-  WHERE s_norm * t_norm > 0
+), lists AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[.][0-9]+)*') AS ws FROM files
+), begins AS (
+  SELECT DISTINCT doc_id, template, size, pos - place AS begin
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM lists) JOIN cues USING (word)
+), windows AS (
+  SELECT doc_id, template, begin, ws[CAST(greatest(begin, 0) + 1 AS BIGINT):CAST(begin + size AS BIGINT)] AS win, size, list_filter(t_ws, lambda x: regexp_matches(x, '^[0-9]')) AS numbers
+  FROM begins JOIN lists USING (doc_id) JOIN (SELECT template, ws AS t_ws FROM templates) USING (template)
+), w_words AS (
+  SELECT doc_id, template, begin, word, count(*) AS n
+  FROM (SELECT doc_id, template, begin, unnest(win) AS word FROM windows WHERE 2 * len(win) >= size AND list_has_all(win, numbers)) GROUP BY ALL
+), cosines AS (
+  SELECT doc_id, template, begin,
+         round(sum(n * coalesce(weights.w, 0) * coalesce(v, 0)) / (sqrt(sum((n * coalesce(weights.w, other)) ** 2)) * any_value(t_norm)), 6) AS cosine
+  FROM w_words LEFT JOIN weights USING (word) LEFT JOIN t_words USING (template, word)
+  JOIN (SELECT template, sqrt(sum(v * v)) AS t_norm FROM t_words GROUP BY template) USING (template),
+       (SELECT 0.3 + ln(1.0 + count(DISTINCT license)) AS other FROM templates) GROUP BY ALL
 ), own AS (
-  SELECT doc_id, license, cosine FROM scored WHERE cosine >= 0.6
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1
+  SELECT doc_id, license, whole, cosine FROM cosines JOIN templates USING (template) WHERE cosine >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY whole DESC, cosine DESC, license) = 1
 ), given AS (
   SELECT folder, license, cosine, concat(folder, '/', name) AS from_path FROM own JOIN files USING (doc_id) WHERE doc_id % 8 = 0
-  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, license, concat(folder, '/', name)) = 1
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY whole DESC, cosine DESC, license, concat(folder, '/', name)) = 1
 ), up AS (
   SELECT DISTINCT f.folder, g.license, g.cosine, g.from_path, length(g.folder) AS depth
   FROM files f JOIN given g ON f.folder = g.folder OR starts_with(f.folder, g.folder || '/')
@@ -288,7 +286,7 @@ SELECT f.doc_id, concat(f.folder, '/', f.name) AS path, coalesce(own.license, ne
        coalesce(own.cosine, nearest.cosine) AS cosine,
        CASE WHEN own.license IS NOT NULL THEN concat(f.folder, '/', f.name) ELSE nearest.from_path END AS from_path
 FROM files f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN nearest ON nearest.folder = f.folder
-""".replace("__TEMPLATES__", _values(licenses.TEMPLATES))
+""".replace("__TEMPLATES__", _values(licenses.template_rows())).replace("__COMMON__", str(licenses.COMMON))
 
 OP11_SQL = r"""
 WITH units AS (
