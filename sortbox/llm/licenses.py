@@ -36,7 +36,10 @@ MIN_COSINE = 0.7
 FLOOR = 0.3
 TILE = 512
 # Words that most texts have: no cues as long as the bound allows.
-COMMON = ("a", "and", "any", "by", "for", "in", "is", "it", "not", "of", "or", "that", "the", "this", "to", "under", "use", "with", "you")
+COMMON = (
+    "a", "all", "and", "any", "are", "as", "at", "be", "but", "by", "can", "do", "each", "for", "from", "have", "if", "in", "is", "it", "its",
+    "may", "no", "not", "of", "on", "or", "other", "so", "such", "that", "the", "their", "this", "to", "under", "use", "was", "who", "with", "you",
+)
 WORD = "[a-z0-9]+(?:[.][0-9]+)*"
 LICENSE_FILE = "(?i)^(licen[sc]e|copying|notice|unlicense)"
 
@@ -166,9 +169,10 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str]] | None = Non
     read = read.select("path", once(words(F.col("text"))).alias("words")).where(F.exists("words", is_cue))
     # A tile owns the windows that begin in its first ``step`` words; the first also those cut by the text's beginning.
     cut = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(step)), lambda at: F.struct((at == 0).alias("first"), F.slice("words", at + 1, F.lit(step + longest)).alias("words")))
-    tiles = read.select("path", F.explode(F.filter(cut, lambda t: F.exists(t["words"], is_cue))).alias("t")).select("path", "t.first", F.col("t.words").alias("words"))
-    places = F.filter(F.transform("words", lambda w, at: F.struct(w.alias("word"), at.alias("at"))), lambda c: is_cue(c["word"]))
-    found = tiles.select("path", "first", "words", F.explode(places).alias("c")).select("path", "first", "words", "c.word", "c.at")
+    tiles = read.select("path", once(cut).alias("t")).select("path", F.explode("t").alias("t")).select("path", "t.first", F.col("t.words").alias("words"))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda at: is_cue(F.col("words")[at]))
+    found = tiles.select("path", "first", "words", once(places).alias("places")).select("path", "first", "words", F.explode("places").alias("at"))
+    found = found.withColumn("word", F.col("words")[F.col("at")])
     found = found.join(F.broadcast(table), "word").withColumn("begin", F.col("at") - F.col("place")).where((F.col("begin") < step) & (F.col("first") | (F.col("begin") >= 0)))
     window = F.slice("words", F.greatest("begin", F.lit(0)) + 1, F.col("size") + F.least("begin", F.lit(0)))
     found = found.select("path", "license", "whole", "size", "t_norm", "numbers", "heavy", once(window).alias("window"))
