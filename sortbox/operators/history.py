@@ -54,9 +54,13 @@ def asof_max_before(
     ts: str,
     probe_id: str,
     bucket_seconds: int = 3600,
+    latest: DataFrame | None = None,
 ) -> DataFrame:
     """For each probe row: the latest contributor ``ts`` of the same ``key``
-    strictly before the probe's ``ts``.  Returns (probe_id, prev_ts)."""
+    strictly before the probe's ``ts``.  Returns (probe_id, prev_ts).
+
+    ``latest`` (``key``, bucket, t) may give each key's latest ``ts`` by time
+    bucket; of ``contributors`` only the probes' buckets are then needed."""
     c = contributors.select(
         F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(True).alias("_is_c"), F.lit(None).cast("string").alias("_pid")
     ).withColumn("_b", time_bucket(F.col("_t"), bucket_seconds))
@@ -73,7 +77,11 @@ def asof_max_before(
     # One row per (key, bucket) holding contributors or probes (a partial
     # aggregate, no sort of the history); the latest contributor of all
     # earlier buckets is carried forward.
-    per_bucket = c.groupBy("_k", "_b").agg(F.max("_t").alias("_m"))
+    if latest is None:
+        per_bucket = c.groupBy("_k", "_b").agg(F.max("_t").alias("_m"))
+    else:
+        per_bucket = latest.select(F.col(key).alias("_k"), F.col("bucket").alias("_b"), F.col("t").alias("_m"))
+        per_bucket = per_bucket.join(p.select("_k").distinct(), "_k", "left_semi")
     all_b = per_bucket.join(probe_buckets, ["_k", "_b"], "full")
     w_all = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     filled = all_b.select("_k", "_b", F.max("_m").over(w_all).alias("_prev_out"))

@@ -45,13 +45,17 @@ def _visible_counts(events: DataFrame, base: DataFrame, key: str, bucket_seconds
 
 
 def sequential_history(
-    committed: DataFrame, incoming: DataFrame, bucket_seconds: int = BUCKET_SECONDS, by: list[str] | None = None
+    committed: DataFrame, incoming: DataFrame, bucket_seconds: int = BUCKET_SECONDS, by: list[str] | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """History features of ``incoming`` as the sequential run sees them.
 
     Returns (``by`` columns,) message_id, sender_email_count,
     sender_open_rate, sender_days_since_last, domain_open_rate.  With
     ``by`` (e.g. a mailbox id) every statistic is kept per mailbox.
+    ``totals`` are the folded ``history_totals`` of ``committed`` with the
+    same buckets and ``by``; committed mail is then not aggregated, and read
+    only for the incoming ids and for the hours that incoming mail is from.
     """
     keys = by or []
 
@@ -83,9 +87,12 @@ def sequential_history(
             F.lit(0).alias("dn"), F.lit(0).alias("dr"), F.lit(True).alias("is_probe"),
         )
 
+    def base(kind: str) -> DataFrame:
+        return totals.filter(F.col("kind") == kind).select(F.col("key").alias("_key"), F.col("n").alias("base_n"), F.col("r").alias("base_r"))
+
     # sender counts
     s_events = events(scoped(F.col("from_address")), scoped(F.col("o_from")), F.lit(True), F.lit(True))
-    s_base = committed.groupBy(scoped(F.col("from_address")).alias("_key")).agg(
+    s_base = base("sender") if totals is not None else committed.groupBy(scoped(F.col("from_address")).alias("_key")).agg(
         F.count(F.lit(1)).alias("base_n"), F.count_if("was_read").alias("base_r")
     )
     s = _visible_counts(s_events.unionByName(probes(scoped(F.col("from_address")))), s_base, "_key", bucket_seconds)
@@ -94,7 +101,7 @@ def sequential_history(
     dom_new = scoped(F.lower(F.substring_index("from_address", "@", -1)))
     dom_old = scoped(F.lower(F.substring_index("o_from", "@", -1)))
     d_events = events(dom_new, dom_old, F.col("from_address").contains("@"), F.col("o_from").contains("@"))
-    d_base = (
+    d_base = base("domain") if totals is not None else (
         committed.filter(F.col("from_address").contains("@"))
         .groupBy(scoped(F.lower(F.substring_index("from_address", "@", -1))).alias("_key"))
         .agg(F.count(F.lit(1)).alias("base_n"), F.count_if("was_read").alias("base_r"))
@@ -105,9 +112,18 @@ def sequential_history(
     )
 
     sk = scoped(F.col("from_address"))
+    near, latest = committed, None
+    if totals is not None:
+        latest = totals.filter(F.col("kind") == "last").withColumnRenamed("key", "_sk")
+        # One row: the time that the incoming mail spans, rounded outwards to whole buckets.
+        span = incoming.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(
+            *[F.timestamp_add("SECOND", F.lit(bucket_seconds) * (H.time_bucket(F.col(c), bucket_seconds) + k), ntz_lit(H.EPOCH)) for c, k in (("a", 0), ("b", 1))]
+        ).first()
+        if span[0] is not None:
+            near = committed.filter((F.col("date") >= F.lit(span[0]).cast("timestamp_ntz")) & (F.col("date") < F.lit(span[1]).cast("timestamp_ntz")))
     prev = H.asof_max_before(
-        committed.withColumn("_sk", sk), incoming.withColumn("_sk", sk).withColumn("_pid", pid), "_sk", "date", "_pid",
-        bucket_seconds,
+        near.withColumn("_sk", sk), incoming.withColumn("_sk", sk).withColumn("_pid", pid), "_sk", "date", "_pid",
+        bucket_seconds, latest,
     ).withColumnRenamed("_pid", "message_id")
     out = (
         x.select(*keys, "message_id", "date", F.col("_pid"))
@@ -140,13 +156,15 @@ def triage(
     failed: DataFrame | None = None,
     bucket_seconds: int = BUCKET_SECONDS,
     materialize: bool = True,
+    totals: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Run the triage job.  ``scorer`` maps the feature DataFrame to a score
     Column (a fixed expression) or to a DataFrame (message_id, score), as
     ``ml.model_scorer`` of a fitted model does.  ``semantic`` maps the
     features to (message_id, sem_label, sem_confidence), or is that table.
     ``failed`` holds the messages that could not be read (the quarantine of
-    ``normalize_messages``); the summary counts them as errors.
+    ``normalize_messages``); the summary counts them as errors.  ``totals``
+    (``history_totals``, kept by the caller) spares aggregating stored mail.
 
     Returns ``decisions``, ``actions`` (empty on dry runs), ``summary``,
     ``emails`` (mail table after the upsert) and ``features`` (feature
@@ -161,7 +179,7 @@ def triage(
     if materialize:
         ensure_checkpoint_dir(incoming.sparkSession)
         incoming = incoming.checkpoint(eager=True)
-    hist = sequential_history(committed, incoming, bucket_seconds)
+    hist = sequential_history(committed, incoming, bucket_seconds, totals=totals)
     meta = FE.metadata_features(incoming)
     feats = meta.join(hist, "message_id")
     if embeddings is not None:

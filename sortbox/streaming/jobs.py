@@ -32,8 +32,12 @@ from pyspark.sql import types as T
 
 from ..operators import feedback as FB
 from ..operators import store as ST
+from ..plans import history_totals as HT
 from ..plans import triage as TR
 from ..sources.tables import path_exists
+from .log import EpochLog
+
+COMPACT_EVERY = 10  # epochs of history totals folded into one
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
@@ -126,7 +130,8 @@ def stream_triage(
 ) -> DataFrame:
     """Triage each micro-batch of incoming mail.
 
-    A batch sees the committed mail and features together with what earlier
+    Sender, domain and last-date totals are aggregated once, from ``committed``,
+    and kept up by each epoch's deltas.  A batch sees the committed mail and features together with what earlier
     epochs wrote (the last epoch's row of each message).  Each epoch writes
     its mail, features, actions and decisions.  Returns the decisions."""
     dirs = {n: f"{out_dir}/{n}" for n in ("mail", "features", "actions", "decisions")}
@@ -138,9 +143,18 @@ def stream_triage(
         rows = base.withColumn("epoch", F.lit(-1)).unionByName(logged.select(*base.columns, "epoch"))
         return ST.latest_per_key(rows, "message_id", ["epoch"]).drop("epoch")
 
+    log = EpochLog(spark, f"{out_dir}/history", HT.SCHEMA)
+
     def handle(batch: DataFrame, epoch: int) -> None:
-        store = current(feature_store, "features", epoch)
-        r = TR.triage(current(committed, "mail", epoch), batch, store, mappings, scorer, as_of, embeddings=embeddings)
+        store, mail = current(feature_store, "features", epoch), current(committed, "mail", epoch)
+        if log.rows(epoch) is None:
+            log.start(HT.totals(committed))
+        totals = HT.fold(log.rows(epoch))
+        r = TR.triage(mail, batch, store, mappings, scorer, as_of, embeddings=embeddings, totals=totals)
+        new = ST.latest_mail(batch)
+        log.write(HT.deltas(mail.join(new.select("message_id"), "message_id", "left_semi"), new), epoch)
+        if epoch % COMPACT_EVERY == COMPACT_EVERY - 1:
+            log.compact(epoch, HT.fold)
         ids = r["decisions"].select("message_id")
         write_epoch(r["decisions"], dirs["decisions"], epoch)
         write_epoch(r["actions"], dirs["actions"], epoch)

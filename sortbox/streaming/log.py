@@ -37,6 +37,10 @@ class EpochLog:
     def write(self, df: DataFrame, epoch: int) -> None:
         self._write(df, f"epochs/epoch={epoch}")
 
+    def start(self, df: DataFrame) -> None:
+        """Write what the table holds before its first epoch."""
+        self._write(df, "bases/upto=-1")
+
     def epoch(self, epoch: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/epochs/epoch={epoch}")
 
