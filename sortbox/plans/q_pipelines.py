@@ -13,8 +13,9 @@ from .. import oracles as O
 from ..sources import bridge as B
 from ..sources import messages as MS
 from . import build_features as BF
+from . import history_totals as HT
 from . import triage as TR
-from .catalog import SQL_DOC_SCORE, doc_score, r6, register
+from .catalog import ORACLES, SQL_DOC_SCORE, doc_score, r6, register
 from .q_features import _HIST_RAW_SQL, _META_SQL, FEATURE_CUTOFF, built_features
 from .q_store import NORMALIZED_CTE
 
@@ -86,7 +87,7 @@ hist AS (
 )"""
 
 
-def _triage_run(spark, sf_dir, scorer=None, semantic=None, since: dt.date = dt.date(2024, 1, 22)) -> dict[str, DataFrame]:
+def _triage_run(spark, sf_dir, scorer=None, semantic=None, since: dt.date = dt.date(2024, 1, 22), totals=None) -> dict[str, DataFrame]:
     em = B.emails(spark, sf_dir)
     committed = em.filter(F.col("date") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
     raw = MS.select_messages(MS.raw_messages(spark, sf_dir), after=since)
@@ -97,7 +98,7 @@ def _triage_run(spark, sf_dir, scorer=None, semantic=None, since: dt.date = dt.d
     return TR.triage(
         committed, incoming.unionByName(incoming.filter(again)), store, B.sender_label_mappings(spark),
         scorer=scorer or (lambda df: doc_score(F.col("message_id"))), as_of=NOW,
-        embeddings=B.feature_embeddings(spark, sf_dir), semantic=semantic, failed=failed,
+        embeddings=B.feature_embeddings(spark, sf_dir), semantic=semantic, failed=failed, totals=totals,
     )
 
 
@@ -117,7 +118,10 @@ FROM (SELECT *, {SQL_DOC_SCORE.format(m='message_id')} AS s FROM hist) h""",
     ),
 )
 def triage_q(spark, sf_dir):
-    r = _triage_run(spark, sf_dir)
+    return _triaged(_triage_run(spark, sf_dir))
+
+
+def _triaged(r: dict[str, DataFrame]) -> DataFrame:
     d = r["decisions"].join(r["features"].select("message_id", "sender_email_count", "sender_open_rate", "domain_open_rate", "sender_days_since_last"), "message_id")
     return _round(
         d.select(
@@ -127,6 +131,17 @@ def triage_q(spark, sf_dir):
     )
 
 
+@register("triage_with_totals", ORACLES["triage"])
+def triage_with_totals_q(spark, sf_dir):
+    """The triage with its history from running totals: those of the mail up to January 20, and the deltas
+    of the mail after it."""
+    committed = B.emails(spark, sf_dir).filter(F.col("date") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+    early = F.col("date") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    added = HT.deltas(committed.limit(0), committed.filter(~early))
+    totals = HT.fold(HT.totals(committed.filter(early)).unionByName(added))
+    return _triaged(_triage_run(spark, sf_dir, totals=totals))
+
+
 _LINEAR = "0.9 * sender_open_rate + 0.3 * domain_open_rate - 0.02 * least(sender_email_count, 10)"
 
 
