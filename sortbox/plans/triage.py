@@ -54,8 +54,8 @@ def sequential_history(
     sender_open_rate, sender_days_since_last, domain_open_rate.  With
     ``by`` (e.g. a mailbox id) every statistic is kept per mailbox.
     ``totals`` are the folded ``history_totals`` of ``committed`` with the
-    same buckets and ``by``; committed mail is then not aggregated, and read
-    only for the incoming ids and for the hours that incoming mail is from.
+    same buckets and ``by``; committed mail is then not aggregated: it is
+    joined by id, and sorted for the hours that incoming mail is from.
     """
     keys = by or []
 
