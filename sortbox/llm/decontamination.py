@@ -8,11 +8,14 @@
 2. Benchmark items are cut into passages of ``PASSAGE`` words, and these into runs of ``SPACE``.  A
    randomised SVD of a run's TF-IDF matrix (range finder with power steps; runs are dealt to tasks)
    gives its latent space.  ``RANK`` is more than ``SPACE``, so that a space holds all of its passages however
-   many items there are.
+   many items there are; its first ``LATENT`` directions hold what many passages share, in which words that
+   go together in the benchmark are near to each other.
 3. Every document is cut into overlapping passages of the same length that cover it.  They are
    folded into the spaces and compared, in blocks, with all passages of the benchmark.  A passage's
    length holds its words outside a space as well; a passage in which the space's words make up
    less than the square of the least cosine of it cannot reach that cosine and is not folded in.
+   A candidate has the least cosine in the whole space (equal words) or in its first directions
+   (words that go together), so the latter only adds candidates.
 4. For each candidate the words are aligned where most of the rare words agree, and the longest
    common subsequence of item and text is taken there.  Near to a whole item (``COPY``) is a leak;
    less (``PARAPHRASE``) is a leak if the answer, the item's last sentence (its last third if it has
@@ -52,6 +55,7 @@ PASSAGE = 32
 STRIDE = 16
 SPACE = 192
 RANK = 256
+LATENT = 96  # first directions of a space, fewer than its passages
 POWER_STEPS = 3
 COSINE = 0.35
 COPY = 0.8
@@ -229,6 +233,7 @@ class Space:
     slot: np.ndarray  # row of ``vectors`` of each bucket; the last row is zero
     vectors: np.ndarray
     latent: np.ndarray
+    first: np.ndarray  # the passages in the first ``LATENT`` directions
     of: np.ndarray  # item of each passage
 
 
@@ -264,7 +269,9 @@ def space(texts: list[str], of: list[int], idf: np.ndarray, used: np.ndarray, ve
     padded = np.concatenate([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
     latent = [w @ padded[slot[at]] for at, w in _matrix(texts, idf)]
     table = np.array([v / max(np.linalg.norm(v), 1e-9) for v in latent], np.float32).reshape(len(latent), vectors.shape[1])
-    return Space(slot, padded, table, np.array(of, np.int64))
+    first = table[:, :LATENT]
+    first = first / np.maximum(np.linalg.norm(first, axis=1, keepdims=True), 1e-9)
+    return Space(slot, padded, table, first, np.array(of, np.int64))
 
 
 def index(spark: SparkSession, rows: list[tuple[int, str | None]], idf: np.ndarray) -> Index:
@@ -375,10 +382,11 @@ def find(x: Index, texts: list[str | None]) -> list[list[tuple[int, float, float
                 vec[k : k + 256] = (weights[part][:, None, :] @ s.vectors[slots[part]])[:, 0]
             norm = np.maximum(np.sqrt(size[block[some]]), np.linalg.norm(vec, axis=1))
             cos = (vec @ s.latent.T) / norm[:, None]
-            for p, q in zip(*np.nonzero(cos >= COSINE), strict=True):
+            near = (vec[:, :LATENT] @ s.first.T) / norm[:, None]
+            for p, q in zip(*np.nonzero(np.maximum(cos, near) >= COSINE), strict=True):
                 nr = lo + int(some[p])
                 key = (int(row[nr]), int(s.of[q]))
-                if cos[p, q] > found.get(key, 0):
+                if cos[p, q] > found.get(key, -1):
                     found[key] = float(cos[p, q])
                 places.setdefault(key, []).append(nr)
     for (r, item), cos in found.items():

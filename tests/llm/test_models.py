@@ -260,6 +260,23 @@ def test_passages_of_a_large_benchmark_are_near_themselves(spark):
     assert all(i in {h[0] for h in hits} for i, hits in enumerate(got))
 
 
+def test_words_that_go_together_in_the_benchmark_make_candidates(spark):
+    r = rng(36)
+    head, answer, rare, other = ([sentence(r, 1, "abcd") + k + str(i) for i in range(n)] for k, n in (("h", 18), ("a", 6), ("r", 8), ("o", 8)))
+    spread = lambda own: [w for k in range(8) for w in (*head[2 * k : 2 * k + 2], own[k])] + head[16:]
+    text = lambda own: " ".join(spread(own)) + ". " + " ".join(answer) + "."
+    items = [(0, text(rare)), *((1 + i, " ".join([*rare, *other, f"z{i}"])) for i in range(10))]
+    items += [(100 + i, " ".join(f"f{i}x{k}" for k in range(20))) for i in range(150)]
+    idf = np.ones(decontamination.BUCKETS)
+    strange = [f"s{i}" for i in range(8)]
+    for w in (*rare, *other, *strange):
+        idf[decontamination.bucket(decontamination.words([w])[0])] = 3
+    x = decontamination.index(spark, items, idf)
+    got = decontamination.find(x, [text(rare), text(other), text(strange)])
+    assert [h[0] for h in got[0]] == [0] and [h[0] for h in got[1]] == [0] and got[1][0][1] < decontamination.COSINE
+    assert got[2] == []
+
+
 @pytest.mark.parametrize("kind", ["copy", "paraphrase", "copied text"])
 def test_items_that_a_third_of_the_documents_repeat(spark, kind):
     r = rng(35)
