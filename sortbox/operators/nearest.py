@@ -27,6 +27,7 @@ from ..session import scratch_path
 PIVOTS = 1024
 PART = 2048
 MAIL = 8192
+AT_ONCE = 1024  # mails compared with a part's labels or pivots in one product
 SLACK = 1e-6  # chords of rounded cosines; a bound is only trusted beyond it
 
 
@@ -62,31 +63,40 @@ def to_lists(labels: pa.Table, pivots: pa.Table) -> pa.Table:
 
 
 def reached(mail: pa.Table, pivots: pa.Table, limit: float) -> pa.Table:
-    """Each mail once for every list that can hold its label."""
+    """Each mail with the lists that can hold its label; its vector is there once, however many they are."""
+    kind = pa.list_(pa.int64())
     if not mail.num_rows or not pivots.num_rows:
-        return mail.slice(0, 0).drop_columns(["part"]).append_column("list", pa.array([], pa.int64()))
-    v, numbers = _vectors(mail), np.asarray(pivots.column("list"))
+        return mail.slice(0, 0).drop_columns(["part"]).append_column("lists", pa.array([], kind))
+    numbers = np.asarray(pivots.column("list"))
     if pivots.num_rows == 1 and not pivots.column("v")[0].is_valid:  # labels without a pivot: one list
-        rows, lists = np.arange(len(v)), np.zeros(len(v), np.int64)
+        count, lists = np.ones(mail.num_rows, np.int64), np.zeros(mail.num_rows, np.int64)
     else:
-        chords = _chords(v, _vectors(pivots))
-        bound = np.maximum(chords - np.asarray(pivots.column("largest")), np.asarray(pivots.column("least")) - chords)
-        rows, lists = np.nonzero(bound <= np.minimum(chords.min(1), limit)[:, None] + SLACK)
-    out = mail.drop_columns(["part"]).take(pa.array(rows))
-    return out.append_column("list", pa.array(numbers[lists], pa.int64()))
+        centres, found = _vectors(pivots), []
+        least, largest = np.asarray(pivots.column("least")), np.asarray(pivots.column("largest"))
+        for lo in range(0, mail.num_rows, AT_ONCE):
+            chords = _chords(_vectors(mail.slice(lo, AT_ONCE)), centres)
+            bound = np.maximum(chords - largest, least - chords)
+            found.append(bound <= np.minimum(chords.min(1), limit)[:, None] + SLACK)
+        near = np.concatenate(found)
+        count, lists = near.sum(1), np.nonzero(near)[1]
+    at = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+    return mail.drop_columns(["part"]).append_column("lists", pa.ListArray.from_arrays(at, pa.array(numbers[lists], pa.int64())))
 
 
 def best_of(mail: pa.Table, labels: pa.Table) -> pa.Table:
     """The most similar label of each mail in one part; the first in order of equal ones."""
     if not mail.num_rows or not labels.num_rows:
         return mail.slice(0, 0).select(["message_id"]).append_column("label", pa.array([], pa.string())).append_column("similarity", pa.array([], pa.float64()))
-    near = _vectors(mail) @ _vectors(labels).T
+    units, near = _vectors(labels).T, np.empty((0, 0))
     names, found, sims = labels.column("label").to_pylist(), [], []
     a, b = (np.asarray(pa.concat_arrays(t.column("v").chunks).flatten(), np.float64).reshape(t.num_rows, -1) for t in (mail, labels))
     na, nb = (np.sqrt(np.cumsum(x * x, 1)[:, -1]) for x in (a, b))
-    for i, top in enumerate(near.max(1)):
+    for i in range(mail.num_rows):
+        if i % AT_ONCE == 0:
+            near = _vectors(mail.slice(i, AT_ONCE)) @ units
         # Near the top the sums are taken again one after the other, so that equal labels are equal.
-        at = np.flatnonzero(near[i] >= top - 1e-9)
+        own = near[i % AT_ONCE]
+        at = np.flatnonzero(own >= own.max() - 1e-9)
         exact = np.cumsum(a[i] * b[at], 1)[:, -1] / (na[i] * nb[at])
         sim, name = max(((s, names[j]) for s, j in zip(exact.tolist(), at.tolist(), strict=True)), key=lambda x: (x[0], [-c for c in x[1].encode()] + [1]))
         found.append(name)
@@ -120,7 +130,7 @@ def nearest(mail: DataFrame, labels: DataFrame, threshold: float, by: list[str]
         return left, other.join(parts, at).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def types(*names: str) -> str:
-        kinds = dict(mail.dtypes) | {"label": "string", "list": "bigint", "chord": "double", "similarity": "double"}
+        kinds = dict(mail.dtypes) | {"label": "string", "list": "bigint", "lists": "array<bigint>", "chord": "double", "similarity": "double"}
         return ", ".join(f"{n} {kinds[n]}" for n in names)
 
     # Labels to the lists of their pivots, and the chords of each list.
@@ -132,8 +142,8 @@ def nearest(mail: DataFrame, labels: DataFrame, threshold: float, by: list[str]
 
     # Mail to the lists that can hold its label.
     left, right = dealt(mail, "message_id", keys, MAIL, lists.drop("n"))
-    reach = left.groupBy(*keys, "part").cogroup(right.groupBy(*keys, "part")).applyInArrow(lambda m, p: reached(m, p, limit), types(*by, "message_id", "v", "dim", "list"))
-    reach = stored(reach, "reach")
+    reach = left.groupBy(*keys, "part").cogroup(right.groupBy(*keys, "part")).applyInArrow(lambda m, p: reached(m, p, limit), types(*by, "message_id", "v", "dim", "lists"))
+    reach = stored(reach, "reach").withColumn("list", F.explode("lists")).drop("lists")
 
     # Parts of a list's labels against parts of its mail.
     at = [*keys, "list"]
