@@ -13,8 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -47,7 +46,8 @@ CHANGES = "message_id string, label string, kind string, at bigint, id bigint"
 
 class LabelStates(StatefulProcessor):
     """Last operation on each label of a mail.  A row goes out when it is newer than the state's; the
-    state is cleared by a timer ``keep_ms`` after the mail's last operation."""
+    state is cleared by a timer ``keep_ms`` after the mail's last operation.  A mail has one timer: when it
+    fires before that time it is set anew, so that an operation costs a read and a write of the state."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
@@ -56,31 +56,32 @@ class LabelStates(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("labels", "labels array<string>, kinds array<string>, ats array<bigint>, ids array<bigint>, expires bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known: dict[str | None, tuple[int, int, str]] = {}
-        expires = None
-        if self.state.exists():
-            labels, kinds, ats, ids, expires = self.state.get()
-            known = {n: (a, i, k) for n, k, a, i in zip(labels, kinds, ats, ids, strict=True)}
+        before = self.state.get()
+        if before is not None:
+            known = {n: (a, i, k) for n, k, a, i in zip(*before[:4], strict=True)}
         changed = set()
-        for pdf in rows:
-            for label, kind, at, i in zip(pdf["label"], pdf["kind"], pdf["at"], pdf["id"], strict=True):
-                name, seen = (None if pd.isna(label) else label), (int(at), int(i), kind)
-                if name not in known or seen > known[name]:
-                    known[name] = seen
-                    changed.add(name)
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if expires is not None:
-            self.handle.deleteTimer(expires)
-        self.handle.registerTimer(now + self.keep_ms)
+        for r in rows:
+            seen = (int(r.at), int(r.id), r.kind)
+            if r.label not in known or seen > known[r.label]:
+                known[r.label] = seen
+                changed.add(r.label)
+        expires = timerValues.getCurrentProcessingTimeInMs() + self.keep_ms
+        if before is None:
+            self.handle.registerTimer(expires)
         ats, ids, kinds = ([v[j] for v in known.values()] for j in range(3))
-        self.state.update((list(known), kinds, ats, ids, now + self.keep_ms))
-        out = [(key[0], name, known[name][2], *known[name][:2]) for name in changed]
-        yield pd.DataFrame(out, columns=["message_id", "label", "kind", "at", "id"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame({"message_id": [], "label": [], "kind": [], "at": [], "id": []}, dtype=object)
+        self.state.update((list(known), kinds, ats, ids, expires))
+        for name in changed:
+            yield Row(message_id=key[0], label=name, kind=known[name][2], at=known[name][0], id=known[name][1])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self.state.get()
+        if state is not None and state[4] > timerValues.getCurrentProcessingTimeInMs():
+            self.handle.registerTimer(state[4])
+        else:
+            self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -104,7 +105,7 @@ def mailbox_states(ops: DataFrame, out_dir: str, checkpoint: str, keep_ms: int,
     spark = ops.sparkSession
     log = EpochLog(spark, out_dir, CHANGES)
     effects = ST.label_effects(ops).select("message_id", "label", "kind", F.col("seq.at").alias("at"), F.col("seq.id").alias("id"))
-    changes = effects.groupBy("message_id").transformWithStateInPandas(
+    changes = effects.groupBy("message_id").transformWithState(
         statefulProcessor=LabelStates(keep_ms), outputStructType=CHANGES, outputMode="Update", timeMode="ProcessingTime"
     )
 

@@ -157,3 +157,48 @@ def test_each_text_is_encoded_once(spark, tmp_path):
     ES.embed_by_content(mail, cols, "m2", table, factory).collect()
     assert len(calls.read_text().splitlines()) == 4  # another encoder has vectors of its own
     assert ES.embed_by_content(mail.filter(F.lit(False)), cols, "m1", table, factory).collect() == []
+
+
+def test_an_operation_reads_and_writes_the_state_once():
+    from pyspark.sql import Row
+
+    class Handle:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.calls.append("clear")
+            self.value = None
+
+        def registerTimer(self, at):
+            self.calls.append(f"timer {at}")
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.ms
+
+    h, p = Handle(), SB.LabelStates(100)
+    p.init(h)
+    row = lambda label, kind, at, i: Row(message_id="m", label=label, kind=kind, at=at, id=i)
+    out = list(p.handleInputRows(("m",), iter([row("A", "add", 1, 1), row(None, "add", 1, 1)]), Now(0)))
+    assert {tuple(r) for r in out} == {("m", "A", "add", 1, 1), ("m", None, "add", 1, 1)} and h.calls == ["get", "timer 100", "update"]
+    h.calls.clear()
+    out = list(p.handleInputRows(("m",), iter([row("A", "remove", 5, 2), row(None, "add", 0, 9)]), Now(60)))
+    assert [tuple(r) for r in out] == [("m", "A", "remove", 5, 2)] and h.calls == ["get", "update"]
+    h.calls.clear()
+    assert list(p.handleExpiredTimer(("m",), Now(100), None)) == [] and h.calls == ["get", "timer 160"]
+    assert list(p.handleExpiredTimer(("m",), Now(160), None)) == [] and h.value is None
