@@ -40,6 +40,7 @@ BLOCK = 10  # trees between two writes of the margins
 MAX_HISTOGRAM_BYTES = 128 << 20  # of a task's pass
 ACCURACY = 10_000  # of the quantiles
 DRAWS = 1 << 20  # a row's place in the draw of rows
+CELLS = 1 << 21  # (row, feature) pairs that a task counts at once, unless the histograms are longer
 
 
 @dataclass(frozen=True)
@@ -227,20 +228,36 @@ class Trainer:
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((len(wanted) * len(used) * size, 3), np.int64)
+            waiting, rows = [], 0
+            # Adding to the histograms costs their length, so the rows of several batches are added at once.
+            enough = max(1, max(CELLS, len(sums)) // max(1, len(used)))
+
+            def add() -> None:
+                at, g, h = (np.concatenate([w[j] for w in waiting]) for j in (0, 1, 2))
+                bins = np.concatenate([w[3] for w in waiting])
+                for lo in range(0, len(at), enough):
+                    cut = slice(lo, lo + enough)
+                    cells = ((at[cut, None] * len(used) + np.arange(len(used))) * size + bins[cut]).ravel()
+                    for j, v in enumerate((g, h)):
+                        # Sums of whole numbers below 2 ** 53 are exact as doubles.
+                        sums[:, j] += np.bincount(cells, np.repeat(v[cut], len(used)), len(sums)).astype(np.int64)
+                    sums[:, 2] += np.bincount(cells, minlength=len(sums))
+                waiting.clear()
+
             for b in batches:
-                bins, margins = _matrix(b.column(1), width), np.asarray(b.column(2))
-                for t in since:
-                    margins = margins + t.margins(bins)
+                bins = _matrix(b.column(1), width)
                 at = place[grown.nodes(bins)]
                 keep = at >= 0
-                bins, at = bins[keep], at[keep]
-                g, h = gradients(margins[keep], np.asarray(b.column(0))[keep])
-                for lo in range(0, len(at), 1 << 13):
-                    cut = slice(lo, lo + (1 << 13))
-                    cells = ((at[cut, None] * len(used) + np.arange(len(used))) * size + bins[cut][:, used]).ravel()
-                    for j, v in enumerate((g, h, np.ones(len(at), np.int64))):
-                        # Sums of whole numbers below 2 ** 53 are exact as doubles.
-                        sums[:, j] += np.bincount(cells, np.repeat(v[cut], len(used)), len(sums)).astype(np.int64)
+                bins, margins = bins[keep], np.asarray(b.column(2))[keep]
+                for t in since:
+                    margins = margins + t.margins(bins)
+                waiting.append((at[keep], *gradients(margins, np.asarray(b.column(0))[keep]), bins[:, used]))
+                rows += len(bins)
+                if rows >= enough:
+                    add()
+                    rows = 0
+            if waiting:
+                add()
             whole = sums.reshape(len(wanted), len(used), size, 3)
             for i in np.flatnonzero(whole[:, 0, :, 2].any(1)) if len(used) else ():
                 cells = []  # of each feature: bin and sums where there are rows
