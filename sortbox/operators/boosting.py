@@ -11,6 +11,10 @@ of each node in each partition comes to the driver.  A pass prepares the childre
 known and whose turn may come, so that a tree takes about as many passes as it has levels, not one for
 each of its 30 splits.
 
+Training rows whose bins take at most ``AT_HAND`` bytes need no passes: one task holds them and grows
+``BLOCK`` trees, so that a block is one Spark job.  More rows than that are never put into one task.  Both
+ways give the same trees.
+
 Sums are of whole numbers (``SCALE`` units), so they do not depend on the order of rows, on partitions
 or on a task that runs again: the same bounds give the same trees.  (Bounds are approximate quantiles,
 to 1 / ``ACCURACY`` of the rows; up to that many rows they are exact.)  A row's margin is stored every
@@ -38,6 +42,7 @@ from ..session import scratch_path
 SCALE = 1 << 24
 BLOCK = 10  # trees between two writes of the margins
 MAX_HISTOGRAM_BYTES = 128 << 20  # of a task's pass
+AT_HAND = 64 << 20  # bytes of bins that one task may hold
 ACCURACY = 10_000  # of the quantiles
 DRAWS = 1 << 20  # a row's place in the draw of rows
 CELLS = 1 << 21  # (row, feature) pairs that a task counts at once, unless the histograms are longer
@@ -161,6 +166,62 @@ def best_split(sums: np.ndarray, s: Settings) -> tuple[float, int, int, list[int
     return best / SCALE if best > 0 else -1.0, int(feature), int(at), left[feature, at].tolist(), whole[0, 0].tolist()
 
 
+def grown_at_hand(bins: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, features: list[int], s: Settings) -> Tree | None:
+    """The best-first tree of rows that are at hand, as ``Trainer.grow`` makes it; None when the root cannot be split.
+
+    ``bins``: features x rows.  Of two children the histograms of the smaller one are counted, the other's are the rest.
+    """
+    used, grads, curves = np.array(features), g.astype(np.float64), h.astype(np.float64)
+
+    def count(at: np.ndarray) -> np.ndarray:
+        out, ga, ha = np.empty((len(used), s.max_bin, 3), np.int64), grads[at], curves[at]
+        for i, f in enumerate(used):
+            b = bins[f][at].astype(np.intp)
+            # Sums of whole numbers below 2 ** 53 are exact as doubles.
+            out[i, :, 0], out[i, :, 1], out[i, :, 2] = np.bincount(b, ga, s.max_bin), np.bincount(b, ha, s.max_bin), np.bincount(b, minlength=s.max_bin)
+        return out
+
+    tree, order, room = Tree(), [], s.leaves - 1
+    at, path, sums, best = {0: rows}, {0: 1}, {}, {}
+
+    def open_leaf(node: int, histograms: np.ndarray | None) -> None:
+        if histograms is not None:
+            sums[node], best[node] = histograms, best_split(histograms, s)
+
+    open_leaf(0, count(rows) if len(rows) else None)
+    whole = {0: best[0][4]} if best else {}
+    while room and (ready := [n for n in at if best.get(n, (-1.0,))[0] > 0]):
+        top = min(ready, key=lambda n: (-best[n][0], path[n]))
+        gain, i, cut, left, total = best.pop(top)
+        a, b = tree.split(top, int(used[i]), cut, gain)
+        here, before = at.pop(top), sums.pop(top)
+        goes = bins[used[i]][here] <= cut
+        at[a], at[b] = here[goes], here[~goes]
+        path[a], path[b] = 2 * path[top], 2 * path[top] + 1
+        whole[a], whole[b] = left, [w - x for w, x in zip(total, left, strict=True)]
+        order.append(top)
+        room -= 1
+        few = 2 * s.min_rows  # fewer rows are never split
+        if room and max(len(at[a]), len(at[b])) >= few:
+            small, large = (a, b) if len(at[a]) <= len(at[b]) else (b, a)
+            counted = count(at[small])
+            open_leaf(large, before - counted)
+            open_leaf(small, counted if len(at[small]) >= few else None)
+    return kept(tree, order, whole, s) if order else None
+
+
+def kept(made: Tree, order: list[int], sums: dict[int, list[int]], s: Settings) -> Tree:
+    """The tree of the splits ``order``, in that order; a leaf's value is its Newton step."""
+    out, number = Tree(), {0: 0}
+    for node in order:
+        left, right = out.split(number[node], made.feature[node], made.bin[node], made.gain[node])
+        number[made.left[node]], number[made.right[node]] = left, right
+    for node in number.keys() - set(order):
+        g, h, _ = sums[node]
+        out.value[number[node]] = -s.rate * g / h
+    return out
+
+
 def row_draw(column: str, seed: int, period: int):
     """Place of a row in a draw: less than ``row_share * DRAWS`` takes part."""
     return F.pmod(F.xxhash64(F.col(column), F.lit(seed), F.lit(period)), F.lit(DRAWS))
@@ -180,15 +241,23 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), width)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"boosting/{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Trainer:
     """Binned rows in a stored table and the trees so far."""
 
     def __init__(self, rows: DataFrame, names: list[str], s: Settings, key: str, label: str, features: str, is_test: str):
-        self.s, self.names, self.spark = s, names, rows.sparkSession
+        self.s, self.names = s, names
         train = rows.where(~F.col(is_test))
         self.bounds = self._quantiles(train, features)
         n, positive = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(label), F.lit(0))).first()
         self.one_class = positive in (0, n)
+        histograms = 24 * s.max_bin * max(1, round(len(names) * s.feature_share)) * (s.leaves + 1)
+        self.at_hand = n * len(names) <= AT_HAND and histograms <= MAX_HISTOGRAM_BYTES
         share = min(max(positive / n if n else 0.5, 1e-9), 1 - 1e-9)
         self.base = float(np.log(share / (1 - share)))
         self.trees: list[Tree] = []
@@ -202,12 +271,7 @@ class Trainer:
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], data, pa.array(np.full(b.num_rows, base))], ["key", "y", "is_test", "bins", "margin"])
 
         ready = rows.select(F.xxhash64(key).alias("key"), F.col(label).cast("int").alias("y"), F.col(is_test).alias("is_test"), F.col(features).alias("x"))
-        self.table = self._store(ready.mapInArrow(bins, "key bigint, y int, is_test boolean, bins binary, margin double"))
-
-    def _store(self, df: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, f"boosting/{uuid.uuid4().hex}")
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.table = stored(ready.mapInArrow(bins, "key bigint, y int, is_test boolean, bins binary, margin double"))
 
     def _quantiles(self, train: DataFrame, features: str) -> list[list[float]]:
         """Bounds of the bins: at most ``max_bin`` - 1 quantiles of each feature, over all rows."""
@@ -311,9 +375,10 @@ class Trainer:
         if known.get(0, (-1,))[0] <= 0:
             return None
         sums = {0: known[0][4]}
-        leaves, inner, parent = {0}, set(), {}
+        leaves, inner, parent = {0}, [], {}
+        path = {0: 1}  # of equal gains the node further up or to the left is first, in whatever pass it was prepared
         while open_leaves < s.leaves:
-            ready = sorted((n for n in leaves if known[n][0] > 0), key=lambda n: (-known[n][0], n))
+            ready = sorted((n for n in leaves if known[n][0] > 0), key=lambda n: (-known[n][0], path[n]))
             if not ready:
                 break
             top, room = ready[0], s.leaves - open_leaves
@@ -323,33 +388,64 @@ class Trainer:
                 rank = {}
                 for n in (n for n in range(len(made.feature)) if n not in inner and known.get(n, (-1,))[0] > 0):
                     rank[n] = min(known[n][0], rank.get(parent.get(n), float("inf")))
-                for n in sorted(rank, key=lambda n: (-rank[n], n))[:room]:
+                for n in sorted(rank, key=lambda n: (-rank[n], path[n]))[:room]:
                     if made.left[n] < 0:
                         gain, feature, at, left, whole = known[n]
                         a, b = made.split(n, feature, at, gain)
                         sums[a], sums[b] = left, [w - x for w, x in zip(whole, left, strict=True)]
                         parent[a] = parent[b] = n
+                        path[a], path[b] = 2 * path[n], 2 * path[n] + 1
                 if room > 1:
-                    of = sorted((n for n in rank if made.left[n] >= 0), key=lambda n: (-rank[n], n))
+                    of = sorted((n for n in rank if made.left[n] >= 0), key=lambda n: (-rank[n], path[n]))
                     wanted = [c for n in of for c in (made.left[n], made.right[n]) if c not in known][:at_once]
                     found = self.splits(made, wanted, features, number)
                     known |= {c: found.get(c, (-1.0, 0, 0, [], [])) for c in wanted}
             leaves.remove(top)
-            inner.add(top)
+            inner.append(top)
             leaves |= {made.left[top], made.right[top]}
             open_leaves += 1
-        return self._kept(made, inner, leaves, sums)
-
-    def _kept(self, made: Tree, inner: set[int], leaves: set[int], sums: dict[int, list[int]]) -> Tree:
-        """The tree without prepared children; a leaf's value is its Newton step."""
-        out, number = Tree(), {0: 0}
-        for node in sorted(inner):
-            left, right = out.split(number[node], made.feature[node], made.bin[node], made.gain[node])
-            number[made.left[node]], number[made.right[node]] = left, right
-        for node in leaves:
-            g, h, _ = sums[node]
-            out.value[number[node]] = -self.s.rate * g / h
-        return out
+        return kept(made, inner, sums, s)
+
+    def grow_passes(self, trees: int) -> int:
+        """Add the next trees, each in passes over the table; their number, less than ``trees`` when no more can be grown."""
+        for i in range(trees):
+            tree = self.grow(len(self.trees))
+            if tree is None:
+                return i
+            self.trees.append(tree)
+        return trees
+
+    def grow_block(self, trees: int) -> int:
+        """Add the next trees, grown by the task that holds all training rows; their number as in ``grow_passes``."""
+        s, width, first = self.s, len(self.names), len(self.trees)
+        periods = sorted({t // s.row_every for t in range(first, first + trees)})
+
+        def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [(np.asarray(b.column(0)), _matrix(b.column(1), width), np.asarray(b.column(2)), np.asarray(b.column(3))) for b in batches]
+            if not parts:
+                return
+            y, margins, drawn = (np.concatenate([p[j] for p in parts]) for j in (0, 2, 3))
+            bins, n = np.empty((width, len(y)), np.uint8), 0
+            for p in parts:
+                bins[:, n : n + len(p[0])] = p[1].T
+                n += len(p[0])
+            parts.clear()
+            found = []
+            for t in range(first, first + trees):
+                rows = np.flatnonzero(drawn >> periods.index(t // s.row_every) & 1)
+                tree = grown_at_hand(bins, *gradients(margins, y), rows, drawn_features(width, t, s), s)
+                if tree is None:
+                    break
+                margins = margins + tree.margins(bins.T)
+                found.append(json.dumps(asdict(tree)))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], ["number", "tree"])
+
+        takes = [F.lit(True) if s.row_share >= 1 else row_draw("key", s.seed, p) < int(s.row_share * DRAWS) for p in periods]
+        drawn = sum((F.when(take, 1 << i).otherwise(0) for i, take in enumerate(takes)), F.lit(0))
+        train = self.table.where(~F.col("is_test")).select("y", "bins", "margin", drawn.cast("int").alias("drawn"))
+        made = train.coalesce(1).mapInArrow(grow, "number int, tree string").collect()
+        self.trees += [Tree(**json.loads(r["tree"])) for r in sorted(made, key=lambda r: r["number"])]
+        return len(made)
 
     def finish_block(self) -> list[float]:
         """Store the margins with the trees since; AUC on the test rows after each of them."""
@@ -371,22 +467,18 @@ class Trainer:
 
         test = self.table.where("is_test").select("y", "bins", "margin").mapInArrow(each, "round int, score double, y int")
         aucs = auc_by(test, "round")
-        self.table = self._store(self.table.mapInArrow(add, "key bigint, y int, is_test boolean, bins binary, margin double"))
+        self.table = stored(self.table.mapInArrow(add, "key bigint, y int, is_test boolean, bins binary, margin double"))
         self.stored_trees = len(self.trees)
         return [aucs.get(i, 0.5) for i in range(len(since))]
 
     def run(self) -> Model:
         aucs: list[float] = []
         while not self.one_class and len(self.trees) < self.s.rounds:
-            tree = self.grow(len(self.trees))
-            if tree:
-                self.trees.append(tree)
-            if self._since() and (not tree or len(self._since()) == BLOCK or len(self.trees) == self.s.rounds):
+            wanted = min(BLOCK, self.s.rounds - len(self.trees))
+            grown = self.grow_block(wanted) if self.at_hand else self.grow_passes(wanted)
+            if grown:
                 aucs += self.finish_block()
-                best = int(np.argmax(aucs))
-                if not tree or len(aucs) - 1 - best >= self.s.patience:
-                    break
-            elif not tree:
+            if grown < wanted or len(aucs) - 1 - int(np.argmax(aucs)) >= self.s.patience:
                 break
         aucs = stopped(aucs, self.s.patience)
         return Model(self.names, self.bounds, self.base, self.trees[: int(np.argmax(aucs)) + 1 if aucs else 0], aucs)

@@ -192,7 +192,9 @@ def train_leafwise_model(matrix: DataFrame, settings: BO.Settings | None = None)
 
     Returns (model, test predictions with ``score``, one-row metrics)."""
     settings = settings or BO.Settings()
-    split = stratified_split(matrix, "y", 0.2, settings.seed)
+    # Training reads the rows many times: the matrix' joins and the split run once.
+    matrix = BO.stored(matrix)
+    split = BO.stored(stratified_split(matrix, "y", 0.2, settings.seed))
     data, names = scalar_features(split, embedding_width(matrix))
     model = BO.fit(data, names, settings)
     test = BO.score(model, data.filter("is_test")).drop("x")

@@ -86,6 +86,21 @@ def test_same_trees_for_any_partitions_and_small_passes(spark, monkeypatch):
     assert BO.fit(df.repartition(7, "x"), names, s).to_json() == one.to_json()
 
 
+def test_rows_at_hand_give_the_trees_of_passes_in_few_jobs(spark, monkeypatch):
+    df, *_ = table(spark, 400, 7)
+    twice = df.unionByName(df.withColumn("message_id", F.concat("message_id", F.lit("again"))))  # equal rows
+    s = BO.Settings(leaves=15, rounds=12, max_bin=20, min_rows=3, row_every=5, patience=30)
+    sc = spark.sparkContext
+    sc.setJobGroup("at hand", "")
+    one = BO.fit(twice, list("abcde"), s)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("at hand"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(one.aucs) == s.rounds and 0 < jobs < 3 * s.rounds
+    monkeypatch.setattr(BO, "AT_HAND", 0)
+    monkeypatch.setattr(BO, "BLOCK", 6)
+    assert BO.fit(twice, list("abcde"), s).to_json() == one.to_json()
+
+
 def test_beats_chance_and_scores_rows(spark):
     df, x, y, test = table(spark, 1200, 3)
     model = BO.fit(df, list("abcde"), BO.Settings(rounds=6, rate=0.3, leaves=15))
