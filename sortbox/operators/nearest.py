@@ -8,9 +8,12 @@ than ``max(chord - largest, least - chord)``, ``chord`` being that of mail and p
 the lists whose bound does not exceed the chord to its nearest pivot, which is a label itself, nor that of the threshold; no
 other list can hold its label, so the result is that of comparing with all labels.
 
-A list is cut into parts of about ``PART`` labels, and the mail of a list into parts of about ``MAIL``
-mails, so that a task holds one part of each, whatever the size of a list.  Only vectors of the same
-length (and of the same ``by`` columns, a mailbox for example) are compared.
+Where the bound rules out little, as with vectors in all directions, nearly all pairs are compared; their
+number is quadratic, what is copied is not: lists are put together in blocks of about ``PART`` labels (a
+list that is larger is cut into pieces), and a mail goes once to a block, with the lists it is compared
+with there.  A task holds a piece of a block and a part of the mail, at most about ``HELD`` mails; neither
+has more than about ``VALUES`` numbers.  So a vector is copied once for each block or part, of which there
+are few.  Only vectors of the same length (and of the same ``by`` columns, a mailbox for example) are compared.
 """
 
 from __future__ import annotations
@@ -19,15 +22,20 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
 PIVOTS = 1024
-PART = 2048
-MAIL = 8192
-AT_ONCE = 1024  # mails compared with a part's labels or pivots in one product
+PART = 1 << 16  # labels of a block
+MAIL = 8192  # mails or labels compared with the pivots by one task
+HELD = 1 << 16  # mails of a part
+VALUES = 1 << 22  # numbers of the vectors that a task holds of either side
+SPREAD = 16  # parts that mail is dealt to at least, if they have MAIL / 2 mails or more
+AT_ONCE = 1024  # mails compared with labels or pivots in one product
+ACROSS = 4096  # labels in one product
+PAIRS = 1 << 16  # pairs whose sums are taken again at once
 SLACK = 1e-6  # chords of rounded cosines; a bound is only trusted beyond it
 
 
@@ -37,10 +45,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _parts(rows: Column, size: int) -> Column:
+def _parts(rows: Column, size: int | Column) -> Column:
     return F.ceil(rows / size).cast("int")
 
 
+def _room(size: int) -> Column:
+    """Vectors that a task holds, ``size`` at most."""
+    return F.greatest(F.lit(1), F.least(F.lit(size), F.floor(F.lit(VALUES) / F.col("dim"))))
+
+
 def _vectors(table: pa.Table) -> np.ndarray:
     """The vectors of a table, as unit vectors."""
     flat = np.asarray(pa.concat_arrays(table.column("v").chunks).flatten(), np.float64) if table.num_rows else np.empty(0)
@@ -83,25 +96,86 @@ def reached(mail: pa.Table, pivots: pa.Table, limit: float) -> pa.Table:
     return mail.drop_columns(["part"]).append_column("lists", pa.ListArray.from_arrays(at, pa.array(numbers[lists], pa.int64())))
 
 
-def best_of(mail: pa.Table, labels: pa.Table) -> pa.Table:
-    """The most similar label of each mail in one part; the first in order of equal ones."""
+def by_block(mail: pa.Table, pivots: pa.Table, limit: float) -> pa.Table:
+    """Each mail with the blocks that can hold its label, and of each block the lists that can."""
+    kind = pa.list_(pa.struct([("block", pa.int32()), ("pieces", pa.int32()), ("lists", pa.list_(pa.int32()))]))
+    pivots = pivots.sort_by("list")
+    numbers, block, pieces, rank = (np.asarray(pivots.column(c)) for c in ("list", "block", "pieces", "rank"))
+    out = [reached(mail.slice(0, 0), pivots, limit).drop_columns(["lists"]).append_column("blocks", pa.array([], kind))]
+    for lo in range(0, mail.num_rows, AT_ONCE):
+        some = reached(mail.slice(lo, AT_ONCE), pivots, limit)
+        lists = some.column("lists").combine_chunks()
+        at = np.searchsorted(numbers, np.asarray(lists.flatten()))
+        of = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        # A mail's lists are in order, and so are their blocks: a block's are next to each other.
+        starts = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(block[at], prepend=-1) != 0))
+        inner = pa.ListArray.from_arrays(pa.array([*starts, len(at)], pa.int32()), pa.array(rank[at], pa.int32()))
+        runs = pa.StructArray.from_arrays([pa.array(block[at[starts]], pa.int32()), pa.array(pieces[at[starts]], pa.int32()), inner], fields=list(kind.value_type))
+        ends = pa.array(np.searchsorted(of[starts], np.arange(len(lists) + 1)), pa.int32())
+        out.append(some.drop_columns(["lists"]).append_column("blocks", pa.ListArray.from_arrays(ends, runs)))
+    return pa.concat_tables(out)
+
+
+def best_of(mail: pa.Table, labels: pa.Table, threshold: float) -> pa.Table:
+    """The most similar label of each mail among those of its ``lists`` in one piece of a block; the first in
+    order of equal ones.  A mail without a label above ``threshold`` may be left out."""
     if not mail.num_rows or not labels.num_rows:
         return mail.slice(0, 0).select(["message_id"]).append_column("label", pa.array([], pa.string())).append_column("similarity", pa.array([], pa.float64()))
-    units, near = _vectors(labels).T, np.empty((0, 0))
-    names, found, sims = labels.column("label").to_pylist(), [], []
-    a, b = (np.asarray(pa.concat_arrays(t.column("v").chunks).flatten(), np.float64).reshape(t.num_rows, -1) for t in (mail, labels))
-    na, nb = (np.sqrt(np.cumsum(x * x, 1)[:, -1]) for x in (a, b))
-    for i in range(mail.num_rows):
-        if i % AT_ONCE == 0:
-            near = _vectors(mail.slice(i, AT_ONCE)) @ units
-        # Near the top the sums are taken again one after the other, so that equal labels are equal.
-        own = near[i % AT_ONCE]
-        at = np.flatnonzero(own >= own.max() - 1e-9)
-        exact = np.cumsum(a[i] * b[at], 1)[:, -1] / (na[i] * nb[at])
-        sim, name = max(((s, names[j]) for s, j in zip(exact.tolist(), at.tolist(), strict=True)), key=lambda x: (x[0], [-c for c in x[1].encode()] + [1]))
-        found.append(name)
-        sims.append(sim)
-    return mail.select(["message_id"]).append_column("label", pa.array(found, pa.string())).append_column("similarity", pa.array(sims, pa.float64()))
+    # Of equal vectors the first label counts.
+    encoded = [(x is not None, (x or "").encode()) for x in labels.column("label").to_pylist()]
+    labels = labels.take(sorted(range(labels.num_rows), key=encoded.__getitem__))
+    flat = np.asarray(pa.concat_arrays(labels.column("v").chunks).flatten(), np.float64).reshape(labels.num_rows, -1)
+    ranks, dim = np.asarray(labels.column("rank")), flat.shape[1]
+    keyed = np.concatenate([ranks.astype(np.float64)[:, None], flat], 1)
+    first = np.unique(keyed.view(np.dtype((np.void, keyed.itemsize * (dim + 1)))).ravel(), return_index=True)[1]
+    del keyed
+    first = first[np.argsort(ranks[first], kind="stable")]
+    b, names, ranks = flat[first], labels.column("label").take(first), ranks[first]  # by list; ``first`` is the order of labels
+    nb = np.sqrt(np.cumsum(b * b, 1)[:, -1])
+    units = np.ascontiguousarray((b / np.linalg.norm(b, axis=1, keepdims=True)).astype(np.float32).T)
+    known, starts = np.unique(ranks, return_index=True)
+    tiles = [(i, lo, min(lo + ACROSS, hi)) for i, (s, hi) in enumerate(zip(starts, [*starts[1:], len(b)], strict=True)) for lo in range(s, hi, ACROSS)]
+    # Products of short numbers choose the pairs: they are off by less than ``off``.
+    off, out = (dim + 4) * 2.0**-23, []
+    for lo in range(0, mail.num_rows, AT_ONCE):
+        some = mail.slice(lo, AT_ONCE)
+        a = np.asarray(pa.concat_arrays(some.column("v").chunks).flatten(), np.float64).reshape(some.num_rows, -1)
+        na, own = np.sqrt(np.cumsum(a * a, 1)[:, -1]), _vectors(some).astype(np.float32)
+        if not (np.isfinite(own).all() and np.isfinite(units).all()):
+            raise ValueError("vectors must be of finite numbers")
+        lists = some.column("lists").combine_chunks()
+        of, wanted = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        reach = np.zeros((len(known), len(lists)), bool)
+        reach[at[known[at] == wanted], of[known[at] == wanted]] = True
+        top = np.full(len(a), threshold - off, np.float64)  # the largest product so far
+        best, best_at = np.full(len(a), -np.inf), np.full(len(a), -1)
+        for i, left, right in tiles:
+            rows = np.flatnonzero(reach[i])
+            if not len(rows):
+                continue
+            near = own[rows] @ units[:, left:right]
+            most = near.max(1)
+            good = np.flatnonzero(most >= top[rows] - 2 * off)
+            if not len(good):
+                continue
+            rows, near = rows[good], near[good]
+            top[rows] = np.maximum(top[rows], most[good])
+            r, c = np.nonzero(near >= (top[rows] - 2 * off)[:, None])
+            r, c = rows[r], c + left
+            # Near the top the sums are taken again one after the other, so that equal labels are equal.
+            exact = np.empty(len(r))
+            for k in range(0, len(r), PAIRS):
+                x, y = r[k : k + PAIRS], c[k : k + PAIRS]
+                exact[k : k + PAIRS] = np.cumsum(a[x] * b[y], 1)[:, -1] / (na[x] * nb[y])
+            order = np.lexsort((first[c], -exact, r))
+            order = order[np.diff(r[order], prepend=-1) != 0]
+            r, c, exact = r[order], c[order], exact[order]
+            better = (exact > best[r]) | ((exact == best[r]) & (first[c] < first[best_at[r]]))
+            best[r[better]], best_at[r[better]] = exact[better], c[better]
+        found = np.flatnonzero(best_at >= 0)
+        out.append(pa.table({"message_id": some.column("message_id").take(found), "label": names.take(best_at[found]), "similarity": best[found]}))
+    return pa.concat_tables(out)
 
 
 def nearest(mail: DataFrame, labels: DataFrame, threshold: float, by: list[str] | None = None) -> DataFrame:
@@ -123,38 +197,45 @@ def nearest(mail: DataFrame, labels: DataFrame, threshold: float, by: list[str]
     sized = labels.join(sizes, keys).withColumn("pick", F.pmod(F.xxhash64("label", F.lit(7)), every)).drop("n")
     pivots = stored(sized.where("pick = 0").select(*keys, F.monotonically_increasing_id().alias("list"), "v"), "pivots")
 
-    def dealt(rows: DataFrame, key: str, at: list[str], size: int, other: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows in parts of about ``size`` by ``at``, and the other side copied to each part."""
-        parts = rows.groupBy(*at).agg(_parts(F.count(F.lit(1)), size).alias("parts"))
-        left = rows.join(parts, at).withColumn("part", F.pmod(F.xxhash64(key, F.lit(11)), F.col("parts")).cast("int")).drop("parts")
-        return left, other.join(parts, at).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    def dealt(rows: DataFrame, key: str, size: int, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows in parts of about ``size``, and the other side copied to each part."""
+        parts = rows.groupBy(*keys).agg(_parts(F.count(F.lit(1)), size).alias("parts"))
+        left = rows.join(parts, keys).withColumn("part", F.pmod(F.xxhash64(key, F.lit(11)), F.col("parts")).cast("int")).drop("parts")
+        return left, other.join(parts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def types(*names: str) -> str:
-        kinds = dict(mail.dtypes) | {"label": "string", "list": "bigint", "lists": "array<bigint>", "chord": "double", "similarity": "double"}
+        kinds = dict(mail.dtypes) | {"label": "string", "list": "bigint", "held": "int", "blocks": "array<struct<block: int, pieces: int, lists: array<int>>>", "chord": "double", "similarity": "double"}
         return ", ".join(f"{n} {kinds[n]}" for n in names)
 
     # Labels to the lists of their pivots, and the chords of each list.
-    left, right = dealt(labels, "label", keys, MAIL, pivots)
+    left, right = dealt(labels, "label", MAIL, pivots)
     listed = left.groupBy(*keys, "part").cogroup(right.groupBy(*keys, "part")).applyInArrow(to_lists, types(*by, "label", "v", "dim", "list", "chord"))
     listed = stored(listed, "lists")
     lists = listed.groupBy(*keys, "list").agg(F.min("chord").alias("least"), F.max("chord").alias("largest"), F.count(F.lit(1)).alias("n"))
+    in_order = Window.partitionBy(*keys).orderBy("list")  # about as many rows as there are pivots
+    before = F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lists = lists.withColumn("rank", F.row_number().over(in_order)).withColumn("block", F.floor(before / _room(PART)).cast("int"))
+    whole_block = F.sum("n").over(Window.partitionBy(*keys, "block"))
+    lists = lists.withColumn("pieces", F.greatest(F.lit(1), F.round(whole_block / _room(PART))).cast("int"))
     lists = stored(lists.join(pivots, [*keys, "list"], "left"), "chords")
 
-    # Mail to the lists that can hold its label.
-    left, right = dealt(mail, "message_id", keys, MAIL, lists.drop("n"))
-    reach = left.groupBy(*keys, "part").cogroup(right.groupBy(*keys, "part")).applyInArrow(lambda m, p: reached(m, p, limit), types(*by, "message_id", "v", "dim", "lists"))
-    reach = stored(reach, "reach").withColumn("list", F.explode("lists")).drop("lists")
-
-    # Parts of a list's labels against parts of its mail.
-    at = [*keys, "list"]
-    label_parts = lists.select(*at, _parts(F.col("n"), PART).alias("blocks"))
-    blocks = listed.join(label_parts, at).withColumn("block", F.pmod(F.xxhash64("label", F.lit(13)), F.col("blocks")).cast("int")).drop("blocks", "chord")
-    left, right = dealt(reach, "message_id", at, MAIL, blocks)
-    left = left.join(label_parts, at).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    group = [*at, "part", "block"]
+    # Mail to the blocks that can hold its label; its part in the blocks is known before.
+    left, right = dealt(mail, "message_id", MAIL, lists.drop("n"))
+    held = F.greatest(_parts(F.count(F.lit(1)), _room(HELD)), F.least(F.lit(SPREAD), _parts(F.count(F.lit(1)), max(1, MAIL // 2))))
+    held = stored(mail.groupBy(*keys).agg(held.alias("held_parts")), "held")
+    left = left.join(held, keys).withColumn("held", F.pmod(F.xxhash64("message_id", F.lit(17)), F.col("held_parts")).cast("int")).drop("held_parts")
+    reach = left.groupBy(*keys, "part").cogroup(right.groupBy(*keys, "part")).applyInArrow(lambda m, p: by_block(m, p, limit), types(*by, "message_id", "v", "dim", "held", "blocks"))
+    reach = stored(reach, "reach").withColumn("b", F.explode("blocks")).select(*keys, "message_id", "v", "held", "b.*")
+
+    # Pieces of a block's labels against parts of its mail.
+    placed = listed.join(lists.select(*keys, "list", "rank", "block", "pieces"), [*keys, "list"])
+    placed = placed.withColumn("piece", F.pmod(F.xxhash64("label", F.lit(13)), F.col("pieces")).cast("int")).drop("pieces", "chord", "list")
+    right = placed.join(held, keys).withColumn("held", F.explode(F.sequence(F.lit(0), F.col("held_parts") - 1))).drop("held_parts")
+    left = reach.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    group = [*keys, "block", "piece", "held"]
 
     def compare(m: pa.Table, c: pa.Table) -> pa.Table:
-        out = best_of(m, c)
+        out = best_of(m, c, threshold)
         for name in reversed(by):
             column = m.column(name).slice(0, out.num_rows) if m.num_rows else pa.array([], m.schema.field(name).type)
             out = out.add_column(0, name, column)
