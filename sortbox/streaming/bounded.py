@@ -1,7 +1,7 @@
 """Streaming jobs whose state and reads stay bounded.
 
-* ``mailbox_states``: the fold of label operations with ``transformWithState``; the state of a mail that
-  had no operation for a while expires.
+* ``mailbox_states``: the fold of label operations with ``transformWithState``, whose states hold the mails
+  of a hash bucket; what they hold of a mail that had no operation for a while expires.
 * ``dedup_by_bucket``: each message once, checked against an id index of which only the buckets that a
   batch touches are read.
 * ``closing_daily_volume``: messages per day; days close, rows that come later go to a table of their own.
@@ -12,6 +12,7 @@ Every job writes ``EpochLog`` tables, which replace a replayed epoch and are com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -42,43 +43,66 @@ def stateful_session(spark: SparkSession) -> SparkSession:
 # ---------------------------------------------------------------------------
 
 CHANGES = "message_id string, label string, kind string, at bigint, id bigint"
+MAIL_STATES = (  # of each mail when it may go and its number of labels; of each label, mail after mail, its last operation
+    "mails array<string>, expires array<bigint>, counts array<int>, "
+    "labels array<string>, kinds array<string>, ats array<bigint>, ids array<bigint>"
+)
+STATE_BUCKETS = 1 << 12
 
 
 class LabelStates(StatefulProcessor):
-    """Last operation on each label of a mail.  A row goes out when it is newer than the state's; the
-    state is cleared by a timer ``keep_ms`` after the mail's last operation.  A mail has one timer: when it
-    fires before that time it is set anew, so that an operation costs a read and a write of the state."""
+    """Last operation on each label of the mails of a bucket.  A row goes out when it is newer than the
+    state's; what the state holds of a mail goes ``keep_ms`` after the mail's last operation.  A call to the state
+    costs far more than a row, so mails share it: a bucket's operations cost one read and one write.  A bucket
+    has one timer, at the earliest time that a mail of it may go; when it fires it is set anew for those that stay."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("labels", "labels array<string>, kinds array<string>, ats array<bigint>, ids array<bigint>, expires bigint")
+        self.state = handle.getValueState("labels", MAIL_STATES)
+
+    def _mails(self, value) -> dict[str | None, list]:
+        """Of each mail: when it may go, and (at, id, kind) by label."""
+        mails, expires, counts, *columns = value
+        rows = zip(*columns, strict=True)
+        return {m: [e, {label: (at, i, kind) for label, kind, at, i in islice(rows, n)}] for m, e, n in zip(mails, expires, counts, strict=True)}
+
+    def _put(self, mails: dict[str | None, list]) -> None:
+        known = [(label, kind, at, i) for _, labels in mails.values() for label, (at, i, kind) in labels.items()]
+        columns = [list(c) for c in zip(*known, strict=True)]
+        self.state.update((list(mails), [e for e, _ in mails.values()], [len(labels) for _, labels in mails.values()], *columns))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known: dict[str | None, tuple[int, int, str]] = {}
         before = self.state.get()
-        if before is not None:
-            known = {n: (a, i, k) for n, k, a, i in zip(*before[:4], strict=True)}
+        mails = {} if before is None else self._mails(before)
+        expires = timerValues.getCurrentProcessingTimeInMs() + self.keep_ms
         changed = set()
         for r in rows:
-            seen = (int(r.at), int(r.id), r.kind)
-            if r.label not in known or seen > known[r.label]:
-                known[r.label] = seen
-                changed.add(r.label)
-        expires = timerValues.getCurrentProcessingTimeInMs() + self.keep_ms
+            mail, label, kind, at, i = r[:5]
+            of_mail = mails.get(mail)
+            if of_mail is None:
+                of_mail = mails[mail] = [expires, {}]
+            of_mail[0], known, seen = expires, of_mail[1], (at, i, kind)
+            if label not in known or seen > known[label]:
+                known[label] = seen
+                changed.add((mail, label))
         if before is None:
             self.handle.registerTimer(expires)
-        ats, ids, kinds = ([v[j] for v in known.values()] for j in range(3))
-        self.state.update((list(known), kinds, ats, ids, expires))
-        for name in changed:
-            yield Row(message_id=key[0], label=name, kind=known[name][2], at=known[name][0], id=known[name][1])
+        self._put(mails)
+        for mail, label in changed:
+            at, i, kind = mails[mail][1][label]
+            yield Row(message_id=mail, label=label, kind=kind, at=at, id=i)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state = self.state.get()
-        if state is not None and state[4] > timerValues.getCurrentProcessingTimeInMs():
-            self.handle.registerTimer(state[4])
+        value, now = self.state.get(), timerValues.getCurrentProcessingTimeInMs()
+        mails = {} if value is None else self._mails(value)
+        left = {m: of_mail for m, of_mail in mails.items() if of_mail[0] > now}
+        if left:
+            self.handle.registerTimer(min(e for e, _ in left.values()))
+            if len(left) < len(mails):
+                self._put(left)
         else:
             self.state.clear()
         return iter(())
@@ -94,18 +118,24 @@ def newest_states(changes: DataFrame) -> DataFrame:
     return changes.groupBy("message_id", "label").agg(newest.alias("s")).select("message_id", "label", "s.*")
 
 
-def mailbox_states(ops: DataFrame, out_dir: str, checkpoint: str, keep_ms: int, compact_every: int = COMPACT_EVERY) -> DataFrame:
+def mailbox_states(
+    ops: DataFrame, out_dir: str, checkpoint: str, keep_ms: int, compact_every: int = COMPACT_EVERY, buckets: int = STATE_BUCKETS
+) -> DataFrame:
     """Run the fold of label operations (message_id, seq struct<at, id>, op, labels) over everything
     available; returns (message_id, label, kind, at, id), the newest operation of each label.
 
     The state only decides which rows need not be written: an operation older than one that the state
     holds.  Once a mail's state has expired, a late operation is written again, and the reader takes the
     newest by (time, id).  So expiry never changes the result, no operation is dropped, and a late one
-    never undoes a newer one.  ``ops`` is read in a session of ``stateful_session``."""
+    never undoes a newer one.  ``ops`` is read in a session of ``stateful_session``.
+
+    Mails share a state by the hash of their id, ``buckets`` states in all, a number that a checkpoint must keep.
+    A batch reads and writes the states of its mails' buckets."""
     spark = ops.sparkSession
     log = EpochLog(spark, out_dir, CHANGES)
     effects = ST.label_effects(ops).select("message_id", "label", "kind", F.col("seq.at").alias("at"), F.col("seq.id").alias("id"))
-    changes = effects.groupBy("message_id").transformWithState(
+    effects = effects.withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(buckets)).cast("int"))  # the last column
+    changes = effects.groupBy("bucket").transformWithState(
         statefulProcessor=LabelStates(keep_ms), outputStructType=CHANGES, outputMode="Update", timeMode="ProcessingTime"
     )
 

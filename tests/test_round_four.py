@@ -1,11 +1,20 @@
 """Labels in blocks, states of many mails at once."""
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from sortbox.operators import labels as LB
 from sortbox.operators import nearest as NE
+from sortbox.operators import store as ST
+from sortbox.plans.q_stream import stage_files
+from sortbox.session import scratch_path
+from sortbox.streaming import bounded as SB
+from sortbox.streaming import jobs as SJ
 
 
 def brute(mail, labels, threshold):
@@ -74,3 +83,67 @@ def test_a_piece_of_a_block_in_small_products(monkeypatch):
     above = {x["message_id"]: x["label"] for x in NE.best_of(m, c, 0.9).to_pylist() if x["similarity"] > 0.9}
     assert above == {k: n for k, (n, s) in got.items() if s > 0.9}
     assert NE.best_of(m, c.slice(0, 0), 0.5).num_rows == 0 and NE.best_of(m.slice(0, 0), c, 0.5).num_rows == 0
+
+
+def test_mails_of_a_bucket_share_a_state_and_expire_one_by_one():
+    class Handle:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.calls.append(f"timer {at}")
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.ms
+
+    h, p = Handle(), SB.LabelStates(100)
+    p.init(h)
+
+    def put(ms, *rows):
+        h.calls.clear()
+        return {tuple(r) for r in p.handleInputRows((3,), iter([Row(message_id=m, label=n, kind=k, at=a, id=i) for m, n, k, a, i in rows]), Now(ms))}
+
+    first = [("a", "A", "add", 5, 1), ("b", "A", "add", 5, 1), ("b", None, "add", -1, -1), (None, "A", "add", 2, 2)]
+    assert put(0, *first) == set(first) and h.calls == ["get", "timer 100", "update"]
+    assert put(60, ("b", "A", "remove", 4, 9), ("b", "B", "add", 1, 1), ("a", "A", "add", 5, 1)) == {("b", "B", "add", 1, 1)} and h.calls == ["get", "update"]
+    put(70, ("b", "B", "remove", 0, 0))
+    h.calls.clear()
+    assert list(p.handleExpiredTimer((3,), Now(100), None)) == [] and h.calls == ["get", "timer 160", "update"]  # the mail without an id goes
+    assert put(120, (None, "A", "add", 1, 1), ("a", "A", "add", 4, 4)) == {(None, "A", "add", 1, 1)}
+    h.calls.clear()
+    list(p.handleExpiredTimer((3,), Now(170), None))
+    assert h.calls == ["get", "timer 220", "update"]  # b goes at 170, a and the mail without an id at 220
+    assert put(180, ("b", "A", "remove", 1, 1), ("a", "A", "add", 3, 3)) == {("b", "A", "remove", 1, 1)}
+    list(p.handleExpiredTimer((3,), Now(500), None))
+    assert h.value is None
+
+
+def test_many_mails_in_few_states_equal_the_batch_fold(spark):
+    r = np.random.default_rng(8)
+    kinds, base = ["archive", "mark_read", "mark_unread", "move_to_inbox", "add_labels", "remove_labels"], scratch_path(spark, f"round-four-{uuid.uuid4().hex}")
+    ops = [(f"m{r.integers(60)}", (int(r.integers(40)), i), kinds[r.integers(6)], [f"X{r.integers(3)}"], int(r.integers(100))) for i in range(500)]
+    sent = spark.createDataFrame(ops, "message_id string, seq struct<at: bigint, id: bigint>, op string, labels array<string>, arrived bigint")
+    em = sent.select("message_id", F.array().cast("array<string>").alias("labels")).distinct()
+    stage_files(sent, f"{base}/ops", "arrived", 4)
+    stream = SJ.file_stream(SB.stateful_session(spark), f"{base}/ops", sent.schema, 1)
+    got = ST.labels_of_states(SB.mailbox_states(stream, f"{base}/out", f"{base}/ckpt", 10**9, buckets=5))
+    assert sorted(map(str, got.collect())) == sorted(map(str, ST.apply_label_ops(em, sent).collect()))
+    assert SB.stateful_session(spark).read.format("statestore").option("stateVarName", "labels").load(f"{base}/ckpt").count() == 5
