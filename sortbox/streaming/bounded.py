@@ -84,7 +84,7 @@ class LabelStates(StatefulProcessor):
             of_mail = mails.get(mail)
             if of_mail is None:
                 of_mail = mails[mail] = [expires, {}]
-            of_mail[0], known, seen = expires, of_mail[1], (at, i, kind)
+            of_mail[0], known, seen = expires, of_mail[1], (int(at), int(i), kind)
             if label not in known or seen > known[label]:
                 known[label] = seen
                 changed.add((mail, label))
